@@ -6,9 +6,11 @@
 2. prefixes: linked sets share one of their first n - ceil(0.75 n) + 1 shingles in any order common to all. The
    order is: shingles off the list by hash, then those on it.
 3. candidates: classes meeting at a shingle of up to SMALL classes give pairs, kept if the sizes and the signatures
-   allow a link; a shingle of more gives one star. Their components are clusters, and every link is within one.
-4. tiles: a cluster is cut into size bands, bands into blocks of BLOCK sets, and tiles are pairs of blocks of one
-   band or two adjacent ones. In a tile, bit counts bound the overlap from above, then sorted arrays are
+   allow a link. Those meeting at a shingle of more form a group, which is cut into size bands, bands into blocks of
+   BLOCK sets, and tiles are pairs of blocks of one band or two adjacent ones. In a tile bit counts bound the overlap
+   of every pair from above; a forest of the pairs that may link comes out. The components of all candidates are
+   clusters, and every link is within one.
+4. links: clusters are cut into tiles likewise. In a tile, bit counts come first again, then sorted arrays are
    intersected; pairs that links already join are passed over. What comes out is a forest of exact links.
 """
 
@@ -30,9 +32,9 @@ from lodestar.llm.textbytes import chunks, shingle_sets
 WIDTH = 5
 #: The similarity as a fraction: 3/4.
 NUM, DEN = 3, 4
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 #: A shingle is reported as frequent by a chunk of documents of which so many distinct ones hold it.
-OFTEN = 8
+OFTEN = 3
 SMALL = 24
 SIGNATURE_WORDS = 16
 BLOCK = 512
@@ -118,7 +120,7 @@ def _prefixes(frequent: np.ndarray):
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes at keys of up to SMALL classes, stars at others, from rows sorted by (key, cls)."""
+    """Pairs of classes at keys of up to SMALL classes; at others, members of a group named by its least. Rows come sorted by (key, cls)."""
     key, members, star = None, [], False  # of the run that may go on in the next batch
 
     def pairs(ms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +161,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, members, star = k[begins[r]], m.tolist(), False
             if len(members) > SMALL or star:
                 star = True
-                rest = np.array(members[1:], np.int64)
+                rest = np.array(members, np.int64)
                 if len(rest):
                     a.append(np.full(len(rest), members[0], np.int64))
                     b.append(rest)
@@ -181,9 +183,47 @@ def _linked(m: int, n: int, both: int) -> bool:
     return DEN * both >= NUM * (m + n - both)
 
 
-def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _able(n: np.ndarray, sigs: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Those of others whose overlap with set i may suffice, by the bits in which their signatures differ."""
+    apart = np.bitwise_count(sigs[others] ^ sigs[i]).sum(axis=1).astype(np.int64)
+    most = (n[others] + n[i] - apart) // 2
+    return others[DEN * most >= NUM * (n[others] + n[i] - most)]
+
+
+def _tile_forest(who: list[int], n: np.ndarray, sigs: np.ndarray, side: np.ndarray, cross: bool, linked) -> pa.RecordBatch | None:
+    """A forest of the pairs that linked(i, j) accepts; rows come in order of n, and pairs already joined are passed over."""
+    comp = np.arange(len(who))
+    a, b = [], []
+    for i in range(1, len(who)):
+        others = np.arange(int(np.searchsorted(n, -(-NUM * n[i] // DEN))), i)
+        others = others[comp[others] != comp[i]]
+        if cross:
+            others = others[side[others] != side[i]]
+        if len(others):
+            others = _able(n, sigs, i, others)
+        while len(others := others[comp[others] != comp[i]]):
+            j, others = others[0], others[1:]
+            if linked(i, j):
+                a.append(who[i])
+                b.append(who[j])
+                comp[comp == comp[i]] = comp[j]
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
+
+
+def _candidate_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for tile in groups(batches, ["cluster", "left", "right"]):
-        ids, own, left, right = tile.column("rep").to_pylist(), tile.column("own").to_pylist(), tile.column("left")[0].as_py(), tile.column("right")[0].as_py()
+        n, rep = tile.column("n").to_numpy().astype(np.int64), tile.column("rep").to_numpy()
+        order = np.lexsort((rep, n))
+        sigs = tile.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), -1)[order]
+        side = np.array(tile.column("own").to_pylist())[order]
+        out = _tile_forest(rep[order].tolist(), n[order], sigs, side, tile.column("left")[0] != tile.column("right")[0], lambda i, j: True)
+        if out is not None:
+            yield out
+
+
+def _link_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for tile in groups(batches, ["cluster", "left", "right"]):
+        ids, own = tile.column("rep").to_pylist(), tile.column("own").to_pylist()
         want = list(zip(tile.column("d1").to_pylist(), tile.column("d2").to_pylist(), strict=True))
         sets, who, side = [], [], []
         for first, flat, offsets in chunks(tile.column("text")):
@@ -197,27 +237,29 @@ def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(sets) < 2:
             continue
         n = np.array([len(s) for s in sets])
-        sigs = np.stack([signature(s) for s in sets]).view(np.uint64)
-        comp = np.arange(len(sets))
-        a, b = [], []
-        for i in range(1, len(sets)):
-            lo = int(np.searchsorted(n, -(-NUM * n[i] // DEN)))
-            others = np.arange(lo, i)
-            if left != right:
-                others = others[side[others] != side[i]]
-            if not len(others):
-                continue
-            apart = np.bitwise_count(sigs[others] ^ sigs[i]).sum(axis=1).astype(np.int64)
-            most = (n[others] + n[i] - apart) // 2
-            others = others[DEN * most >= NUM * (n[others] + n[i] - most)]
-            while len(others := others[comp[others] != comp[i]]):
-                j, others = others[0], others[1:]
-                if _linked(n[i], n[j], len(np.intersect1d(sets[i], sets[j], assume_unique=True))):
-                    a.append(who[i])
-                    b.append(who[j])
-                    comp[comp == comp[i]] = comp[j]
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        linked = lambda i, j: _linked(n[i], n[j], len(np.intersect1d(sets[i], sets[j], assume_unique=True)))  # noqa: B023, E731
+        out = _tile_forest(who, n, np.stack([signature(s) for s in sets]).view(np.uint64), side, tile.column("left")[0] != tile.column("right")[0], linked)
+        if out is not None:
+            yield out
+
+
+def _spread(members: DataFrame) -> DataFrame:
+    """members (cluster, rep, n, ...) once for each tile of its cluster: with own, its block, and left and right, the tile's.
+
+    Sets whose sizes allow a link are in one size band or in adjacent ones. A cluster of up to BLOCK sets is one tile.
+    """
+    members = members.withColumn("band", F.floor(F.log("n") / F.log(F.lit(DEN / NUM)) - 1e-9).cast("int"))
+    sizes = members.groupBy("cluster", "band").agg(F.count("*").alias("m"))
+    sizes = sizes.groupBy("cluster").agg(F.sum("m").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("m") / BLOCK).cast("int")))).alias("blocks"))
+    members = members.join(sizes.where("all > 1"), "cluster")
+    spot = lambda b, s: F.concat(F.lpad(b.cast("string"), 6, "0"), F.lit("."), F.lpad(s.cast("string"), 9, "0"))
+    own = spot(F.col("band"), F.pmod(F.xxhash64("rep"), F.element_at("blocks", F.col("band"))))
+    near = F.flatten(F.transform(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), lambda b: F.when(F.element_at("blocks", b).isNotNull(), F.transform(F.sequence(F.lit(0), F.element_at("blocks", b) - 1), lambda s: spot(b, s))).otherwise(F.array().cast("array<string>"))))
+    members = members.withColumn("own", F.when(F.col("all") <= BLOCK, "all").otherwise(own)).withColumn("near", F.when(F.col("all") <= BLOCK, F.array(F.lit("all"))).otherwise(near)).drop("band", "all", "blocks")
+    return members.withColumn("other", F.explode("near")).withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other")).drop("near", "other")
+
+
+_TILE = ("cluster", "left", "right")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,29 +281,23 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = saved.save(profile.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
     rows = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(frequent), "key long, cls long")
-    met = rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_meetings, "a long, b long, star boolean").distinct()
+    met = saved.save(rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_meetings, "a long, b long, star boolean").distinct())
     one = classes.select(F.col("d1").alias("a"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     two = classes.select(F.col("d1").alias("b"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     apart = sum((F.bit_count(F.col("sig_a")[k].bitwiseXOR(F.col("sig_b")[k])) for k in range(SIGNATURE_WORDS)), F.lit(0))
     most = F.floor((F.col("n_a") + F.col("n_b") - apart) / 2)
     able = (DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b")) & (DEN * most >= NUM * (F.col("n_a") + F.col("n_b") - most))
-    edges = met.join(one, "a").join(two, "b").where(F.col("star") | able).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    pairs = met.where("not star").join(one, "a").join(two, "b").where(able).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    grouped = met.where("star").join(two, "b").select(F.col("a").alias("cluster"), F.col("rep_b").alias("rep"), F.col("n_b").alias("n"), F.col("sig_b").alias("sig"))
+    grouped = _spread(grouped).select(*_TILE, "own", "rep", "n", "sig").repartition(*_TILE).sortWithinPartitions(*_TILE)
+    edges = pairs.unionByName(grouped.mapInArrow(_candidate_tiles, "a long, b long"))
     clusters = saved.save(components(edges).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster"))
 
-    # size bands: sets whose sizes allow a link are in one band or in adjacent ones
-    band = F.floor(F.log("n") / F.log(F.lit(DEN / NUM)) - 1e-9).cast("int")
-    members = clusters.join(classes.select("rep", "d1", "d2", "n"), "rep").withColumn("band", band)
-    sizes = members.groupBy("cluster", "band").agg(F.count("*").alias("m"))
-    sizes = sizes.groupBy("cluster").agg(F.sum("m").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("m") / BLOCK).cast("int")))).alias("blocks"))
-    members = members.join(sizes, "cluster")
-    spot = lambda b, s: F.concat(F.lpad(b.cast("string"), 6, "0"), F.lit("."), F.lpad(s.cast("string"), 9, "0"))
-    own = spot(F.col("band"), F.pmod(F.xxhash64("rep"), F.element_at("blocks", F.col("band"))))
-    near = F.flatten(F.transform(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), lambda b: F.when(F.element_at("blocks", b).isNotNull(), F.transform(F.sequence(F.lit(0), F.element_at("blocks", b) - 1), lambda s: spot(b, s))).otherwise(F.array().cast("array<string>"))))
-    members = members.withColumn("own", F.when(F.col("all") <= BLOCK, "all").otherwise(own)).withColumn("near", F.when(F.col("all") <= BLOCK, F.array(F.lit("all"))).otherwise(near))
+    members = _spread(clusters.join(classes.select("rep", "d1", "d2", "n"), "rep"))
     tiles = docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
-    tiles = tiles.select("cluster", "own", F.explode("near").alias("other"), "rep", "d1", "d2", "text").withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other"))
-    keys = ["cluster", "left", "right"]
-    links = tiles.select(*keys, "own", "rep", "d1", "d2", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tile_links, "a long, b long")
+    tiles = tiles.select(*_TILE, "own", "rep", "d1", "d2", "text").repartition(*_TILE).sortWithinPartitions(*_TILE)
+    links = tiles.mapInArrow(_link_tiles, "a long, b long")
+
     # an id with several texts joins their classes
     same = profile.where("n > 0 and doc_id is not null").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep")
     by_id = same.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
