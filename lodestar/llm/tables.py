@@ -35,18 +35,18 @@ class Saved:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         path = scratch_path(self.spark)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = (out, path)  # held, so that no other frame gets its id
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Deletes the table behind a frame that save() gave; nothing may read it afterwards."""
-        path = self.paths.pop(id(df), None)
+        _, path = self.paths.pop(id(df), (None, None))
         if path:
             jvm = self.spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
