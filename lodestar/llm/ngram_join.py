@@ -36,6 +36,7 @@ FREQUENT = 1 << 18
 #: A shingle is reported as frequent by a chunk of documents of which so many distinct ones hold it.
 OFTEN = 3
 SMALL = 24
+#: Words of 64 bits in the shortest signature.
 SIGNATURE_WORDS = 16
 BLOCK = 512
 
@@ -43,10 +44,15 @@ _PROFILE = "kind tinyint, doc_id long, n int, d1 long, d2 long, sig array<long>"
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """A bitmap of SIGNATURE_WORDS * 64 bits with the bit of every hash set."""
-    bit = (s >> np.uint64(40)) % np.uint64(SIGNATURE_WORDS * 64)
-    bits = np.zeros(SIGNATURE_WORDS * 64, np.uint8)
-    bits[bit.astype(np.int64)] = 1
+    """A bitmap with the bit of every hash set: the shortest power of two of bits, 1024 at least, that is twice the set's size.
+
+    The longer of two signatures folds onto the shorter, half over half, as if it had been made with as many bits.
+    """
+    words = SIGNATURE_WORDS
+    while words * 64 < 2 * len(s):
+        words *= 2
+    bits = np.zeros(words * 64, np.uint8)
+    bits[((s >> np.uint64(20)) % np.uint64(words * 64)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
@@ -183,16 +189,34 @@ def _linked(m: int, n: int, both: int) -> bool:
     return DEN * both >= NUM * (m + n - both)
 
 
-def _able(n: np.ndarray, sigs: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-    """Those of others whose overlap with set i may suffice, by the bits in which their signatures differ."""
-    apart = np.bitwise_count(sigs[others] ^ sigs[i]).sum(axis=1).astype(np.int64)
-    most = (n[others] + n[i] - apart) // 2
-    return others[DEN * most >= NUM * (n[others] + n[i] - most)]
-
-
-def _tile_forest(who: list[int], n: np.ndarray, sigs: np.ndarray, side: np.ndarray, cross: bool, linked) -> pa.RecordBatch | None:
+class _Signatures:
+    """The signatures of a tile by length, for bounds on overlaps: linked sets have equal lengths or a factor of two between them."""
+
+    def __init__(self, n: np.ndarray, sigs: list[np.ndarray]):
+        self.n, self.sigs = n, [x.view(np.uint64) for x in sigs]
+        self.size = np.array([len(x) for x in sigs])
+        self.row = np.zeros(len(sigs), np.int64)
+        self.stack = {}
+        for w in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == w)
+            self.row[at] = np.arange(len(at))
+            self.stack[w] = np.stack([self.sigs[k] for k in at])
+
+    def able(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of others, none larger than set i, whose overlap with it may suffice, by the bits in which signatures differ."""
+        own, w, kept = self.sigs[i], int(self.size[i]), []
+        for sig, words in ((own, w), (own[: w // 2] | own[w // 2 :], w // 2)):
+            some = others[self.size[others] == words]
+            if len(some):
+                apart = np.bitwise_count(self.stack[words][self.row[some]] ^ sig).sum(axis=1).astype(np.int64)
+                most = (self.n[some] + self.n[i] - apart) // 2
+                kept.append(some[DEN * most >= NUM * (self.n[some] + self.n[i] - most)])
+        return np.sort(np.concatenate(kept)) if kept else others[:0]
+
+
+def _tile_forest(who: list[int], n: np.ndarray, sigs: list[np.ndarray], side: np.ndarray, cross: bool, linked) -> pa.RecordBatch | None:
     """A forest of the pairs that linked(i, j) accepts; rows come in order of n, and pairs already joined are passed over."""
-    comp = np.arange(len(who))
+    comp, bounds = np.arange(len(who)), _Signatures(n, sigs)
     a, b = [], []
     for i in range(1, len(who)):
         others = np.arange(int(np.searchsorted(n, -(-NUM * n[i] // DEN))), i)
@@ -200,7 +224,7 @@ def _tile_forest(who: list[int], n: np.ndarray, sigs: np.ndarray, side: np.ndarr
         if cross:
             others = others[side[others] != side[i]]
         if len(others):
-            others = _able(n, sigs, i, others)
+            others = bounds.able(i, others)
         while len(others := others[comp[others] != comp[i]]):
             j, others = others[0], others[1:]
             if linked(i, j):
@@ -214,7 +238,8 @@ def _candidate_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for tile in groups(batches, ["cluster", "left", "right"]):
         n, rep = tile.column("n").to_numpy().astype(np.int64), tile.column("rep").to_numpy()
         order = np.lexsort((rep, n))
-        sigs = tile.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), -1)[order]
+        sig = tile.column("sig").combine_chunks()
+        sigs = [sig[k].values.to_numpy() for k in order.tolist()]
         side = np.array(tile.column("own").to_pylist())[order]
         out = _tile_forest(rep[order].tolist(), n[order], sigs, side, tile.column("left")[0] != tile.column("right")[0], lambda i, j: True)
         if out is not None:
@@ -238,7 +263,7 @@ def _link_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         n = np.array([len(s) for s in sets])
         linked = lambda i, j: _linked(n[i], n[j], len(np.intersect1d(sets[i], sets[j], assume_unique=True)))  # noqa: B023, E731
-        out = _tile_forest(who, n, np.stack([signature(s) for s in sets]).view(np.uint64), side, tile.column("left")[0] != tile.column("right")[0], linked)
+        out = _tile_forest(who, n, [signature(s) for s in sets], side, tile.column("left")[0] != tile.column("right")[0], linked)
         if out is not None:
             yield out
 
@@ -284,9 +309,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = saved.save(rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_meetings, "a long, b long, star boolean").distinct())
     one = classes.select(F.col("d1").alias("a"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     two = classes.select(F.col("d1").alias("b"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-    apart = sum((F.bit_count(F.col("sig_a")[k].bitwiseXOR(F.col("sig_b")[k])) for k in range(SIGNATURE_WORDS)), F.lit(0))
+    # of signatures that may link the longer one folds onto the shorter, once at most
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseOR(q))).otherwise(x)
+    differ = F.zip_with(fold(F.col("sig_a"), F.col("sig_b")), fold(F.col("sig_b"), F.col("sig_a")), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(differ, F.lit(0), lambda t, x: t + x)
     most = F.floor((F.col("n_a") + F.col("n_b") - apart) / 2)
-    able = (DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b")) & (DEN * most >= NUM * (F.col("n_a") + F.col("n_b") - most))
+    sized = DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b")
+    able = F.when(sized, DEN * most >= NUM * (F.col("n_a") + F.col("n_b") - most)).otherwise(False)
     pairs = met.where("not star").join(one, "a").join(two, "b").where(able).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     grouped = met.where("star").join(two, "b").select(F.col("a").alias("cluster"), F.col("rep_b").alias("rep"), F.col("n_b").alias("n"), F.col("sig_b").alias("sig"))
     grouped = _spread(grouped).select(*_TILE, "own", "rep", "n", "sig").repartition(*_TILE).sortWithinPartitions(*_TILE)
