@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.tables import Saved, split_column, text_or_empty
+from lodestar.llm.tables import Saved, text_or_empty
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -39,12 +39,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total
     return s.select("source", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each input row: (doc_id, source, size, source_size, target, taken), and under `row` the input columns named in carry.
 
     Sizes are counted in words. A source takes its documents whole as often as its target holds its size, then the
     documents with the smallest keys -ln(u) / quality until the words left are used up, the last of them in part;
-    u comes from a digest of id and text, so reruns agree. `taken` counts words, repeats included. A null or blank
+    u comes from a digest of id and text, so reruns agree. quality has (doc_id, weight), a row for an id. `taken` counts words, repeats included. A null or blank
     text has size 0 and takes 0; a null source is one source of its own, last in order; equal rows tie without
     effect on what the source takes; a null or non-positive quality counts as 1; an empty table gives none.
 
@@ -52,12 +52,16 @@ def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[float, ..
     a source with a third of all documents is spread over all tasks.
     """
     saved = Saved(docs.sparkSession)
-    q = F.coalesce(quality, F.lit(1.0)) if quality is not None else F.lit(1.0)
-    q = F.when(q > 0, q).otherwise(1.0)
     text = text_or_empty(text_col)
     draw = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text))
-    u = (F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), draw.alias("draw"), (-F.log(u) / q).alias("key"), *([F.struct(*carry).alias("row")] if carry else []))
+    u = (F.conv(F.substring("draw", 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), draw.alias("draw"), *([F.struct(*carry).alias("row")] if carry else []))
+    if quality is not None:
+        weight = quality.select(F.col("doc_id").alias("weighted_id"), F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0).alias("weight"))
+        base = base.join(weight, F.col("doc_id") == F.col("weighted_id"), "left").drop("weighted_id")
+    else:
+        base = base.withColumn("weight", F.lit(1.0))
+    base = base.withColumn("key", -F.log(u) / F.coalesce("weight", F.lit(1.0))).drop("weight")
     base = base.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     base = saved.save(base.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * RANGES).cast("int")))
 
@@ -78,13 +82,10 @@ def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[float, ..
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), *(["row"] if carry else []))
 
 
-def quality_weight(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a column of sampling weights from labels (doc_id, quality), and the column's name."""
-    name = split_column(docs, "quality_weight")
-    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max("quality").alias("labelled_quality"))
-    weight = F.when(F.col("labelled_quality") == 1, QUALITY[1]).when(F.col("labelled_quality") == 0, QUALITY[0]).otherwise(QUALITY[None])
-    joined = docs.join(marks, docs["doc_id"] == marks["labelled_id"], "left")
-    return joined.withColumn(name, weight).select(*[docs[c] for c in docs.columns], name), name
+def label_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, weight) from labels (doc_id, quality); of several labels of an id the highest counts."""
+    marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return marks.select("doc_id", F.when(F.col("quality") == 1, QUALITY[1]).when(F.col("quality") == 0, QUALITY[0]).otherwise(QUALITY[None]).alias("weight"))
 
 
 SQL = """

@@ -33,8 +33,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, weight = mixing.quality_weight(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), read(spark, sf_dir, "labels"))
-    return mixing.mix(docs, F.col(weight)).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), mixing.label_weights(read(spark, sf_dir, "labels")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

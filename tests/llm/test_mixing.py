@@ -53,7 +53,7 @@ def test_targets_and_taken(documents):
 def test_better_documents_come_first(documents):
     rows = [(k, f"{k} b c d", "a" if k % 4 else "b") for k in range(3000)]
     docs = documents(rows)
-    got = mix(docs, F.when(F.col("doc_id") % 2 == 0, 4.0).otherwise(1.0)).where("taken % size = 0").collect()
+    got = mix(docs, docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 4.0).otherwise(1.0).alias("weight"))).where("taken % size = 0").collect()
     part = [r for r in got if r.source == "a"]
     share = lambda even: sum(r.taken > r.size for r in part if (r.doc_id % 2 == 0) == even) / max(1, sum((r.doc_id % 2 == 0) == even for r in part))
     base = {r.taken // r.size for r in part}
