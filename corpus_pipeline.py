@@ -42,8 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats, keeps, cuts or drops documents as the mix takes them: a row for each whole use, and a text cut after the words taken for a use in part."""
-    weighted, name = mixing.quality_weight(docs.select(*COLUMNS), read(spark, sf_dir, "labels"))
-    taken = mixing.mix(weighted, F.col(name), carry=COLUMNS).where("taken > 0")
+    taken = mixing.mix(docs, mixing.label_weights(read(spark, sf_dir, "labels")), carry=COLUMNS).where("taken > 0")
     uses = taken.select("row", "size", (F.col("taken") % F.col("size")).alias("rest"), F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))).alias("use"), F.floor(F.col("taken") / F.col("size")).alias("whole"))
     words = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(F.col("use") <= F.col("whole"), F.col("row.text")).otherwise(F.concat_ws("", F.slice(words, F.lit(1), F.col("rest").cast("int"))))
