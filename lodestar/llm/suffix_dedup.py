@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,11 +115,17 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(length: int, reach: int):
-    """The suffix at each named anchor, up to reach - 1 bytes before it, and which of them start strings with this anchor."""
+    """The suffix at each named anchor, the bytes before it in which strings with this anchor start, and where the two stand.
+
+    Equal ones of a chunk of documents are one row with a list of places, so a text that repeats a short period
+    sends as many rows as the period has, not one for each round.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "doc_id", "text_hash", "anchor", "low", "high", "before", "after"]
+        names = ["h", "low", "high", "before", "after", "docs", "texts", "anchors"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 3]
         for batch in batches:
+            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
             wanted = batch.column("hs")
             for first, flat, offsets in chunks(batch.column("text"), PIECE):
                 doc, at, low, high = anchors(flat, offsets, length, reach)
@@ -135,11 +142,14 @@ def _suffixes(length: int, reach: int):
                 begins = np.maximum(low, offsets[doc])
                 before = [raw[a:b][::-1] for a, b in zip(begins.tolist(), at.tolist(), strict=True)]
                 after = [raw[a:b] for a, b in zip(at.tolist(), np.minimum(at + length, ends).tolist(), strict=True)]
-                take = pa.array(first + doc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(at - offsets[doc]), pa.array((at - high).astype(np.int32)), pa.array((at - low).astype(np.int32)), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
-                    names,
-                )
+                places: dict[tuple, tuple[list, list, list]] = {}
+                for key, k, x in zip(zip(h.tolist(), (at - high).tolist(), (at - low).tolist(), before, after, strict=True), (first + doc).tolist(), (at - offsets[doc]).tolist(), strict=True):
+                    own = places.setdefault(key, ([], [], []))
+                    for col, v in zip(own, (ids[k], hashes[k], x), strict=True):
+                        col.append(v)
+                if places:
+                    rows = [(*k, *v) for k, v in places.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return run
 
@@ -198,21 +208,23 @@ def _repeats(length: int, reach: int):
         before, had = _symbols(rows.column("before"), reach)
         order, common = interleave(groups.astype(np.int64), after)
         size, had, before = size[order], had[order], before[order].astype(np.uint64)
-        anchor, low, high = (rows.column(c).to_numpy()[order].astype(np.int64) for c in ("anchor", "low", "high"))
+        low, high = (rows.column(c).to_numpy()[order].astype(np.int64) for c in ("low", "high"))
+        places = rows.select(["docs", "texts", "anchors"]).take(pa.array(order))
+        many = pc.list_value_length(places.column("docs")).to_numpy()
         least, most = np.full(len(order), reach), np.full(len(order), -1)
         left = np.zeros(len(order), np.uint64)
         for j in range(int(high.max()) + 1):
             if j:
                 left = mix(left * np.uint64(257) + before[:, j - 1] + np.uint64(1))
             own = np.flatnonzero((low <= j) & (j <= high) & (size >= length - j) & (had >= j))
-            if len(own) < 2:
+            if not len(own):
                 continue
             interval = np.cumsum(common < length - j)[own].astype(np.uint64)
             key = mix(interval) ^ left[own]
             by = np.argsort(key, kind="stable")
             k = key[by]
-            twice = np.zeros(len(k), bool)
-            twice[1:] = k[1:] == k[:-1]
+            twice = many[own[by]] > 1
+            twice[1:] |= k[1:] == k[:-1]
             twice[:-1] |= k[1:] == k[:-1]
             hit = own[by[twice]]
             least[hit] = np.minimum(least[hit], j)
@@ -220,9 +232,9 @@ def _repeats(length: int, reach: int):
         found = np.flatnonzero(most >= 0)
         if not len(found):
             return None
-        take = pa.array(order[found])
-        cols = [rows.column(c).take(take).combine_chunks() for c in ("doc_id", "text_hash")]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(anchor[found] - most[found]), pa.array(anchor[found] - least[found] + length)], ["doc_id", "text_hash", "start", "end"])
+        doc_id, text_hash, anchor = (pc.list_flatten(places.column(c).take(pa.array(found))).to_numpy() for c in ("docs", "texts", "anchors"))
+        begin, stop = (np.repeat(x, many[found]) for x in (-most[found], length - least[found]))
+        return pa.RecordBatch.from_arrays([pa.array(doc_id), pa.array(text_hash), pa.array(anchor + begin), pa.array(anchor + stop)], ["doc_id", "text_hash", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -272,7 +284,7 @@ def repeated_runs(docs: DataFrame, saved: Saved, length: int = LENGTH, reach: in
     named = docs.mapInArrow(_named(length, reach), "h long, doc_id long, text_hash long")
     wanted = named.repartition("h").sortWithinPartitions("h").mapInArrow(_several, "h long, doc_id long, text_hash long")
     by_doc = saved.save(wanted.groupBy(*keys).agg(F.collect_set("h").alias("hs")))
-    held = docs.join(by_doc, keys).select(*keys, "text", "hs").mapInArrow(_suffixes(length, reach), "h long, doc_id long, text_hash long, anchor long, low int, high int, before binary, after binary")
+    held = docs.join(by_doc, keys).select(*keys, "text", "hs").mapInArrow(_suffixes(length, reach), "h long, low int, high int, before binary, after binary, docs array<long>, texts array<long>, anchors array<long>")
     runs = held.repartition("h").sortWithinPartitions("h").mapInArrow(_repeats(length, reach), "doc_id long, text_hash long, start long, end long")
     return runs.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
@@ -284,8 +296,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     too, in the same document or another; strings are judged on the input and end with their document. Rows that
     repeat id and text repeat each other's strings. A null id is carried along. An empty table gives none.
     """
-    if not 1 <= reach < length:
-        raise ValueError("reach must be at least 1 and less than length")
+    if not 1 <= reach <= length - GRAM + 1:
+        raise ValueError("reach must leave room for a gram in the string")
     saved = Saved(docs.sparkSession)
     text = text_or_empty(text_col)
     # ids are for joining: null becomes an id of its own

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lodestar.llm.suffix_dedup import interleave, suffix_dedup
 
@@ -45,11 +46,16 @@ def test_contract_lengths(documents):
 
 
 def test_short_strings_against_brute_force(documents):
-    for seed, length, reach in ((3, 40, 12), (4, 25, 24), (5, 64, 1)):
+    for seed, length, reach in ((3, 40, 12), (4, 32, 25), (5, 64, 1)):
         rows = corpus(seed, 60, 120)
         assert got(documents(rows), length=length, reach=reach) == brute(rows, length)
 
 
+def test_anchors_must_lie_in_the_string(documents):
+    with pytest.raises(ValueError):
+        suffix_dedup(documents([(1, "a")]), length=25, reach=24)
+
+
 def test_odd_rows(documents):
     rows = [(1, None), (2, ""), (3, "a" * 2000), (4, "ab" * 450), (5, "z" * 399), (6, "z" * 399), (7, "y" * 400), (7, "y" * 400), (None, "w" * 401 + "!"), (None, "v" + "w" * 401), (8, "one " * 300)]
     assert got(documents(rows)) == brute(rows, 400)
