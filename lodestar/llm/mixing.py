@@ -55,7 +55,9 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
     text = text_or_empty(text_col)
     draw = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text))
     u = (F.conv(F.substring("draw", 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), draw.alias("draw"), *([F.struct(*carry).alias("row")] if carry else []))
+    # rows with equal marks are equal in all that is carried
+    marks = [F.xxhash64(F.lit(k), *[y for c in carry for y in (F.col(c).isNull(), F.col(c))]).alias(f"mark{k}") for k in (1, 2)] if carry else []
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), draw.alias("draw"), *marks)
     if quality is not None:
         weight = quality.select(F.col("doc_id").alias("weighted_id"), F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0).alias("weight"))
         base = base.join(weight, F.col("doc_id") == F.col("weighted_id"), "left").drop("weighted_id")
@@ -79,7 +81,14 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
     cut = cut.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("words") - F.col("used"))))
     whole = rows.where(~inside).withColumn("used", F.col("before")).withColumn("part", F.when(F.col("before") + F.col("range_size") <= F.col("words"), F.col("size")).otherwise(0))
     out = cut.unionByName(whole)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), *(["row"] if carry else []))
+    out = out.withColumn("taken", (F.col("epochs") * F.col("size") + F.col("part")).cast("long"))
+    if not carry:
+        return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+    # carried columns are shuffled once, to meet what was decided about them; equal rows are one row and a count here
+    decided = out.groupBy("mark1", "mark2", "doc_id", "source", "size", "source_size", "target", "taken").agg(F.count("*").alias("times"))
+    carried = docs.select(F.struct(*carry).alias("row"), *marks).groupBy("mark1", "mark2").agg(F.first("row").alias("row"))
+    met = carried.join(decided, ["mark1", "mark2"])
+    return met.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("doc_id", "source", "size", "source_size", "target", "taken", "row")
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
