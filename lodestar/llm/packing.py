@@ -1,9 +1,9 @@
 """Best-fit packing of tokenised documents into sequences: a configuration linear program over the length histogram.
 
 Documents are tokenised and cut where they are; what is packed is the histogram of piece lengths, at most `capacity`
-numbers whatever the corpus. Multiplicative weights price patterns by a knapsack dynamic program, whole uses of the
-patterns are taken, best fit in order of decreasing length packs what rounding leaves, and pieces look up their
-place by length and rank.
+numbers whatever the corpus. Multiplicative weights price patterns by a knapsack dynamic program, bounded by the pieces
+that are left, and patterns are taken in whole uses until the pieces run out; best fit in order of decreasing length
+packs the few that no pattern takes, and pieces look up their place by length and rank.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +26,8 @@ from lodestar.llm.tables import Saved
 
 CAPACITY = 4096
 END_ID = 1
-#: Patterns that multiplicative weights price, the step of the weights, and the share of a pattern's possible uses taken at once.
-PATTERNS, ETA, SHARE = 48, 1.0, 0.5
+#: The step of the weights, what a length of a whole sequence is worth above its share, and how far below the best pattern's worth one may be taken.
+ETA, LONG, NEAR = 0.1, 0.5, 0.3
 #: Parts of texts of which a task remembers the ids.
 REMEMBERED = 1 << 19
 #: Groups in which the pieces of one length are ranked.
@@ -110,65 +110,88 @@ def _pieces(path: str, capacity: int):
     return run
 
 
+def knapsack(lengths: np.ndarray, price: np.ndarray, copies: np.ndarray, capacity: int) -> tuple[np.ndarray, Callable[[int], dict[int, int]]]:
+    """The highest price of any multiset of lengths by room, no length oftener than its copies; and, for a room, that multiset by place."""
+    items: list[tuple[int, int, int]] = []  # place, times, length of all: copies in powers of two
+    for k, (x, n) in enumerate(zip(lengths.tolist(), copies.tolist(), strict=True)):
+        t = 1
+        while n > 0:
+            items.append((k, min(t, n), x * min(t, n)))
+            n, t = n - t, 2 * t
+    worth, took = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
+    for i, (k, t, size) in enumerate(items):
+        if size <= capacity:
+            got = worth[: capacity + 1 - size] + t * price[k]
+            np.greater(got, worth[size:], out=took[i, size:])
+            np.maximum(got, worth[size:], out=worth[size:])
+
+    def taken(room: int) -> dict[int, int]:
+        out: dict[int, int] = defaultdict(int)
+        i = len(items)
+        while room > 0 and len(at := np.flatnonzero(took[:i, room])):
+            i = int(at[-1])
+            out[items[i][0]] += items[i][1]
+            room -= items[i][2]
+        return dict(out)
+
+    return worth, taken
+
+
 def best_pattern(lengths: np.ndarray, price: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of at most `capacity` in total that has the highest price: an unbounded knapsack."""
-    worth, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        k = np.searchsorted(lengths, c, "right")
-        worth[c] = worth[c - 1]
-        if k:
-            got = price[:k] + worth[c - lengths[:k]]
-            j = int(got.argmax())
-            if got[j] > worth[c]:
-                worth[c], took[c] = got[j], lengths[j]
-    pattern: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c > 0:
-        if took[c]:
-            pattern[int(took[c])] += 1
-            c -= int(took[c])
-        else:
-            c -= 1
-    return dict(pattern)
-
-
-def configuration_lp(histogram: dict[int, int], capacity: int, patterns: int = PATTERNS) -> list[tuple[float, dict[int, int]]]:
-    """Fractional uses of patterns by multiplicative weights: lengths that are covered least are worth most."""
+    """The multiset of lengths of at most `capacity` in total that has the highest price."""
+    _, taken = knapsack(lengths, price, capacity // lengths, capacity)
+    return {int(lengths[k]): n for k, n in taken(capacity).items()}
+
+
+def configuration_lp(histogram: dict[int, int], capacity: int, patterns: int | None = None) -> list[tuple[int, dict[int, int]]]:
+    """Whole uses of patterns by multiplicative weights, until every piece is covered or `patterns` are found.
+
+    A length's price is its share of a sequence, more for a long one, which fits in fewer places, times a weight that
+    falls as the length is covered, so one that lags is worth most. A round's program gives the best pattern and
+    the best ones that hold each length; those that lie NEAR it are taken, best first, as often as the pieces left allow,
+    so each runs short of a length and rounding takes nothing away.
+    """
     lengths = np.array(sorted(histogram), np.int64)
-    need = np.array([histogram[int(x)] for x in lengths], float)
-    covered, found = np.zeros(len(lengths)), []
-    place = {int(x): k for k, x in enumerate(lengths)}
-    for _ in range(min(patterns, 4 * len(lengths))):
-        # a length's fair price is its share of a sequence; weights raise it where cover lags
-        price = lengths / capacity * np.exp(-ETA * covered / need)
-        pattern = best_pattern(lengths, np.where(covered < need, price, 0.0), capacity)
-        if not pattern:
-            break
-        at = np.array([place[x] for x in pattern])
-        many = np.array(list(pattern.values()), float)
-        use = max(1.0, SHARE * float((need[at] / many).min()))
-        covered[at] += use * many
-        found.append((use, pattern))
-    return found
-
-
-def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, patterns: int = PATTERNS) -> list[tuple[int, tuple[int, ...]]]:
+    need = np.array([histogram[int(x)] for x in lengths], np.int64)
+    left, found = need.copy(), []
+    while left.any() and (patterns is None or len(found) < patterns):
+        live = np.flatnonzero(left)
+        x = lengths[live]
+        price = x / capacity * (1 + LONG * x / capacity) * np.exp(-ETA * (1 - left[live] / need[live]))
+        worth, taken = knapsack(x, price, np.minimum(left[live], capacity // x), capacity)
+        holding = price + worth[capacity - x]
+        near = [k for k in np.argsort(-holding, kind="stable").tolist() if holding[k] >= (1 - NEAR) * worth[capacity]]
+        for k in (None, *near):
+            if k is not None and not left[live[k]]:
+                continue
+            pattern = taken(capacity if k is None else capacity - int(x[k]))
+            if k is not None:
+                pattern[k] = pattern.get(k, 0) + 1
+            at, many = live[list(pattern)], np.array(list(pattern.values()), np.int64)
+            use = int((left[at] // many).min())
+            if use:
+                left[at] -= use * many
+                found.append((use, dict(zip(lengths[at].tolist(), many.tolist(), strict=True))))
+    return found if patterns is None else found[:patterns]
+
+
+def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, patterns: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
     """(how many sequences, the lengths in each) that use up the histogram.
 
-    The program's patterns are rounded down and best fit packs the rest. Rounding may keep all patterns or only the
-    first of them, and the fewest sequences win, the most patterns among equals.
+    The last patterns found, of what is left over, may be poor, so all are kept or only the first of them, with best fit for the
+    rest; the fewest sequences win, the most patterns among equals.
     """
     found = configuration_lp(histogram, capacity, patterns) if histogram else []
-    tries = (_rounded(histogram, capacity, found[: len(found) // k]) for k in (1, 2, 4, len(found) + 1))
+    tries = (_rounded(histogram, capacity, found[: len(found) * k // 20]) for k in (20, 19, 18, 15, 10, 5, 0))
     return min(tries, key=lambda packed: sum(times for times, _ in packed))
 
 
-def _rounded(histogram: dict[int, int], capacity: int, found: list[tuple[float, dict[int, int]]]) -> list[tuple[int, tuple[int, ...]]]:
+def _rounded(histogram: dict[int, int], capacity: int, found: list[tuple[int, dict[int, int]]]) -> list[tuple[int, tuple[int, ...]]]:
     left = dict(histogram)
     out: list[tuple[int, tuple[int, ...]]] = []
     open_bins: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
     for use, pattern in found:
-        times = min(int(use), *(left[x] // k for x, k in pattern.items()))
+        times = min(use, *(left[x] // k for x, k in pattern.items()))
         if times > 0:
             for x, k in pattern.items():
                 left[x] -= k * times

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lodestar.llm.packing import WordTokenizer, best_pattern, pack, pack_histogram
+from lodestar.llm.packing import WordTokenizer, best_pattern, configuration_lp, pack, pack_histogram
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -99,3 +99,15 @@ def test_best_pattern_is_best():
 
         assert sum(x * k for x, k in pattern.items()) <= 40
         assert abs(sum(worth[x] * k for x, k in pattern.items()) - best(40)) < 1e-9
+
+
+@pytest.mark.parametrize("most", [3, 400])
+def test_patterns_cover_every_length(most):
+    rng = random.Random(most)
+    histogram = {x: rng.randint(1, most) for x in rng.sample(range(1, 513), 300)}
+    covered = dict.fromkeys(histogram, 0)
+    for use, pattern in configuration_lp(histogram, 512):
+        assert use >= 1 and use == int(use) and sum(x * k for x, k in pattern.items()) <= 512
+        for x, k in pattern.items():
+            covered[x] += use * k
+    assert covered == histogram
