@@ -66,11 +66,21 @@ class WordTokenizer:
         whole = self.whole = Tokenizer.from_file(path)
         whole.encode_special_tokens = True
         model = whole.model
+        # of its own: in whole the strings of added tokens are text, in the vocabulary's ids they are one id each
+        self.unchanged = Tokenizer.from_file(path)
+        added = sorted({t.content for t in self.unchanged.get_added_tokens_decoder().values()}, key=len, reverse=True)
+        self.holds_added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
         self.units = _Remembered(lambda part: [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(_BYTE_CHARS))])
         self.words = _Remembered(lambda part: whole.encode(part, add_special_tokens=False).ids)
 
+    def contract_ids(self, text: str) -> bytes:
+        """The unchanged tokenizer's ids of a text, which may hold added tokens, as ids() gives them."""
+        if self.holds_added(text):
+            return _packed(self.unchanged.encode(text, add_special_tokens=False).ids)
+        return self.ids(text)
+
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        """Little-endian unsigned 32-bit ids of a text in which the strings of added tokens are plain text."""
         if not _NOT_PLAIN.search(text):
             parts, known = _UNITS.findall(text.lower()), self.units
         elif not _ODD_BLANK.search(text):
@@ -100,7 +110,7 @@ def _pieces(path: str, capacity: int):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = tokenizer.ids(text.as_py() or "") + end
+                ids = tokenizer.contract_ids(text.as_py() or "") + end
                 for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[a : a + 4 * capacity]
                     for col, v in zip(out, (doc_id, k, a // 4, len(part) // 4, zlib.crc32(part)), strict=True):

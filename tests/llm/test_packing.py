@@ -111,3 +111,14 @@ def test_patterns_cover_every_length(most):
         for x, k in pattern.items():
             covered[x] += use * k
     assert covered == histogram
+
+
+def test_added_tokens_have_their_own_ids(documents):
+    plain = Tokenizer.from_file(PATH)
+    texts = [*ODD, "a<|endoftext|>b", "<|startoftext|>", " <|endoftext|> <|ENDOFTEXT|> x<|endoftext|>", "日本<|endoftext|>語\x1c"]
+    for text in texts:
+        assert np.frombuffer(WordTokenizer(PATH).contract_ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in pack(documents(list(enumerate(texts))), PATH).collect()}
+    for k, text in enumerate(texts):
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 1]
+        assert got[k] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
