@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 from lodestar.llm.tables import split_column
 from lodestar.llm.textbytes import chunks, mix, word_hashes
 
-#: Labelled documents that training takes at most, drawn by a hash of the id.
+#: Labelled documents that the network learns from at most, drawn by a hash of the id; word vectors come from all documents.
 SAMPLE = 12_000
 #: Rows of the table of word vectors (words share rows by hash), and dimensions.
 ROWS, DIMS = 1 << 15, 96
 #: Non-zero entries of a word's index vector, and words to each side that count as its context.
 NONZERO, REACH = 6, 2
+#: Ranges of rows in which tasks' tables are added.
+RANGES = 64
 HIDDEN, EPOCHS, BATCH = 48, 30, 128
 #: Python and numpy hold so many words of a text at once.
 PIECE = 1 << 16
@@ -29,12 +31,21 @@ _SHAPE[[9, 10, 11, 12, 13, 32]] = 3
 _SHAPE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 4
 
 
-def index_vectors() -> np.ndarray:
-    """Sparse ternary vectors, one for each row of the table, from a fixed seed."""
+def index_entries() -> tuple[np.ndarray, np.ndarray]:
+    """The places and signs of the entries of every row's index vector, from a fixed seed; of entries at one place the last counts."""
     rng = np.random.default_rng(11)
-    out = np.zeros((ROWS, DIMS), np.float32)
     at = rng.integers(0, DIMS, (ROWS, NONZERO))
-    out[np.arange(ROWS)[:, None], at] = rng.choice(np.array([-1, 1], np.float32), (ROWS, NONZERO))
+    sign = rng.choice(np.array([-1, 1], np.float32), (ROWS, NONZERO)).astype(np.int32)
+    for k in range(NONZERO - 1):
+        sign[(at[:, k : k + 1] == at[:, k + 1 :]).any(axis=1), k] = 0
+    return at, sign
+
+
+def index_vectors() -> np.ndarray:
+    """Sparse ternary vectors, one for each row of the table."""
+    at, sign = index_entries()
+    out = np.zeros((ROWS, DIMS), np.float32)
+    np.add.at(out, (np.arange(ROWS)[:, None], at), sign.astype(np.float32))
     return out
 
 
@@ -79,8 +90,12 @@ def features(table: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.nda
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every task one table: for each word the sum of the index vectors around it."""
-    index, total = index_vectors(), np.zeros((ROWS, DIMS), np.float32)
+    """Of every task one table, by ranges of rows: for each word the sum of the index vectors around it."""
+    (at, sign), total = index_entries(), np.zeros(ROWS * DIMS, np.int32)
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        np.add.at(total, (x[:, None] * DIMS + at[y]).ravel(), sign[y].ravel())
+
     for batch in batches:
         for _, flat, offsets in chunks(batch.column("text"), PIECE):
             words, counts = tokens(flat, offsets)
@@ -90,19 +105,35 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     x, y = words[a : a + PIECE], words[a + d : a + d + PIECE]
                     x = x[: len(y)]
                     ok = doc[a : a + len(y)] == doc[a + d : a + d + len(y)]
-                    np.add.at(total, x[ok], index[y[ok]])
-                    np.add.at(total, y[ok], index[x[ok]])
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+                    add(x[ok], y[ok])
+                    add(y[ok], x[ok])
+    parts = [(k, part.tobytes()) for k, part in enumerate(total.reshape(RANGES, -1)) if part.any()]
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int32(), pa.binary()), strict=True)], ["range", "total"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums, in 64 bits, of tasks' tables by range."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, total in zip(batch.column("range").to_pylist(), batch.column("total"), strict=True):
+            part = np.frombuffer(total.as_buffer(), np.int32)
+            sums[k] = sums[k] + part if k in sums else part.astype(np.int64)
+    for k, part in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["range", "total"])
 
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """The table of word vectors over texts (text): summed contexts and the word's own index vector, scaled to length 1.
 
-    Each of at most eight tasks returns one table of ROWS x DIMS numbers, and the driver adds them one at a time.
+    Tasks' tables are added by range of rows in Spark, and the driver gets one table of ROWS x DIMS numbers, whatever
+    the number of tasks. Contexts are whole numbers, so their order has no effect.
     """
-    total = np.zeros((ROWS, DIMS), np.float32)
-    for row in texts.coalesce(8).mapInArrow(_contexts, "total binary").toLocalIterator():
-        total += np.frombuffer(row["total"], np.float32).reshape(ROWS, DIMS)
+    total = np.zeros((RANGES, ROWS * DIMS // RANGES))
+    by_range = texts.mapInArrow(_contexts, "range int, total binary").repartition("range")
+    for row in by_range.mapInArrow(_added, "range int, total binary").toLocalIterator():
+        total[row["range"]] = np.frombuffer(row["total"], np.int64)
+    total = total.reshape(ROWS, DIMS)
     total /= np.maximum(np.sqrt((total**2).sum(axis=1, keepdims=True)), 1e-6)
     total += index_vectors() / np.sqrt(NONZERO)
     return (total / np.maximum(np.sqrt((total**2).sum(axis=1, keepdims=True)), 1e-6)).astype(np.float32)
@@ -151,7 +182,7 @@ class Network:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
-    """Word vectors and network from labels (doc_id, quality) and their documents, SAMPLE of them at most.
+    """Word vectors from all documents, and a network from labels (doc_id, quality) and their documents, SAMPLE of them at most.
 
     Rows without an id or a label of 0 or 1 are passed over; an id with both labels counts as 0, one with
     several texts by the least of them. The sample's ids are
@@ -161,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
     rows = rows.repartition(8, "doc_id").persist()
-    table = word_vectors(rows.select("text"))
+    table = word_vectors(docs.select(F.col("text").cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 
 from lodestar.llm.queries import op8_quality
-from lodestar.llm.quality import Network, held_out, score, train
+from lodestar.llm.quality import NONZERO, Network, held_out, index_vectors, score, tokens, train
 
 
 def test_held_out_accuracy_on_the_driver_tables(spark, sample):
@@ -42,3 +42,19 @@ def test_temperature_is_positive_and_scores_follow_labels():
     y = (x[:, 0] + 0.3 * rng.standard_normal(600) > 0).astype(float)
     net = Network().fit(x, y)
     assert net.temperature > 0 and net.score(x)[y == 1].mean() > 0.8 > 0.2 > net.score(x)[y == 0].mean()
+
+
+def test_word_vectors_come_from_documents_without_labels_too(spark, documents):
+    texts = ["calm prose of many words", "SHOUT!! BUY!!", "zebra crossing quagga zebra", "okapi zebra", None]
+    table, _ = train(documents(list(enumerate(texts))), spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int"))
+    index, total = index_vectors().astype(float), np.zeros(table.shape)
+    for text in texts:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        words = tokens(raw, np.array([0, len(raw)]))[0].tolist()
+        for i, x in enumerate(words):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(words):
+                    total[x] += index[words[j]]
+    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6)
+    total += index / np.sqrt(NONZERO)
+    assert np.allclose(table, total / np.linalg.norm(total, axis=1, keepdims=True), atol=1e-5)
