@@ -444,11 +444,8 @@ def encode_hash_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("tfidf_encode")
 def tfidf_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    out = encoders.encode_with(encoders.fit_tfidf(docs, features=1 << 12), docs)
-    return out.select("doc_id", F.size(F.filter(vector_to_array("embedding"), lambda x: x != 0)).alias("terms"))
+    out = encoders.tfidf(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size(F.filter("embedding", lambda x: x["weight"] != 0)).alias("terms"))
 
 
 # --- streams --------------------------------------------------------------------------------------------------------

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 Model = Callable[[list], np.ndarray]
 
+#: Words of letters, digits and underscores of any script, as TF-IDF counts them.
+WORD = r"(?U)\w+"
+
 
 def encode(df: DataFrame, load_model: Callable[[], Model], input_col: str, output_col: str = "embedding", batch_size: int = 32, keep_empty: bool = False) -> DataFrame:
     """df with output_col, the model's vector for input_col.
@@ -84,7 +87,31 @@ def pooled_grid(dims: int = 64, how: str = "mean", seed: int = 0) -> Callable[[]
 def fit_tfidf(docs: DataFrame, text_col: str = "text", features: int = 1 << 17) -> PipelineModel:
     """Term counts in hashed slots by inverse document frequency, at length 1; fitted over all rows with a text."""
     rows = docs.where(F.char_length(text_col) > 0)
-    return Pipeline(stages=[RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"\w+", gaps=False), HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features), IDF(inputCol="_counts", outputCol="_weights"), Normalizer(inputCol="_weights", outputCol="embedding")]).fit(rows)
+    return Pipeline(stages=[RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=WORD, gaps=False), HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features), IDF(inputCol="_counts", outputCol="_weights"), Normalizer(inputCol="_weights", outputCol="embedding")]).fit(rows)
+
+
+def tfidf(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows with a text and their embedding over the exact vocabulary: (word, weight) by word, at length 1.
+
+    Weights are those of fit_tfidf() without its slots: a word's count times log((rows + 1) / (rows with it + 1)). Rows
+    of one text are weighed once, and count as often as they are there.
+    """
+    key = "_key"
+    while key in docs.columns:
+        key = f"_{key}"
+    rows = docs.where(F.char_length(text_col) > 0)
+    texts = rows.groupBy(F.col(text_col).alias("text")).agg(F.count("*").alias("copies"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    # in two steps, or the hash of a text is worked out for each of its words
+    split = texts.select(F.unhex(F.sha2("text", 256)).alias(key), "copies", words.alias("words"))
+    counts = split.select(key, "copies", F.explode("words").alias("word")).groupBy(key, "copies", "word").agg(F.count("*").alias("n"))
+    having = counts.groupBy("word").agg(F.sum("copies").alias("having"))
+    weighed = counts.join(having, "word").select(key, "word", (F.col("n") * F.log((F.lit(rows.count()) + 1) / (F.col("having") + 1))).alias("weight"))
+    vectors = weighed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("word", "weight"))).alias("terms"), F.sqrt(F.sum(F.col("weight") ** 2)).alias("size"))
+    scaled = F.transform("terms", lambda t: F.struct(t["word"].alias("word"), F.when(F.col("size") > 0, t["weight"] / F.col("size")).otherwise(0.0).alias("weight")))
+    none = F.array().cast("array<struct<word:string,weight:double>>")
+    joined = rows.withColumn(key, F.unhex(F.sha2(text_col, 256))).join(vectors.select(key, scaled.alias("embedding")), key, "left")
+    return joined.drop(key).withColumn("embedding", F.coalesce("embedding", none))
 
 
 def fit_word_vectors(docs: DataFrame, text_col: str = "text", dims: int = 96, seed: int = 0, least: int = 2) -> PipelineModel:

@@ -247,6 +247,24 @@ def test_tfidf_and_word_vectors(spark, tmp_path):
     assert all(len(r.embedding) == 8 for r in wv)
 
 
+def test_tfidf_counts_every_word(spark, tmp_path):
+    import math
+
+    from lodestar.catalog import QUERIES
+
+    many = " ".join(f"w{k}" for k in range(6000))
+    texts = [(1, many), (2, "Caf\u00e9 na\u00efve caf\u00e9"), (3, "both caf\u00e9"), (3, "both caf\u00e9"), (4, None), (5, ""), (6, "..."), (7, "\u65e5\u672c_1 x")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.terms) for r in QUERIES["tfidf_encode"](spark, f"file://{tmp_path}").collect())
+    assert got == [(1, 6000), (2, 2), (3, 2), (3, 2), (6, 0), (7, 2)]
+    own = {r.doc_id: {t.word: t.weight for t in r.embedding} for r in encoders.tfidf(df).collect()}
+    a, b = 2 * math.log(7 / 4), math.log(7 / 2)
+    assert own[2].keys() == {"caf\u00e9", "na\u00efve"} and abs(own[2]["caf\u00e9"] - a / math.hypot(a, b)) < 1e-12
+    hashed = encoders.encode_with(encoders.fit_tfidf(df), df).where("doc_id = 2").first().embedding
+    assert sorted(hashed.values.round(9)) == sorted(round(x, 9) for x in own[2].values())
+
+
 def test_pooling_and_text_functions(spark):
     row = spark.createDataFrame([([[1.0, 4.0], [3.0, 2.0]],)], "t array<array<double>>")
     assert [row.select(pooled(F.col("t"), h)).first()[0] for h in ("mean", "min", "max", "cls")] == [[2.0, 3.0], [1.0, 2.0], [3.0, 4.0], [1.0, 4.0]]
