@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.graph import components
 from lodestar.llm.streams import groups
-from lodestar.llm.tables import Saved
+from lodestar.llm.tables import Saved, maybe_among
 from lodestar.llm.textbytes import chunks, shingle_sets
 
 WIDTH = 5
@@ -102,12 +102,16 @@ def _prefixes(frequent: np.ndarray):
     frequent = np.sort(frequent.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # classes that this task has sent, as far as it remembers
         for batch in batches:
             for _, flat, offsets in chunks(batch.column("text")):
                 keys, owners = [], []
+                if len(seen) > 1 << 17:
+                    seen = set()
                 for s in shingle_sets(flat, offsets, WIDTH):
-                    if not len(s):
+                    if not len(s) or (cls := digest(s)[0]) in seen:
                         continue
+                    seen.add(cls)
                     p = prefix_length(len(s))
                     if len(frequent):
                         at = np.searchsorted(frequent, s)
@@ -118,7 +122,7 @@ def _prefixes(frequent: np.ndarray):
                     else:
                         first = s[:p]
                     keys.append(first)
-                    owners.append(np.full(len(first), digest(s)[0], np.int64))
+                    owners.append(np.full(len(first), cls, np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "cls"])
 
@@ -302,7 +306,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     table = saved.save(docs.mapInArrow(_profile, _PROFILE))
     profile = table.where("kind = 0").drop("kind")
     listed = table.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(FREQUENT)
-    frequent = np.array([r["d1"] for r in listed.collect()], np.int64)  # FREQUENT rows at most
+    frequent = listed.select("d1").toArrow().column("d1").to_numpy()  # FREQUENT numbers at most
     classes = saved.save(profile.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
     rows = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(frequent), "key long, cls long")
@@ -321,16 +325,24 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     grouped = _spread(grouped).select(*_TILE, "own", "rep", "n", "sig").repartition(*_TILE).sortWithinPartitions(*_TILE)
     edges = pairs.unionByName(grouped.mapInArrow(_candidate_tiles, "a long, b long"))
     clusters = saved.save(components(edges).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster"))
+    saved.drop(met)
 
+    # texts of documents in no cluster aren't shuffled
+    texts = maybe_among(docs, F.col("doc_id"), clusters.select(F.col("rep").alias("key")), "met").where("met").drop("met")
     members = _spread(clusters.join(classes.select("rep", "d1", "d2", "n"), "rep"))
-    tiles = docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
+    tiles = texts.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
     tiles = tiles.select(*_TILE, "own", "rep", "d1", "d2", "text").repartition(*_TILE).sortWithinPartitions(*_TILE)
     links = tiles.mapInArrow(_link_tiles, "a long, b long")
 
     # an id with several texts joins their classes
-    same = profile.where("n > 0 and doc_id is not null").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep")
-    by_id = same.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
-    split = same.join(by_id.where("rep <> last").select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    rows = profile.where("doc_id is not null").select("doc_id", "n", "d1", "d2")
+    marks = F.struct(F.coalesce("d1", F.lit(0)), F.coalesce("d2", F.lit(0)))
+    several = rows.groupBy("doc_id").agg(F.min(marks).alias("low"), F.max(marks).alias("high")).where("low <> high").select("doc_id")
+    split = rows.where("n > 0").join(several, "doc_id").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comp = components(links.unionByName(split))
-    by_id = by_id.join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    return profile.join(by_id, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    saved.drop(clusters)
+    by_class = saved.save(classes.select("d1", "d2", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component")))
+    out = lambda df: df.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    own = profile.select("doc_id", "n", "d1", "d2")
+    bare = own.where("n = 0").join(comp, F.col("doc_id") == F.col("node"), "left")
+    return out(own.where("n > 0").join(by_class, ["d1", "d2"], "left")).unionByName(out(bare))

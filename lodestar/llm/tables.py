@@ -53,6 +53,24 @@ class Saved:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bits of the filter below: 4 MB, however many keys there are.
+FILTER_BITS = 1 << 25
+
+
+def maybe_among(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """rows with a boolean column `name`: false only where key, a long, surely isn't in keys (key).
+
+    Keys set bits of one bitmap of FILTER_BITS, built by a Spark aggregate in 1024 rows and broadcast, so that what
+    can't meet them needs no shuffle. The more keys, the more rows pass; none that should is held back.
+    """
+    bit = lambda k: F.pmod(F.xxhash64(k), F.lit(FILTER_BITS))
+    bits = keys.select(bit(F.col("key")).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bits"))
+    at = F.bitmap_bit_position(bit(key))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    met = rows.join(F.broadcast(bits), F.bitmap_bucket_number(bit(key)) == F.col("_bucket"), "left")
+    return met.withColumn(name, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bits")
+
+
 def split_column(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, for helpers that add one."""
     while name in df.columns:
