@@ -15,7 +15,7 @@ from lodestar.llm import quality as marks
 from lodestar.llm.ngram_join import ngram_join
 from lodestar.llm.packing import pack
 from lodestar.llm.queries import VOCABULARY
-from lodestar.llm.tables import Saved, read
+from lodestar.llm.tables import Saved, maybe_among, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,10 +34,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document with the smallest id, and of rows that repeat an id the least text; rows without an id stay."""
-    plain = docs.select(*COLUMNS)
-    kept = ngram_join(plain).where("doc_id = component_id").select("doc_id").distinct()
-    least = plain.join(kept, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("order"), "text", "lang", "source", "n_chars")).alias("row"))
-    return least.select("doc_id", "row.text", "row.lang", "row.source", "row.n_chars").select(*COLUMNS).unionByName(plain.where("doc_id is null"))
+    saved, plain = Saved(spark), docs.select(*COLUMNS)
+    found = saved.save(ngram_join(plain).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("rows")).where("doc_id <> component or rows > 1"))
+    # only texts of ids that may be among the found are shuffled
+    rows = maybe_among(plain, F.col("doc_id"), found.select(F.col("doc_id").alias("key")), "met")
+    met = rows.where("met").join(found, "doc_id", "left").where("component is null or component = doc_id")
+    least = met.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("order"), "text", "lang", "source", "n_chars")).alias("row"))
+    return rows.where("not met").select(*COLUMNS).unionByName(least.select("doc_id", "row.text", "row.lang", "row.source", "row.n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm.tables import split_column
-from lodestar.llm.textbytes import chunks, mix, word_hashes
+from lodestar.llm.textbytes import chunks, word_hashes
 
 #: Labelled documents that the network learns from at most, drawn by a hash of the id; word vectors come from all documents.
 SAMPLE = 12_000
@@ -25,11 +26,6 @@ HIDDEN, EPOCHS, BATCH = 48, 30, 128
 #: Python and numpy hold so many words of a text at once.
 PIECE = 1 << 16
 
-_SHAPE = np.full(256, 5, np.uint8)  # of a byte: letter 0 or 1, digit 2, blank 3, punctuation 4, part of another letter 5
-_SHAPE[97:123], _SHAPE[65:91], _SHAPE[48:58] = 0, 1, 2
-_SHAPE[[9, 10, 11, 12, 13, 32]] = 3
-_SHAPE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 4
-
 
 def index_entries() -> tuple[np.ndarray, np.ndarray]:
     """The places and signs of the entries of every row's index vector, from a fixed seed; of entries at one place the last counts."""
@@ -55,38 +51,27 @@ def tokens(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (words >> np.uint64(64 - 15)).astype(np.int64), counts
 
 
-def surface(flat: np.ndarray, offsets: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """What pooled vectors leave out: shares of byte classes, word length, repeats of the word before, distinct words."""
-    n = len(offsets) - 1
-    out = np.zeros((n, 10), np.float32)
-    size = np.maximum(np.diff(offsets), 1)
-    doc = np.repeat(np.arange(n), np.diff(offsets))
-    out[:, :6] = np.bincount(doc * 6 + _SHAPE[flat], minlength=6 * n).reshape(n, 6) / size[:, None]
-    many = np.maximum(counts, 1)
-    out[:, 6] = np.log1p(size / many) / 3
-    at = np.repeat(np.arange(n), counts)
-    if len(words) > 1:
-        same = (words[1:] == words[:-1]) & (at[1:] == at[:-1])
-        out[:, 7] = np.bincount(at[1:][same], minlength=n) / many
-    if len(words):
-        pairs = np.unique(at * ROWS + words)
-        out[:, 8] = np.bincount(pairs // ROWS, minlength=n) / many
-    out[:, 9] = np.log1p(counts) / 10
-    return out
+#: Numbers by text: the mean vector, its direction, its length, and of the cosines of neighbouring words the mean, the spread and the share of ones.
+FEATURES = 2 * DIMS + 4
 
 
 def features(table: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Pooled word vectors and surface shares of every text; an empty text is all zeros but for its length."""
+    """The word vectors of every text pooled: FEATURES numbers; those of a text without words are zeros."""
     words, counts = tokens(flat, offsets)
-    pooled = np.zeros((len(counts), DIMS), np.float32)
+    out = np.zeros((len(counts), FEATURES), np.float32)
     ends = np.cumsum(counts)
     for k in np.flatnonzero(counts):
-        own = words[ends[k] - counts[k] : ends[k]]
-        for a in range(0, len(own), PIECE):
-            pooled[k] += table[own[a : a + PIECE]].sum(axis=0)
-        pooled[k] /= counts[k]
-    norm = np.sqrt((pooled**2).sum(axis=1, keepdims=True))
-    return np.hstack([pooled, pooled / np.maximum(norm, 1e-6), surface(flat, offsets, words, counts)])
+        own, n = words[ends[k] - counts[k] : ends[k]], int(counts[k])
+        pooled, near = np.zeros(DIMS), np.zeros(3)
+        for a in range(0, n, PIECE):
+            v = table[own[a : a + PIECE + 1]]  # and the first word of the next piece
+            pooled += v[:PIECE].sum(axis=0, dtype=np.float64)
+            cosines = np.einsum("ij,ij->i", v[1:], v[:-1], dtype=np.float64)
+            near += cosines.sum(), (cosines**2).sum(), (cosines > 0.999).sum()
+        pooled, near = pooled / n, near / max(1, n - 1)
+        length = np.sqrt((pooled**2).sum())
+        out[k] = np.concatenate([pooled, pooled / max(length, 1e-6), [length, near[0], np.sqrt(max(0.0, near[1] - near[0] ** 2)), near[2]]])
+    return out
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,30 +98,35 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums, in 64 bits, of tasks' tables by range."""
+    """The word vectors of ranges: tasks' tables added in 64 bits and scaled, with the words' own index vectors."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, total in zip(batch.column("range").to_pylist(), batch.column("total"), strict=True):
             part = np.frombuffer(total.as_buffer(), np.int32)
             sums[k] = sums[k] + part if k in sums else part.astype(np.int64)
+    own = index_vectors() if sums else None
+    rows = ROWS // RANGES
     for k, part in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["range", "total"])
+        v = _scaled(_scaled(part.reshape(rows, DIMS).astype(np.float64)) + own[k * rows : (k + 1) * rows] / np.sqrt(NONZERO))
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["range", "vectors"])
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.sqrt((v**2).sum(axis=1, keepdims=True)), 1e-6)
 
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """The table of word vectors over texts (text): summed contexts and the word's own index vector, scaled to length 1.
 
-    Tasks' tables are added by range of rows in Spark, and the driver gets one table of ROWS x DIMS numbers, whatever
-    the number of tasks. Contexts are whole numbers, so their order has no effect.
+    Tasks' tables are added and scaled by range of rows in Spark, and the driver gets one table of ROWS x DIMS
+    numbers, whatever the number of tasks. Contexts are whole numbers, so their order has no effect.
     """
-    total = np.zeros((RANGES, ROWS * DIMS // RANGES))
-    by_range = texts.mapInArrow(_contexts, "range int, total binary").repartition("range")
-    for row in by_range.mapInArrow(_added, "range int, total binary").toLocalIterator():
-        total[row["range"]] = np.frombuffer(row["total"], np.int64)
-    total = total.reshape(ROWS, DIMS)
-    total /= np.maximum(np.sqrt((total**2).sum(axis=1, keepdims=True)), 1e-6)
-    total += index_vectors() / np.sqrt(NONZERO)
-    return (total / np.maximum(np.sqrt((total**2).sum(axis=1, keepdims=True)), 1e-6)).astype(np.float32)
+    out = _scaled(index_vectors()).astype(np.float32).reshape(RANGES, -1)
+    by_range = texts.mapInArrow(_contexts, "range int, total binary").repartition(RANGES, "range")
+    got = by_range.mapInArrow(_added, "range int, vectors binary").toArrow()
+    for k, v in zip(got.column("range").to_pylist(), got.column("vectors"), strict=True):
+        out[k] = np.frombuffer(v.as_buffer(), np.float32)
+    return out.reshape(ROWS, DIMS)
 
 
 class Network:
@@ -181,35 +171,31 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
-    """Word vectors from all documents, and a network from labels (doc_id, quality) and their documents, SAMPLE of them at most.
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, Network]:
+    """Word vectors from all documents, broadcast, and a network from labels (doc_id, quality) and their documents, SAMPLE of them at most.
 
     Rows without an id or a label of 0 or 1 are passed over; an id with both labels counts as 0, one with
-    several texts by the least of them. The sample's ids are
-    broadcast, SAMPLE rows at most, so no text is shuffled.
+    several texts by the least of them. The sample's ids are broadcast, SAMPLE rows at most, so only its texts are shuffled.
     """
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
-    rows = rows.repartition(8, "doc_id").persist()
-    table = word_vectors(docs.select(F.col("text").cast("string").alias("text")))
+    table = docs.sparkSession.sparkContext.broadcast(word_vectors(docs.select(F.col("text").cast("string").alias("text"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, flat, offsets in chunks(batch.column("text"), PIECE):
-                x = features(table, flat, offsets)
+                x = features(table.value, flat, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("quality").slice(first, len(x)).cast(pa.int32()), batch.column("doc_id").slice(first, len(x)).cast(pa.int64())], ["x", "y", "doc_id"])
 
-    got = sorted(((r["doc_id"], r["y"], r["x"]) for r in rows.mapInArrow(run, "x binary, y int, doc_id long").toLocalIterator()))
-    rows.unpersist()
-    if not got:
-        x, y = np.zeros((2, 2 * DIMS + 10), np.float32), np.array([0.0, 1.0])
-    else:
-        x, y = np.stack([np.frombuffer(r[2], np.float32) for r in got]).astype(np.float64), np.array([float(r[1]) for r in got])
-    return table, Network().fit(x, y)
+    got = rows.mapInArrow(run, "x binary, y int, doc_id long").toArrow().sort_by("doc_id")  # SAMPLE rows at most
+    if not got.num_rows:
+        return table, Network().fit(np.zeros((2, FEATURES), np.float32), np.array([0.0, 1.0]))
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, FEATURES)
+    return table, Network().fit(x, got.column("y").to_numpy().astype(np.float64))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, Network], text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[Broadcast, Network], text_col: str = "text") -> DataFrame:
     """docs with a column `score` in [0, 1] (named _score where docs has one): higher where label 1 is likelier.
 
     Whole texts are scored, null and empty ones too; ids, labels, languages and sources are no inputs.
@@ -220,7 +206,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network], text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [net.score(features(table, flat, offsets)) for _, flat, offsets in chunks(batch.column(at), PIECE)]
+            got = [net.score(features(table.value, flat, offsets)) for _, flat, offsets in chunks(batch.column(at), PIECE)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.empty(0), pa.float64())], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

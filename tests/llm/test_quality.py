@@ -1,9 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from lodestar.llm.queries import op8_quality
-from lodestar.llm.quality import NONZERO, Network, held_out, index_vectors, score, tokens, train
+from lodestar.llm import quality as op
+from lodestar.llm.quality import DIMS, FEATURES, NONZERO, Network, features, held_out, index_vectors, score, tokens, train
+from lodestar.llm.textbytes import chunks
 
 
 def test_held_out_accuracy_on_the_driver_tables(spark, sample):
@@ -47,6 +50,7 @@ def test_temperature_is_positive_and_scores_follow_labels():
 def test_word_vectors_come_from_documents_without_labels_too(spark, documents):
     texts = ["calm prose of many words", "SHOUT!! BUY!!", "zebra crossing quagga zebra", "okapi zebra", None]
     table, _ = train(documents(list(enumerate(texts))), spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int"))
+    table = table.value
     index, total = index_vectors().astype(float), np.zeros(table.shape)
     for text in texts:
         raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -58,3 +62,56 @@ def test_word_vectors_come_from_documents_without_labels_too(spark, documents):
     total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6)
     total += index / np.sqrt(NONZERO)
     assert np.allclose(table, total / np.linalg.norm(total, axis=1, keepdims=True), atol=1e-5)
+
+
+def _features(table, texts):
+    return np.vstack([features(table, flat, offsets) for _, flat, offsets in chunks(pa.array(texts, pa.string()))])
+
+
+def test_pooled_vectors_against_plain_loops(monkeypatch):
+    rng = np.random.default_rng(4)
+    table = rng.standard_normal((op.ROWS, DIMS))
+    table = (table / np.linalg.norm(table, axis=1, keepdims=True)).astype(np.float32)
+    texts = ["one two\tTHREE three\nthree four  five", "", None, "alone", "\x0b \x0c", "né née né né", "a b c d e f g h i"]
+    raw = np.frombuffer("one two\tTHREE three\nthree four  five".encode(), np.uint8)
+    words = tokens(raw, np.array([0, len(raw)]))[0].tolist()
+    assert len(words) == 7 and words[3] == words[4] != words[2]
+    want = np.zeros((len(texts), FEATURES))
+    for k, text in enumerate(texts):
+        vectors = []
+        for w in (text or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").split(" "):
+            if w:
+                b = np.frombuffer(w.encode(), np.uint8)
+                vectors.append(table[tokens(b, np.array([0, len(b)]))[0][0]].astype(float))
+        if vectors:
+            mean = sum(vectors) / len(vectors)
+            cosines = [float(p @ q) for p, q in zip(vectors, vectors[1:])]
+            near = [np.mean(cosines), np.std(cosines), np.mean([c > 0.999 for c in cosines])] if cosines else [0, 0, 0]
+            want[k] = [*mean, *mean / np.linalg.norm(mean), np.linalg.norm(mean), *near]
+    assert np.allclose(_features(table, texts), want, atol=1e-5)
+    monkeypatch.setattr(op, "PIECE", 2)
+    assert np.allclose(_features(table, texts), want, atol=1e-5)
+
+
+def test_temperature_has_the_least_loss_on_rows_kept_from_training():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((400, 4))
+    y = (x[:, 0] + rng.standard_normal(400) > 0).astype(float)
+    net = Network().fit(x, y, seed=9)
+    kept = np.random.default_rng(9).permutation(400)[:80]
+    z = net.logits(x[kept])
+
+    def loss(t):
+        p = np.clip(1 / (1 + np.exp(-z / t)), 1e-6, 1 - 1e-6)
+        return -sum(np.log(p) if q else np.log(1 - p) for p, q in zip(p, y[kept]))
+
+    grid = np.geomspace(0.25, 8, 41)
+    assert np.isclose(net.temperature, grid[np.argmin([loss(t) for t in grid])])
+
+
+def test_labels_that_are_null_or_repeat(spark, documents):
+    docs = documents([(k, ("calm prose " if k % 2 else "BUY!! NOW!! ") * 6) for k in range(60)])
+    plain = [(k, k % 2) for k in range(60)]
+    odd = plain + [(None, 1), (3, None), (5, 7), (4, 0), (2, 0), (2, 0), (999, 1)]
+    a, b = (sorted(score(docs, train(docs, spark.createDataFrame(x, "doc_id long, quality int"))).select("doc_id", "score").collect()) for x in (plain, odd))
+    assert a == b
