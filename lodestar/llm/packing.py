@@ -29,7 +29,7 @@ END_ID = 1
 #: The step of the weights, what a length of a whole sequence is worth above its share, and how far below the best pattern's worth one may be taken.
 ETA, LONG, NEAR = 0.1, 0.5, 0.3
 #: Parts of texts of which a task remembers the ids.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 #: Groups in which the pieces of one length are ranked.
 SALTS = 256
 _ODD_BLANK = re.compile("[\x1c-\x1f]")
@@ -66,9 +66,9 @@ class WordTokenizer:
         whole = self.whole = Tokenizer.from_file(path)
         whole.encode_special_tokens = True
         model = whole.model
-        # of its own: in whole the strings of added tokens are text, in the vocabulary's ids they are one id each
-        self.unchanged = Tokenizer.from_file(path)
-        added = sorted({t.content for t in self.unchanged.get_added_tokens_decoder().values()}, key=len, reverse=True)
+        # in whole the strings of added tokens are text, in the vocabulary's ids they are one id each
+        self.unchanged = lru_cache(1)(lambda: Tokenizer.from_file(path))
+        added = sorted({t.content for t in whole.get_added_tokens_decoder().values()}, key=len, reverse=True)
         self.holds_added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
         self.units = _Remembered(lambda part: [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(_BYTE_CHARS))])
         self.words = _Remembered(lambda part: whole.encode(part, add_special_tokens=False).ids)
@@ -76,7 +76,7 @@ class WordTokenizer:
     def contract_ids(self, text: str) -> bytes:
         """The unchanged tokenizer's ids of a text, which may hold added tokens, as ids() gives them."""
         if self.holds_added(text):
-            return _packed(self.unchanged.encode(text, add_special_tokens=False).ids)
+            return _packed(self.unchanged().encode(text, add_special_tokens=False).ids)
         return self.ids(text)
 
     def ids(self, text: str) -> bytes:
