@@ -1,17 +1,20 @@
-"""Repeated byte strings of `length` bytes or more, from a sparse suffix order that shards contribute to.
-
-Sorting every suffix of a corpus is out of reach, and not needed: a string of `length` bytes that occurs twice holds,
-in both places, the same anchor, the position of the least hashed 8-gram in its first REACH positions. So
-
-1. every document names its anchors and hashes the length - REACH + 1 bytes from each on; anchors whose hash occurs once
-   lie in no repeated string and go no further than these numbers;
-2. for the others, the shard that holds the document sends the suffix from the anchor on, cut at `length` bytes, and the
-   bytes before it - what a Burrows-Wheeler transform keeps of a suffix, more than one byte deep;
-3. the suffixes that shards send for one hash range are merged by iterative interleave refinement: the order starts as
-   the shards' rows side by side and is refined by one 8-byte symbol a round, only within intervals still tied, and the
-   round in which neighbours part gives their common prefix. No suffix is compared with another;
+"""Repeated byte strings of `length` bytes or more, from Burrows-Wheeler transforms that shards make and tasks merge.
+
+A transform of every suffix of a corpus isn't needed: a string of `length` bytes that occurs twice holds, in both
+places, the same anchor, the position of the least hashed 8-gram in its first REACH positions. So
+
+1. every document names its anchors and hashes the length - REACH + 1 bytes from each on, the core; anchors whose hash
+   occurs once lie in no repeated string and go no further than these numbers;
+2. for the others, a shard (what a task reads at a time) writes a window as a string of symbols: the core's digest, then
+   the bytes after the core in blocks. It sorts the suffixes of its own strings and sends their Burrows-Wheeler
+   transform, by ranges of the hash, with the bytes before each anchor;
+3. the transforms of one range are merged by iterative interleave refinement: the interleave starts as the shards side by
+   side, and a round deals it out anew by the transforms' symbols, stably, so that it is right for one more symbol.
+   The round in which two neighbours part is their common prefix. No suffix is compared, no string sorted;
 4. an anchor with j bytes before it repeats if its interval of common prefix length - j holds a suffix with the same j
-   bytes before it. The repeated j of an anchor cover one run of bytes; runs are merged by document.
+   bytes before it. The repeated j of an anchor cover one run of bytes; runs are merged by document;
+5. a core that more than HOT anchors hash to is no task's: its windows send a digest of each of their strings of
+   `length` bytes, and those that an aggregate counts twice are repeated.
 """
 
 from __future__ import annotations
@@ -21,20 +24,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.tables import Saved, text_or_empty
+from lodestar.llm.streams import groups
+from lodestar.llm.tables import Saved, maybe_among, text_or_empty
 from lodestar.llm.textbytes import chunks, mix, prefix_sums, span_hash
 
 LENGTH = 400
 #: Positions at a string's start of which one is its anchor.
 REACH = 128
 GRAM = 8
-#: Bytes of documents handled at once, and suffixes that a merge takes together unless one hash has more.
+#: Bytes of documents handled at once, and windows of a shard.
 PIECE = 1 << 20
-MERGE = 1 << 15
+SHARD = 1 << 16
+#: Bytes of a symbol.
+BLOCK = 32
+#: Anchors of one core that a range may hold, and ranges for each shuffle partition.
+HOT, RANGES = 1 << 16, 4
+#: Windows that a task remembers having sent.
+REMEMBERED = 1 << 18
 
 
 def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -90,140 +99,263 @@ def _named(length: int, reach: int):
     return run
 
 
-def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by h those whose h another row has."""
-    held: pa.RecordBatch | None = None  # the last row, and whether its h was seen before it
-    seen = False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        h = batch.column("h").to_numpy()
-        same = h[1:] == h[:-1]
-        keep = np.zeros(len(h), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= seen and held is not None
-        last = bool(keep[-1])
-        held, seen = batch.slice(len(h) - 1), last
-        keep[-1] = False
-        if keep.any():
-            yield batch.filter(pa.array(keep))
-    if held is not None and seen:
-        yield held
-
-
-def _suffixes(length: int, reach: int):
-    """The suffix at each named anchor, the bytes before it in which strings with this anchor start, and where the two stand.
-
-    Equal ones of a chunk of documents are one row with a list of places, so a text that repeats a short period
-    sends as many rows as the period has, not one for each round.
-    """
+def _several(hot_size: int):
+    """Of rows sorted by h those whose h another row has, and whether more than hot_size have it; hot_size rows of one h are held at most."""
+
+    def told(rows: pa.Table, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from rows.append_column("hot", pa.array(hot)).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "low", "high", "before", "after", "docs", "texts", "anchors"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+        held: pa.Table | None = None  # the last run of rows, while it isn't hot
+        going = None  # the h of a hot run that may go on
         for batch in batches:
-            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
-            wanted = batch.column("hs")
-            for first, flat, offsets in chunks(batch.column("text"), PIECE):
-                doc, at, low, high = anchors(flat, offsets, length, reach)
-                if not len(doc):
-                    continue
-                h = span_hash(prefix_sums(flat), at, at + length - reach + 1).view(np.int64)
-                keep = np.zeros(len(h), bool)
-                cuts = np.searchsorted(doc, np.arange(len(offsets)))
-                for k in range(len(offsets) - 1):
-                    if cuts[k] < cuts[k + 1]:
-                        keep[cuts[k] : cuts[k + 1]] = np.isin(h[cuts[k] : cuts[k + 1]], wanted[first + k].values.to_numpy())
-                doc, at, low, high, h = doc[keep], at[keep], low[keep], high[keep], h[keep]
-                raw, ends = flat.tobytes(), offsets[doc + 1]
-                begins = np.maximum(low, offsets[doc])
-                before = [raw[a:b][::-1] for a, b in zip(begins.tolist(), at.tolist(), strict=True)]
-                after = [raw[a:b] for a, b in zip(at.tolist(), np.minimum(at + length, ends).tolist(), strict=True)]
-                places: dict[tuple, tuple[list, list, list]] = {}
-                for key, k, x in zip(zip(h.tolist(), (at - high).tolist(), (at - low).tolist(), before, after, strict=True), (first + doc).tolist(), (at - offsets[doc]).tolist(), strict=True):
-                    own = places.setdefault(key, ([], [], []))
-                    for col, v in zip(own, (ids[k], hashes[k], x), strict=True):
-                        col.append(v)
-                if places:
-                    rows = [(*k, *v) for k, v in places.items()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            h = rows.column("h").to_numpy()
+            begins = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+            size = np.diff(np.append(begins, len(h)))
+            hot = size > hot_size
+            hot[0] |= going is not None and h[0] == going
+            going = h[-1] if hot[-1] else None
+            upto = len(h) if hot[-1] else int(begins[-1])
+            held = None if hot[-1] else rows.slice(upto)
+            keep = np.repeat((size > 1) | hot, size)[:upto]
+            if keep.any():
+                yield from told(rows.slice(0, upto).filter(pa.array(keep)), np.repeat(hot, size)[:upto][keep])
+        if held is not None and held.num_rows > 1:
+            yield from told(held, np.zeros(held.num_rows, bool))
 
     return run
 
 
-def _symbols(col: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of `width` bytes, short ones filled with zeros, and the bytes that each has."""
-    values = col.to_pylist()
-    sizes = np.array([len(x) for x in values], np.int64)
-    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in values), np.uint8).reshape(len(values), width), sizes
+class Windows:
+    """What surrounds the named anchors of a chunk of documents; lists and arrays have one entry for each anchor."""
+
+    def __init__(self, batch: pa.RecordBatch, length: int, reach: int, hot: bool, chunk: tuple[int, np.ndarray, np.ndarray]):
+        first, flat, offsets = chunk
+        doc, at, begin, last = anchors(flat, offsets, length, reach)
+        core = length - reach + 1
+        h = span_hash(prefix_sums(flat), at, at + core).view(np.int64) if len(at) else np.empty(0, np.int64)
+        keep = np.zeros(len(h), bool)
+        cuts, wanted = np.searchsorted(doc, np.arange(len(offsets))), batch.column("hot" if hot else "cold")
+        for k in range(len(offsets) - 1):
+            if cuts[k] < cuts[k + 1]:
+                keep[cuts[k] : cuts[k + 1]] = np.isin(h[cuts[k] : cuts[k + 1]], wanted[first + k].values.to_numpy())
+        doc, at, begin, last, self.h = (x[keep] for x in (doc, at, begin, last, h))
+        self.raw, self.at, self.row, self.anchor = flat.tobytes(), at, first + doc, at - offsets[doc]
+        #: Least and most bytes before the anchor with which a string may start, and bytes after the core.
+        self.low, self.high = at - last, at - begin
+        stop = np.minimum(at + length, offsets[doc + 1])
+        self.right = [self.raw[a:b] for a, b in zip((at + core).tolist(), stop.tolist(), strict=True)]
+        self.before = [self.raw[a:b] for a, b in zip(begin.tolist(), at.tolist(), strict=True)]
+        self.core = [hashlib.blake2b(self.raw[a : a + core], digest_size=16).digest() for a in at.tolist()]
+        self.key = [hashlib.blake2b(b"%d,%d,%d," % (lo, hi, len(r)) + b + c + r, digest_size=16).digest() for lo, hi, b, c, r in zip(self.low.tolist(), self.high.tolist(), self.before, self.core, self.right, strict=True)]
+
+
+def _windows(batches: Iterator[pa.RecordBatch], length: int, reach: int, hot: bool) -> Iterator[tuple[pa.RecordBatch, Windows]]:
+    for batch in batches:
+        for chunk in chunks(batch.column("text"), PIECE):
+            found = Windows(batch, length, reach, hot, chunk)
+            if len(found.h):
+                yield batch, found
+
+
+def _new(sent: dict[bytes, int], keys: list[bytes]) -> list[int]:
+    """Of the windows with these keys those to be sent: the first two of a key tell all that more would."""
+    if len(sent) > REMEMBERED:
+        sent.clear()
+    out = []
+    for k, key in enumerate(keys):
+        n = sent.get(key, 0)
+        if n < 2:
+            sent[key] = n + 1
+            out.append(k)
+    return out
+
 
+def _places(length: int, reach: int, hot: bool):
+    """(k1, k2, doc_id, text_hash, anchor) of every window."""
 
-def interleave(groups: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of suffixes (rows of text, 8 bytes a symbol) within their groups, and each one's common prefix with the one before it.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, w in _windows(batches, length, reach, hot):
+            keys = np.frombuffer(b"".join(w.key), np.int64).reshape(-1, 2)
+            rows = pa.array(w.row)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(w.anchor)], ["k1", "k2", "doc_id", "text_hash", "anchor"])
+
+    return run
 
-    The first interleave is the rows as the shards gave them, by group. Each round takes one symbol of the suffixes in
-    tied intervals and splits the intervals by it, stably; a boundary that appears in round r lies in symbol r, and the
-    first byte in which the two symbols differ completes the common prefix. Intervals of one row leave the refinement.
+
+def _strings(length: int, reach: int):
+    """(s1, s2, k1, k2, j) of every string of `length` bytes that starts j bytes before a hot anchor: a digest of the string, and the window's key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[bytes, int] = {}
+        for _, w in _windows(batches, length, reach, True):
+            for k in _new(sent, w.key):
+                js = range(int(w.low[k]), int(w.high[k]) + 1)
+                at = int(w.at[k])
+                digests = np.frombuffer(b"".join(hashlib.blake2b(w.raw[at - j : at - j + length], digest_size=16).digest() for j in js), np.int64).reshape(-1, 2)
+                key = np.frombuffer(w.key[k], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), *(pa.array(np.full(len(js), x)) for x in key), pa.array(np.array(js, np.int32))], ["s1", "s2", "k1", "k2", "j"])
+
+    return run
+
+
+def transform(blocks: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of strings, the rows of blocks, as numbers string * (blocks + 1) + start; an empty suffix comes first, equal ones by string.
+
+    Ranks by the first symbol are refined by the rank of what follows until every symbol has had its say.
     """
-    symbols = np.ascontiguousarray(text).view(">u8").astype(np.uint64)
-    order = np.argsort(groups, kind="stable")
-    rank = groups[order]
-    start = np.ones(len(order), bool)
-    start[1:] = rank[1:] != rank[:-1]
-    common = np.where(start, -1, 8 * symbols.shape[1]).astype(np.int64)
-    for r in range(symbols.shape[1]):
-        edge = np.append(start, True)
-        tied = np.flatnonzero(~(edge[:-1] & edge[1:]))
-        if not len(tied):
+    m, b = blocks.shape
+    symbol = np.zeros((m, b + 1), np.int64)
+    symbol[:, :b] = np.unique(blocks.ravel(), return_inverse=True)[1].reshape(m, b) + 1
+    rank = np.zeros((m, b + 1), np.int64)
+    for _ in range(b):
+        after = np.hstack([rank[:, 1:], np.zeros((m, 1), np.int64)])
+        rank = np.unique((symbol * (m * (b + 1) + 1) + after).ravel(), return_inverse=True)[1].reshape(m, b + 1)
+    return np.argsort(rank.ravel(), kind="stable")
+
+
+def _transforms(length: int, reach: int, ranges: int, shard_size: int):
+    """By shard and range of hashes: the Burrows-Wheeler transform of its windows' strings.
+
+    `first` tells of each suffix in order whether it is a whole string, which nothing precedes; `symbols` has the
+    symbols before the others. What else is known of the windows comes in the order of their whole strings.
+    """
+    b = 1 + -(-(reach - 1) // BLOCK)
+
+    def shard(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        h = np.array([w[0] for w in held], np.int64)
+        blocks = np.frombuffer(b"".join(core.ljust(BLOCK, b"\0") + right.ljust(BLOCK * (b - 1), b"\0") for _, _, _, _, core, right, _ in held), f"S{BLOCK}").reshape(-1, b)
+        order = transform(blocks)
+        string, start = order // (b + 1), order % (b + 1)
+        part = ((h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % ranges
+        by = np.argsort(part[string], kind="stable")
+        string, start = string[by], start[by]
+        edges = np.flatnonzero(np.diff(part[string], prepend=-1, append=-1))
+        raw = blocks.view(np.uint8).reshape(-1, b, BLOCK)
+        rows = []
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            own, t = string[x:y], start[x:y]
+            whole = own[t == 0]
+            windows = [held[k] for k in whole.tolist()]
+            numbers = np.array([(w[1], w[2], len(w[5]), len(w[3])) for w in windows], "<i4")
+            rows.append((int(part[own[0]]), (t == 0).tobytes(), raw[own[t > 0], t[t > 0] - 1].tobytes(), numbers.tobytes(), b"".join(w[3] for w in windows), b"".join(w[6] for w in windows)))
+        types = (pa.int32(), *[pa.binary()] * 5)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "first", "symbols", "numbers", "before", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[bytes, int] = {}
+        held: list[tuple] = []
+        for _, w in _windows(batches, length, reach, False):
+            low, high, h = w.low.tolist(), w.high.tolist(), w.h.tolist()
+            held += [(h[k], low[k], high[k], w.before[k], w.core[k], w.right[k], w.key[k]) for k in _new(sent, w.key)]
+            if len(held) >= shard_size:
+                yield from shard(held)
+                held = []
+        if held:
+            yield from shard(held)
+
+    return run
+
+
+def interleave(shards: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges transforms: (order, common, after) of their suffixes.
+
+    Rows are suffixes, shard after shard and in each shard's order; symbols has the rank of the symbol before each, 0
+    for none. `order` has the rows as merged, `common` the symbols that each shares with the one before it (of equal
+    ones, the number of rows), `after` the place of the suffix one symbol shorter, -1 for an empty one.
+
+    A round reads the symbols in the order of the interleave and deals the rows out by them, stably: rows that agreed in
+    k symbols then agree in k + 1, and a shard's rows keep their order, so the interleave need only say whose turn it
+    is. Empty suffixes stay in front. A boundary that a round brings lies after as many symbols as rounds went before.
+    """
+    n = len(shards)
+    empty = int((symbols == 0).sum())  # a string has one whole suffix and one empty one
+    heads = shards[symbols == 0]
+    order = np.arange(n)
+    interval, common, settled = np.zeros(n, np.int64), np.full(n, n, np.int64), 0
+    for done in range(n + 1):
+        read = symbols[order]
+        source = np.flatnonzero(read)
+        source = source[np.argsort(read[source], kind="stable")]
+        turn = np.concatenate([heads, shards[order[source]]])
+        start = np.zeros(n, bool)
+        start[0] = True
+        if len(source):
+            start[empty] = True
+            s, k = read[source], interval[source]
+            start[empty + 1 :] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])
+        common[start & (common == n)] = done
+        by = np.argsort(turn, kind="stable")
+        order = np.empty(n, np.int64)
+        order[by] = np.arange(n)
+        interval = np.cumsum(start)
+        if interval[-1] == settled:
             break
-        interval = np.cumsum(start)[tied]
-        s = symbols[order[tied], r]
-        by = np.lexsort((s, interval))
-        order[tied], s = order[tied][by], s[by]
-        part = np.zeros(len(tied), bool)
-        part[1:] = (interval[1:] == interval[:-1]) & (s[1:] != s[:-1])
-        if part.any():
-            k = np.flatnonzero(part)
-            differ = s[k] ^ s[k - 1]
-            high = np.zeros(len(k), np.int64)
-            for shift in (32, 16, 8):  # whole bytes above the highest set bit
-                up = (differ >> np.uint64(shift)) != 0
-                high += np.where(up, shift, 0)
-                differ = np.where(up, differ >> np.uint64(shift), differ)
-            common[tied[k]] = 8 * r + 7 - high // 8
-            start[tied[k]] = True
-    return order, common
+        settled = interval[-1]
+    common[0] = 0
+    return order, common, np.concatenate([np.full(empty, -1), source])
+
+
+def merge(parts: pa.Table, length: int, reach: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """The windows of transforms in the order of their strings: (numbers, common, before, keys). `common` has the bytes after the core that a window shares with the one before it, -1 for another core."""
+    width, b = reach - 1, 1 + -(-(reach - 1) // BLOCK)
+    columns = {c: parts.column(c).to_pylist() for c in ("first", "symbols", "numbers", "before", "keys")}
+    first = np.frombuffer(b"".join(columns["first"]), bool)
+    shards = np.repeat(np.arange(len(columns["first"])), [len(x) for x in columns["first"]])
+    table, ranks = np.unique(np.frombuffer(b"".join(columns["symbols"]), f"S{BLOCK}"), return_inverse=True)
+    symbols = np.zeros(len(first), np.int64)
+    symbols[~first] = ranks + 1
+    numbers = np.frombuffer(b"".join(columns["numbers"]), "<i4").reshape(-1, 4)
+    keys = np.frombuffer(b"".join(columns["keys"]), np.int64).reshape(-1, 2)
+    raw = b"".join(columns["before"])
+    ends = np.cumsum(numbers[:, 3], dtype=np.int64)
+
+    order, shared, after = interleave(shards, symbols)
+    places = np.flatnonzero(first[order])
+    window = (np.cumsum(first) - 1)[order[places]]  # whole suffixes are numbered as windows are listed
+    symbols_shared = np.minimum.reduceat(shared[: places[-1] + 1], np.concatenate([[0], places[:-1] + 1]))
+    # the symbol in which neighbours part, byte by byte: from a whole suffix it is as many steps away as they share
+    bytes_of = table.astype(f"S{BLOCK}").view(np.uint8).reshape(-1, BLOCK)
+    lead = np.empty(len(first), np.int64)  # the symbol that a suffix starts with, by its place
+    lead[after >= 0] = symbols[order][after[after >= 0]] - 1
+    common = np.full(len(places), width, np.int64)
+    common[symbols_shared == 0] = -1
+    for t in range(1, b):
+        some = np.flatnonzero(symbols_shared == t)
+        x, y = places[some], places[some - 1]
+        for _ in range(t):
+            x, y = after[x], after[y]
+        differ = bytes_of[lead[x]] != bytes_of[lead[y]]
+        common[some] = np.minimum(width, BLOCK * (t - 1) + differ.argmax(axis=1))
+    before = [raw[e - n : e] for e, n in zip(ends[window].tolist(), numbers[window, 3].tolist(), strict=True)]
+    return numbers[window], common, before, keys[window]
 
 
 def _repeats(length: int, reach: int):
-    """(doc_id, text_hash, start, end) of the bytes that each suffix's repeated strings cover."""
-
-    def merge(rows: pa.Table) -> pa.RecordBatch | None:
-        _, groups = np.unique(rows.column("h").to_numpy(), return_inverse=True)
-        width = -(-length // 8) * 8
-        after, size = _symbols(rows.column("after"), width)
-        before, had = _symbols(rows.column("before"), reach)
-        order, common = interleave(groups.astype(np.int64), after)
-        size, had, before = size[order], had[order], before[order].astype(np.uint64)
-        low, high = (rows.column(c).to_numpy()[order].astype(np.int64) for c in ("low", "high"))
-        places = rows.select(["docs", "texts", "anchors"]).take(pa.array(order))
-        many = pc.list_value_length(places.column("docs")).to_numpy()
-        least, most = np.full(len(order), reach), np.full(len(order), -1)
-        left = np.zeros(len(order), np.uint64)
+    """(k1, k2, least, most): the fewest and most bytes before the anchor with which a window has a repeated string."""
+
+    def of(parts: pa.Table) -> pa.RecordBatch | None:
+        numbers, common, before, keys = merge(parts, length, reach)
+        low, high, size, had = numbers.T.astype(np.int64)
+        n = len(low)
+        back = np.frombuffer(b"".join(x[::-1].ljust(reach, b"\0") for x in before), np.uint8).reshape(n, reach).astype(np.uint64)
+        least, most = np.full(n, reach), np.full(n, -1)
+        left = np.zeros(n, np.uint64)
         for j in range(int(high.max()) + 1):
             if j:
-                left = mix(left * np.uint64(257) + before[:, j - 1] + np.uint64(1))
-            own = np.flatnonzero((low <= j) & (j <= high) & (size >= length - j) & (had >= j))
+                left = mix(left * np.uint64(257) + back[:, j - 1] + np.uint64(1))
+            own = np.flatnonzero((low <= j) & (j <= high) & (size >= reach - 1 - j) & (had >= j))
             if not len(own):
                 continue
-            interval = np.cumsum(common < length - j)[own].astype(np.uint64)
+            interval = np.cumsum(common < reach - 1 - j)[own].astype(np.uint64)
             key = mix(interval) ^ left[own]
             by = np.argsort(key, kind="stable")
             k = key[by]
-            twice = many[own[by]] > 1
+            twice = np.zeros(len(k), bool)
             twice[1:] |= k[1:] == k[:-1]
             twice[:-1] |= k[1:] == k[:-1]
             hit = own[by[twice]]
@@ -232,27 +364,14 @@ def _repeats(length: int, reach: int):
         found = np.flatnonzero(most >= 0)
         if not len(found):
             return None
-        doc_id, text_hash, anchor = (pc.list_flatten(places.column(c).take(pa.array(found))).to_numpy() for c in ("docs", "texts", "anchors"))
-        begin, stop = (np.repeat(x, many[found]) for x in (-most[found], length - least[found]))
-        return pa.RecordBatch.from_arrays([pa.array(doc_id), pa.array(text_hash), pa.array(anchor + begin), pa.array(anchor + stop)], ["doc_id", "text_hash", "start", "end"])
+        _, one = np.unique(keys[found], axis=0, return_index=True)
+        found = found[one]
+        return pa.RecordBatch.from_arrays([pa.array(keys[found, 0]), pa.array(keys[found, 1]), pa.array(least[found].astype(np.int32)), pa.array(most[found].astype(np.int32))], ["k1", "k2", "least", "most"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(pa.Table.from_batches([batch]))
-            if sum(t.num_rows for t in held) < MERGE:
-                continue
-            rows = pa.concat_tables(held)
-            h = rows.column("h").to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))  # the last hash may go on
-            if cut:
-                if (out := merge(rows.slice(0, cut).combine_chunks())) is not None:
-                    yield out
-            held = [rows.slice(cut)]
-        if held and (out := merge(pa.concat_tables(held).combine_chunks())) is not None:
-            yield out
+        for parts in groups(batches, ["part"]):
+            if (out := of(parts)) is not None:
+                yield out
 
     return run
 
@@ -282,11 +401,21 @@ def repeated_runs(docs: DataFrame, saved: Saved, length: int = LENGTH, reach: in
     """(doc_id, text_hash, runs): the byte runs, of each document that has any, that repeated strings cover; runs may overlap."""
     keys = ["doc_id", "text_hash"]
     named = docs.mapInArrow(_named(length, reach), "h long, doc_id long, text_hash long")
-    wanted = named.repartition("h").sortWithinPartitions("h").mapInArrow(_several, "h long, doc_id long, text_hash long")
-    by_doc = saved.save(wanted.groupBy(*keys).agg(F.collect_set("h").alias("hs")))
-    held = docs.join(by_doc, keys).select(*keys, "text", "hs").mapInArrow(_suffixes(length, reach), "h long, low int, high int, before binary, after binary, docs array<long>, texts array<long>, anchors array<long>")
-    runs = held.repartition("h").sortWithinPartitions("h").mapInArrow(_repeats(length, reach), "doc_id long, text_hash long, start long, end long")
-    return runs.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    wanted = named.repartition("h").sortWithinPartitions("h").mapInArrow(_several(HOT), "h long, doc_id long, text_hash long, hot boolean")
+    by_doc = saved.save(wanted.groupBy(*keys).agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot")))
+    texts = maybe_among(docs, F.xxhash64(*keys), by_doc.select(F.xxhash64(*keys).alias("key")), "met").where("met").drop("met")
+    held = texts.join(by_doc, keys).select(*keys, "text", "cold", "hot")
+    ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = held.mapInArrow(_transforms(length, reach, ranges, SHARD), "part int, first binary, symbols binary, numbers binary, before binary, keys binary")
+    found = found.repartition("part").sortWithinPartitions("part").mapInArrow(_repeats(length, reach), "k1 long, k2 long, least int, most int")
+    places = "k1 long, k2 long, doc_id long, text_hash long, anchor long"
+    met = held.mapInArrow(_places(length, reach, False), places).join(found, ["k1", "k2"])
+    hot = held.where(F.size("hot") > 0)
+    strings = hot.mapInArrow(_strings(length, reach), "s1 long, s2 long, k1 long, k2 long, j int")
+    twice = strings.join(strings.groupBy("s1", "s2").count().where("count > 1").select("s1", "s2"), ["s1", "s2"]).groupBy("k1", "k2").agg(F.min("j").alias("least"), F.max("j").alias("most"))
+    met = met.unionByName(hot.mapInArrow(_places(length, reach, True), places).join(twice, ["k1", "k2"]))
+    run = F.struct((F.col("anchor") - F.col("most")).alias("start"), (F.col("anchor") + length - F.col("least")).alias("end"))
+    return met.groupBy(*keys).agg(F.collect_set(run).alias("runs"))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, reach: int = REACH) -> DataFrame:
@@ -303,5 +432,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # ids are for joining: null becomes an id of its own
     rows = docs.select(F.col(id_col).cast("long").alias("own_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     runs = saved.save(repeated_runs(rows.drop("own_id"), saved, length, reach))
-    joined = rows.join(runs, ["doc_id", "text_hash"], "left").select(F.col("own_id").alias("doc_id"), "text", "runs")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # texts that surely lose nothing aren't shuffled
+    marked = maybe_among(rows, F.xxhash64("doc_id", "text_hash"), runs.select(F.xxhash64("doc_id", "text_hash").alias("key")), "met")
+    cut = marked.where("met").join(runs, ["doc_id", "text_hash"], "left").select("own_id", "text", "runs")
+    whole = marked.where("not met").select("own_id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
+    return cut.unionByName(whole).withColumnRenamed("own_id", "doc_id").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

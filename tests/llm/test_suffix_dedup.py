@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from lodestar.llm import suffix_dedup as op
 from lodestar.llm.suffix_dedup import interleave, suffix_dedup
 
 
@@ -65,15 +66,58 @@ def test_empty_table(documents):
     assert suffix_dedup(documents([(1, "a")]).where("doc_id = 2")).count() == 0
 
 
-def test_interleave_gives_order_and_common_prefixes():
-    rng = np.random.default_rng(6)
-    text = rng.integers(0, 2, (200, 24)).astype(np.uint8)
-    text[50:80] = text[:30]
-    groups = rng.integers(0, 3, 200)
-    order, common = interleave(groups, text)
-    rows = [(int(groups[k]), text[k].tobytes()) for k in order]
-    assert rows == sorted(rows)
-    for k in range(1, 200):
-        (g, a), (h, b) = rows[k - 1], rows[k]
-        same = next((i for i in range(24) if a[i] != b[i]), 24)
-        assert common[k] == (same if g == h else -1)
+def suffixes(strings):
+    """(suffix, shard order) of plain strings of symbols in order, and the symbol before each."""
+    rows = sorted((tuple(x[k:]), n, k) for n, x in enumerate(strings) for k in range(len(x) + 1))
+    return rows, [strings[n][k - 1] if k else None for _, n, k in rows]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_interleave_merges_transforms_without_the_strings(seed):
+    """Only the shards' symbols go in; order, common prefixes and steps come out as sorting all suffixes gives them."""
+    rng = random.Random(seed)
+    width = rng.choice((1, 2, 5))
+    shards = [[[rng.randrange(3) for _ in range(width)] for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 5))]
+    rows, symbols, of = [], [], []
+    for s, strings in enumerate(shards):
+        own, before = suffixes(strings)
+        rows += [x[0] for x in own]
+        symbols += [0 if x is None else x + 1 for x in before]
+        of += [s] * len(own)
+    order, common, after = interleave(np.array(of), np.array(symbols))
+    merged = [rows[k] for k in order]
+    assert merged == sorted(rows) and sorted(order.tolist()) == list(range(len(rows)))
+    assert all(a < b for s in range(len(shards)) for a, b in zip([k for k in order if of[k] == s], [k for k in order if of[k] == s][1:], strict=False))
+    for k in range(1, len(merged)):
+        a, b = merged[k - 1], merged[k]
+        same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert common[k] == same or (a == b and common[k] == len(rows))
+    assert all((after[k] == -1 and not x) or merged[after[k]] == x[1:] for k, x in enumerate(merged))
+
+
+def test_a_shard_sorts_its_own_suffixes():
+    rng = random.Random(3)
+    strings = [[rng.choice((b"a", b"b", b"c\0d")) for _ in range(4)] for _ in range(30)]
+    got = op.transform(np.array(strings, f"S{op.BLOCK}"))
+    assert [(tuple(strings[k // 5][k % 5 :]), k // 5) for k in got] == [(x, n) for x, n, _ in suffixes(strings)[0]]
+
+
+def test_hot_cores_shards_and_ranges(documents, monkeypatch):
+    """A passage and copies shared by more documents than a range may hold, over several shards."""
+    monkeypatch.setattr(op, "SHARD", 7)
+    rows = corpus(7, 60, 120)
+    for hot in (3, 12, 1 << 16):
+        monkeypatch.setattr(op, "HOT", hot)
+        assert got(documents(rows), length=40, reach=12) == brute(rows, 40)
+
+
+def test_very_long_text(documents):
+    """Longer than a chunk; a passage repeats at its far end and in another document."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    long_ = " ".join(rng.choice(words) for _ in range(260_000))
+    rows = [(1, long_), (2, "x" + long_[-900:-100] + "y"), (3, "clean")]
+    n = len(long_)
+    assert n > op.PIECE
+    want = [(1, n, 800, 1, hashlib.sha256((long_[:-900] + long_[-100:]).encode()).hexdigest()), (2, 802, 800, 1, hashlib.sha256(b"xy").hexdigest()), (3, 5, 0, 0, hashlib.sha256(b"clean").hexdigest())]
+    assert got(documents(rows)) == want
