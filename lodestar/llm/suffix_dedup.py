@@ -352,7 +352,7 @@ def _repeats(length: int, reach: int):
             if not len(own):
                 continue
             interval = np.cumsum(common < reach - 1 - j)[own].astype(np.uint64)
-            key = mix(interval) ^ left[own]
+            key = mix(left[own] * np.uint64(0x9E3779B97F4A7C15) + interval)
             by = np.argsort(key, kind="stable")
             k = key[by]
             twice = np.zeros(len(k), bool)

@@ -121,3 +121,26 @@ def test_very_long_text(documents):
     assert n > op.PIECE
     want = [(1, n, 800, 1, hashlib.sha256((long_[:-900] + long_[-100:]).encode()).hexdigest()), (2, 802, 800, 1, hashlib.sha256(b"xy").hexdigest()), (3, 5, 0, 0, hashlib.sha256(b"clean").hexdigest())]
     assert got(documents(rows)) == want
+
+
+def test_every_document_of_a_driver_table(spark, sample):
+    """All windows of all documents, by digest: an independent count of what goes."""
+    docs = spark.read.parquet(f"{sample.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
+    seen = Counter(hash(t[k : k + 400]) for _, t in rows for k in range(len(t) - 399))
+    want = {}
+    for i, t in rows:
+        gone = np.zeros(len(t) + 1, int)
+        for k in range(len(t) - 399):
+            if seen[hash(t[k : k + 400])] > 1:
+                gone[k] += 1
+                gone[k + 400] -= 1
+        want[i] = int((np.cumsum(gone)[:-1] > 0).sum())
+    assert {r.doc_id: r.n_removed for r in op.suffix_dedup(docs).collect()} == want
+
+
+def test_keys_of_intervals_and_bytes_before_do_not_meet(documents):
+    """Many short intervals of one core beside many bytes before it, none of which repeat together."""
+    core = "".join(random.Random(5).choice("klmnop") for _ in range(29))
+    rows = [(k, "%s%s%s" % (chr(97 + k % 26) * 5 + chr(65 + k // 26), core, "%c%c" % (33 + k % 60, 48 + k // 60) * 6)) for k in range(600)]
+    assert got(documents(rows), length=40, reach=12) == brute(rows, 40)
