@@ -4,7 +4,7 @@ A transform of every suffix of a corpus isn't needed: a string of `length` bytes
 places, the same anchor, the position of the least hashed 8-gram in its first REACH positions. So
 
 1. every document names its anchors and hashes the length - REACH + 1 bytes from each on, the core; anchors whose hash
-   occurs once lie in no repeated string and go no further than these numbers;
+   occurs once lie in no repeated string and go no further than these numbers, and a chunk of documents sends a hash once;
 2. for the others, a shard (what a task reads at a time) writes a window as a string of symbols: the core's digest, then
    the bytes after the core in blocks. It sorts the suffixes of its own strings and sends their Burrows-Wheeler
    transform, by ranges of the hash, with the bytes before each anchor;
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,47 +86,70 @@ def anchors(flat: np.ndarray, offsets: np.ndarray, length: int, reach: int) -> t
 
 
 def _named(length: int, reach: int):
-    """(h, doc_id, text_hash) of every anchor."""
+    """(route, h, n, doc_id, text_hash): by chunk of documents each hash once, with n anchors that have it, and where n is 1 its document.
+
+    A hash that a chunk has oftener is known to repeat, so its documents, with n 0, go where they like.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, flat, offsets in chunks(batch.column("text"), PIECE):
                 doc, at, _, _ = anchors(flat, offsets, length, reach)
-                if len(doc):
-                    h = span_hash(prefix_sums(flat), at, at + length - reach + 1).view(np.int64)
-                    take = pa.array(first + doc)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("doc_id").take(take), batch.column("text_hash").take(take)], ["h", "doc_id", "text_hash"])
+                if not len(doc):
+                    continue
+                h = span_hash(prefix_sums(flat), at, at + length - reach + 1).view(np.int64)
+                order = np.argsort(h, kind="stable")
+                h, doc = h[order], doc[order]
+                begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                n = np.diff(np.append(begins, len(h)))
+                known = np.repeat(n > 1, n)
+                known[1:] &= (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])  # once for each document
+                take = np.concatenate([doc[begins], doc[known]]) + first
+                single = np.concatenate([n == 1, np.ones(int(known.sum()), bool)])
+                ids, texts = (batch.column(c).take(pa.array(take)) for c in ("doc_id", "text_hash"))
+                own = mix(ids.to_numpy().view(np.uint64) ^ texts.to_numpy().view(np.uint64)).view(np.int64)
+                rows = np.concatenate([h[begins], h[known]])
+                route = np.where(np.arange(len(rows)) < len(begins), rows, own)
+                none = pa.array(~single)
+                yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(rows), pa.array(np.concatenate([n, np.zeros(len(rows) - len(n), np.int64)])), pc.if_else(none, None, ids), pc.if_else(none, None, texts)], ["route", "h", "n", "doc_id", "text_hash"])
 
     return run
 
 
 def _several(hot_size: int):
-    """Of rows sorted by h those whose h another row has, and whether more than hot_size have it; hot_size rows of one h are held at most."""
+    """(h, doc_id, text_hash) of rows of _named, sorted by h, whose h is known to repeat or repeats here; and h alone of one that more than hot_size anchors have."""
+    names = ["h", "doc_id", "text_hash"]
 
-    def told(rows: pa.Table, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield from rows.append_column("hot", pa.array(hot)).combine_chunks().to_batches()
+    def hot(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(values):
+            yield pa.RecordBatch.from_arrays([pa.array(values), *[pa.nulls(len(values), pa.int64())] * 2], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # the last run of rows, while it isn't hot
-        going = None  # the h of a hot run that may go on
+        held: pa.Table | None = None  # the one anchor so far of the last h
+        last, before = None, 0  # the last h, and its anchors in rows gone by
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch])
             rows = pa.concat_tables([held, rows]) if held is not None else rows
-            h = rows.column("h").to_numpy()
+            h, n = rows.column("h").to_numpy(), rows.column("n").to_numpy()
             begins = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+            total = np.add.reduceat(n, begins)
+            if last is not None and h[0] == last:
+                total[0] += before
+            elif before > hot_size:
+                yield from hot(np.array([last]))
+            yield from hot(h[begins[:-1]][total[:-1] > hot_size])
             size = np.diff(np.append(begins, len(h)))
-            hot = size > hot_size
-            hot[0] |= going is not None and h[0] == going
-            going = h[-1] if hot[-1] else None
-            upto = len(h) if hot[-1] else int(begins[-1])
-            held = None if hot[-1] else rows.slice(upto)
-            keep = np.repeat((size > 1) | hot, size)[:upto]
+            keep = (n == 0) | ((n == 1) & np.repeat(total > 1, size))
+            open_ = np.zeros(len(h), bool)
+            open_[begins[-1] :] = (n[begins[-1] :] == 1) & (total[-1] == 1)
+            held = rows.filter(pa.array(open_)) if open_.any() else None
+            last, before = h[-1], int(total[-1]) - int(open_.any())
             if keep.any():
-                yield from told(rows.slice(0, upto).filter(pa.array(keep)), np.repeat(hot, size)[:upto][keep])
-        if held is not None and held.num_rows > 1:
-            yield from told(held, np.zeros(held.num_rows, bool))
+                yield from rows.select(names).filter(pa.array(keep)).combine_chunks().to_batches()
+        if before > hot_size:
+            yield from hot(np.array([last]))
 
     return run
 
@@ -400,9 +424,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_runs(docs: DataFrame, saved: Saved, length: int = LENGTH, reach: int = REACH) -> DataFrame:
     """(doc_id, text_hash, runs): the byte runs, of each document that has any, that repeated strings cover; runs may overlap."""
     keys = ["doc_id", "text_hash"]
-    named = docs.mapInArrow(_named(length, reach), "h long, doc_id long, text_hash long")
-    wanted = named.repartition("h").sortWithinPartitions("h").mapInArrow(_several(HOT), "h long, doc_id long, text_hash long, hot boolean")
-    by_doc = saved.save(wanted.groupBy(*keys).agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot")))
+    named = docs.mapInArrow(_named(length, reach), "route long, h long, n long, doc_id long, text_hash long")
+    wanted = saved.save(named.repartition("route").sortWithinPartitions("h").mapInArrow(_several(HOT), "h long, doc_id long, text_hash long"))
+    hot = wanted.where("doc_id is null").select("h")
+    rows = wanted.where("doc_id is not null")
+    rows = rows.withColumn("hot", F.lit(False)) if hot.isEmpty() else rows.join(hot.withColumn("hot", F.lit(True)), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    by_doc = saved.save(rows.groupBy(*keys).agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot")))
+    saved.drop(wanted)
     texts = maybe_among(docs, F.xxhash64(*keys), by_doc.select(F.xxhash64(*keys).alias("key")), "met").where("met").drop("met")
     held = texts.join(by_doc, keys).select(*keys, "text", "cold", "hot")
     ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -144,3 +144,19 @@ def test_keys_of_intervals_and_bytes_before_do_not_meet(documents):
     core = "".join(random.Random(5).choice("klmnop") for _ in range(29))
     rows = [(k, "%s%s%s" % (chr(97 + k % 26) * 5 + chr(65 + k // 26), core, "%c%c" % (33 + k % 60, 48 + k // 60) * 6)) for k in range(600)]
     assert got(documents(rows), length=40, reach=12) == brute(rows, 40)
+
+
+def test_hashes_that_repeat_over_batches():
+    """However rows sorted by h are cut into batches: known ones pass, single ones pass if their h has another, hot ones are named once."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = sorted((rng.randrange(12), rng.choice((0, 1, 1, 1, 3)), k) for k in range(60))
+    rows = [(h, n, None if n == 3 else k) for h, n, k in rows if h != 5] + [(20, 1, 99), (30, 1, 100)]
+    total = Counter()
+    for h, n, _ in rows:
+        total[h] += n
+    want = Counter((h, k) for h, n, k in rows if n == 0 or (n == 1 and total[h] > 1)) + Counter((h, None) for h, t in total.items() if t > 6)
+    for cut in (1, 2, 7, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64())], ["h", "n", "doc_id", "text_hash"]) for part in (rows[a : a + cut] for a in range(0, len(rows), cut))]
+        assert Counter((h, k) for b in op._several(6)(iter(batches)) for h, k in zip(b.column("h").to_pylist(), b.column("doc_id").to_pylist(), strict=True)) == want
