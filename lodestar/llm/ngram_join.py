@@ -5,8 +5,8 @@
    out of the same pass as a list of at most FREQUENT; any list is right, a good one keeps common passages out of 3.
 2. prefixes: linked sets share one of their first n - ceil(0.75 n) + 1 shingles in any order common to all. The
    order is: shingles off the list by hash, then those on it.
-3. candidates: classes meeting at a shingle of up to SMALL classes give pairs, kept if the sizes and the signatures
-   allow a link. Those meeting at a shingle of more form a group, which is cut into size bands, bands into blocks of
+3. candidates: classes meeting at a shingle of up to SMALL classes give pairs, if their sizes allow a link, and kept if
+   the signatures do. Those meeting at a shingle of more form a group, which is cut into size bands, bands into blocks of
    BLOCK sets, and tiles are pairs of blocks of one band or two adjacent ones. In a tile bit counts bound the overlap
    of every pair from above; a forest of the pairs that may link comes out. The components of all candidates are
    clusters, and every link is within one.
@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,8 +58,14 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set; the lowest 8 of the first 64 say its size, in steps of a third of the ratio that links allow."""
     d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-    return int(d[0]), int(d[1])
+    return int(d[0]) & ~255 | min(255, int(3 * math.log(len(s)) / math.log(DEN / NUM))), int(d[1])
+
+
+def _sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sizes in digests allow a link: at most three steps apart, and one for rounding."""
+    return np.abs((a & 255) - (b & 255)) <= 4
 
 
 def prefix_length(n: int) -> int:
@@ -102,16 +109,16 @@ def _prefixes(frequent: np.ndarray):
     frequent = np.sort(frequent.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # classes that this task has sent, as far as it remembers
+        seen: set[tuple[int, int]] = set()  # classes that this task has sent, as far as it remembers
         for batch in batches:
             for _, flat, offsets in chunks(batch.column("text")):
                 keys, owners = [], []
                 if len(seen) > 1 << 17:
                     seen = set()
                 for s in shingle_sets(flat, offsets, WIDTH):
-                    if not len(s) or (cls := digest(s)[0]) in seen:
+                    if not len(s) or (d := digest(s)) in seen:
                         continue
-                    seen.add(cls)
+                    seen.add(d)
                     p = prefix_length(len(s))
                     if len(frequent):
                         at = np.searchsorted(frequent, s)
@@ -122,7 +129,7 @@ def _prefixes(frequent: np.ndarray):
                     else:
                         first = s[:p]
                     keys.append(first)
-                    owners.append(np.full(len(first), cls, np.int64))
+                    owners.append(np.full(len(first), d[0], np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "cls"])
 
@@ -140,7 +147,9 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = np.triu_indices(size, 1)
             a.append(m[:, i].ravel())
             b.append(m[:, j].ravel())
-        return np.concatenate(a), np.concatenate(b)
+        x, y = np.concatenate(a), np.concatenate(b)
+        ok = _sized(x, y)
+        return x[ok], y[ok]
 
     def batch_of(a: list, b: list, s: list) -> pa.RecordBatch:
         rows = np.unique(np.stack([np.concatenate(a), np.concatenate(b), np.concatenate(s).astype(np.int64)]), axis=1)

@@ -87,3 +87,13 @@ def test_empty_table(documents, spark):
 def test_prefix_and_signature_bounds():
     for n in range(1, 400):
         assert op.prefix_length(n) == n - (3 * n + 3) // 4 + 1
+
+
+def test_sizes_in_digests_allow_every_link():
+    import numpy as np
+
+    size = lambda n: op.digest(np.arange(n, dtype=np.uint64))[0]
+    for n in [*range(1, 300), 3_000, 300_000]:
+        for m in {n, -(-3 * n // 4)}:
+            assert op._sized(np.array([size(n)]), np.array([size(m)])).all()
+    assert not op._sized(np.array([size(1000)]), np.array([size(500)])).any()
