@@ -20,6 +20,9 @@ from lodestar.llm.tables import scratch_path, text_or_empty
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of an archive that a reading task owns.
 SPLIT = 4 << 20
+TASKS = 100_000
+#: Compressed bytes after which a task goes on in another archive.
+ARCHIVE = 1 << 30
 READ = 1 << 18
 #: Payloads of fewer bytes are never deduplicated.
 LEAST_BYTES = 1000
@@ -62,27 +65,37 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
-def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Writes one archive for each partition and returns (path, bytes, records).
+def write_archives(records: DataFrame, folder: str, archive: int = ARCHIVE) -> DataFrame:
+    """Writes archives of about `archive` bytes at most and returns (path, bytes, records) of each.
 
-    A task writes under a name of its own attempt and then moves the file to the partition's name, so a repeated
-    task leaves one whole archive.
+    A task writes under a name of its own attempt and then moves the file to a name by partition and number, so a
+    repeated task leaves whole archives, one of each name.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         task = TaskContext.get()
         store.create_dir(root, recursive=True)
-        name = f"{root}/part-{task.partitionId():05d}.warc.gz"
-        draft, size, n = f"{root}/.{task.partitionId():05d}-{task.taskAttemptId()}", 0, 0
-        with store.open_output_stream(draft, compression=None) as out:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    member = record(row["page_id"], row["url"], row["payload"], row["payload_bytes"], row["payload_digest"], row["record_type"], row["refers_to"])
-                    out.write(member)
-                    size, n = size + len(member), n + 1
-        store.move(draft, name)
-        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{task.partitionId():05d}.warc.gz"]), pa.array([size]), pa.array([n])], ["path", "bytes", "records"])
+        draft = f"{root}/.{task.partitionId():05d}-{task.taskAttemptId()}"
+        out, number, size, n = None, 0, 0, 0
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            name = f"part-{task.partitionId():05d}-{number:05d}.warc.gz"
+            store.move(draft, f"{root}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([size]), pa.array([n])], ["path", "bytes", "records"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                out = out or store.open_output_stream(draft, compression=None)
+                member = record(row["page_id"], row["url"], row["payload"], row["payload_bytes"], row["payload_digest"], row["record_type"], row["refers_to"])
+                out.write(member)
+                size, n = size + len(member), n + 1
+                if size >= archive:
+                    yield close()
+                    out, number, size, n = None, number + 1, 0, 0
+        if out:
+            yield close()
 
     return records.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to").mapInArrow(run, "path string, bytes long, records long")
 
@@ -160,7 +173,10 @@ def parse(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
 
 
 def read_archives(spark: SparkSession, archives: DataFrame, split: int = SPLIT) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records in archives (path, bytes)."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records in archives (path, bytes).
+
+    A task takes one range of `split` bytes, or a few where there are more ranges than TASKS.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -178,7 +194,8 @@ def read_archives(spark: SparkSession, archives: DataFrame, split: int = SPLIT)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     ranges = archives.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
-    return ranges.repartition("path", "start").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    n = archives.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
+    return ranges.repartition(min(int(n), TASKS)).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:

@@ -49,3 +49,16 @@ def test_every_split_owns_what_starts_in_it(tmp_path, monkeypatch):
         assert [warc.parse(r)[0] for r in raw] == list(range(30))
         raw = [r for a in range(0, noisy.stat().st_size, size) for r in warc.members(store, str(noisy), noisy.stat().st_size, a, min(a + size, noisy.stat().st_size))]
         assert [warc.parse(r)[0] for r in raw] == [0, 1]
+
+
+def test_ranges_are_read_by_several_tasks_and_archives_roll_over(spark, tmp_path):
+    rows = [(k, f"http://x/{k}", hashlib.sha256(b"%d" % k).hexdigest() * 40, None) for k in range(120)]
+    records = warc.with_types(spark.createDataFrame(rows, SCHEMA)).coalesce(2)
+    listing = spark.createDataFrame(warc.write_archives(records, f"file://{tmp_path}/w", archive=2000).collect())
+    assert listing.count() > 10 and sum(r.records for r in listing.collect()) == 120
+    assert all((tmp_path / "w" / r.path.rsplit("/", 1)[1]).stat().st_size == r.bytes for r in listing.collect())
+    one = spark.createDataFrame(warc.write_archives(records.coalesce(1), f"file://{tmp_path}/v").collect())
+    assert one.count() == 1
+    read = warc.read_archives(spark, one, split=900)
+    assert read.rdd.getNumPartitions() > 8
+    assert sorted(r.page_id for r in read.collect()) == list(range(120))
