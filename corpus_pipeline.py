@@ -14,7 +14,7 @@ from lodestar.llm import mixing
 from lodestar.llm import quality as marks
 from lodestar.llm.ngram_join import ngram_join
 from lodestar.llm.packing import pack
-from lodestar.llm.queries import VOCABULARY
+from lodestar.llm.queries import vocabulary
 from lodestar.llm.tables import Saved, maybe_among, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -54,7 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs every document into sequences of at most 4096 tokens."""
-    return pack(docs, VOCABULARY)
+    return pack(docs, vocabulary())
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mix", mix), ("packing", packing)]

@@ -1,4 +1,5 @@
 """Corpus operators for training-data pipelines.
 
-Nothing outside this folder imports it; it only leans on PySpark, numpy, pyarrow and pandas.
+Nothing outside this folder imports it; it leans on PySpark, numpy and pyarrow, and packing on tokenizers and
+a vocabulary file.
 """

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +19,13 @@ from lodestar.llm.suffix_dedup import suffix_dedup
 from lodestar.llm.tables import read
 from lodestar.llm.warc import warc_round_trip
 
-#: The vocabulary that packing counts by; a path outside the repository.
-VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+def vocabulary() -> str:
+    """The path, outside the repository, of the vocabulary that packing counts by; found only when it is asked for."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents"), VOCABULARY)
+    return pack(read(spark, sf_dir, "documents"), vocabulary())
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +71,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added", "n_spans", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

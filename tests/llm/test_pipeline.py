@@ -6,6 +6,7 @@ pytest.importorskip("corpus_pipeline")
 
 import corpus_pipeline as pipe  # noqa: E402
 from lodestar.llm.packing import WordTokenizer  # noqa: E402
+from lodestar.llm.queries import vocabulary  # noqa: E402
 from tests.llm.test_line_dedup import brute as lines_brute  # noqa: E402
 from tests.llm.test_mixing import words  # noqa: E402
 from tests.llm.test_ngram_join import brute as groups_brute  # noqa: E402
@@ -45,7 +46,7 @@ def test_each_stage_on_what_the_one_before_kept(spark, sample):
     ids = Counter()
     for r in packed:
         ids[r.doc_id] += r.length
-    tokenizer, want = WordTokenizer(pipe.VOCABULARY), Counter()
+    tokenizer, want = WordTokenizer(vocabulary()), Counter()
     for r in at["mix"]:
         want[r.doc_id] += len(tokenizer.ids(r.text)) // 4 + 1
     assert ids == want
