@@ -418,11 +418,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(raw[at:])
             for col, v in zip(out, (doc_id, len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest()), strict=True):
                 col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)] + [pc.coalesce(batch.column("cores"), pa.scalar(0, pa.int64()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_cores"])
 
 
 def repeated_runs(docs: DataFrame, saved: Saved, length: int = LENGTH, reach: int = REACH) -> DataFrame:
-    """(doc_id, text_hash, runs): the byte runs, of each document that has any, that repeated strings cover; runs may overlap."""
+    """(doc_id, text_hash, cores, runs) of documents that hold a core found elsewhere too: how many such cores, and the byte runs, which may overlap, that repeated strings cover; null for none."""
     keys = ["doc_id", "text_hash"]
     named = docs.mapInArrow(_named(length, reach), "route long, h long, n long, doc_id long, text_hash long")
     wanted = saved.save(named.repartition("route").sortWithinPartitions("h").mapInArrow(_several(HOT), "h long, doc_id long, text_hash long"))
@@ -443,15 +443,19 @@ def repeated_runs(docs: DataFrame, saved: Saved, length: int = LENGTH, reach: in
     twice = strings.join(strings.groupBy("s1", "s2").count().where("count > 1").select("s1", "s2"), ["s1", "s2"]).groupBy("k1", "k2").agg(F.min("j").alias("least"), F.max("j").alias("most"))
     met = met.unionByName(hot.mapInArrow(_places(length, reach, True), places).join(twice, ["k1", "k2"]))
     run = F.struct((F.col("anchor") - F.col("most")).alias("start"), (F.col("anchor") + length - F.col("least")).alias("end"))
-    return met.groupBy(*keys).agg(F.collect_set(run).alias("runs"))
+    runs = met.groupBy(*keys).agg(F.collect_set(run).alias("runs"))
+    return by_doc.select(*keys, (F.size("cold") + F.size("hot")).cast("long").alias("cores")).join(runs, keys, "left")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, reach: int = REACH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each input row.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_cores), one row for each input row.
 
     Texts are UTF-8 bytes, null an empty one. A byte goes if a string of `length` bytes over it starts anywhere else
     too, in the same document or another; strings are judged on the input and end with their document. Rows that
     repeat id and text repeat each other's strings. A null id is carried along. An empty table gives none.
+
+    n_shared_cores counts the different strings of length - reach + 1 bytes from an anchor on that are found elsewhere
+    too. It tells of passages somewhat shorter than `length`, which stay.
     """
     if not 1 <= reach <= length - GRAM + 1:
         raise ValueError("reach must leave room for a gram in the string")
@@ -462,6 +466,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = saved.save(repeated_runs(rows.drop("own_id"), saved, length, reach))
     # texts that surely lose nothing aren't shuffled
     marked = maybe_among(rows, F.xxhash64("doc_id", "text_hash"), runs.select(F.xxhash64("doc_id", "text_hash").alias("key")), "met")
-    cut = marked.where("met").join(runs, ["doc_id", "text_hash"], "left").select("own_id", "text", "runs")
-    whole = marked.where("not met").select("own_id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
-    return cut.unionByName(whole).withColumnRenamed("own_id", "doc_id").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = marked.where("met").join(runs, ["doc_id", "text_hash"], "left").select("own_id", "text", "cores", "runs")
+    whole = marked.where("not met").select("own_id", "text", F.lit(None).cast("long").alias("cores"), F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
+    return cut.unionByName(whole).withColumnRenamed("own_id", "doc_id").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_cores long")
