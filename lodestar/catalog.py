@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.hashing import content_hash, shard_of, virtual_shard
-from lodestar.functions.text import clean, sentence_pattern
-from lodestar.functions.vectors import as_doubles, norm, normalized
+from lodestar.functions.text import clean, label_prompt, sentence_pattern
+from lodestar.functions.vectors import as_doubles, clamped, frames, norm, normalized, pooled, rescaled, softmax
 from lodestar.operators import dedup_cache, encoders, ltr, store
-from lodestar.operators.index import InvertedFile, apply_delta, classify_delta, last_wins, mark_deleted, search_live, status
+from lodestar.operators.index import InvertedFile, apply_delta, classify_delta, last_wins, mark_deleted, search_live, status, update_known, upsert
 from lodestar.operators.knn import fill_embedding, hydrate, knn_join, merge_shards
 from lodestar.operators.rankers import simple_rank
 from lodestar.operators.sentencizer import sentencize
 from lodestar.operators.traversal import children, has_text, roots, traverse
+from lodestar.plans.compound import SearchStore
 from lodestar.session import load
+from lodestar.sources.dump import dump_rows, load_vectors
+from lodestar.sources.versioned import VersionedTable
 from lodestar.streaming.dedup import drop_seen
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,7 +237,7 @@ SELECT doc_id, "offset", sentence, round({weight}, 6) + 0.0 AS weight FROM t WHE
 for _name, _marks, _max, _uniform in (("sentencize", None, 512, True), ("sentencize_dot_only", (".",), 512, True), ("sentencize_max_len", None, 40, True), ("sentence_weight", None, 512, False)):
 
     def _sentences(spark: SparkSession, sf_dir: str, marks: tuple[str, ...] | None = _marks, longest: int = _max, uniform: bool = _uniform) -> DataFrame:
-        return sentencize(load(spark, sf_dir, "documents"), max_len=longest, marks=marks, uniform_weight=uniform).select("doc_id", "offset", "sentence", r6("weight").alias("weight"))
+        return sentencize(load(spark, sf_dir, "documents"), max_len=longest, marks=marks, uniform_weight=uniform, positions=False).select("doc_id", "offset", "sentence", r6("weight").alias("weight"))
 
     register(_name, _sentence_sql(sentence_pattern(_marks) if _marks else sentence_pattern(), _max, "1.0::DOUBLE" if _uniform else "length(sentence)::DOUBLE / n"))(_sentences)
 
@@ -379,6 +383,197 @@ def shard_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy(shard_of(F.col("v"), 7).alias("shard")).agg(F.min("v").alias("first"), F.max("v").alias("last"), F.count("*").alias("docs"))
 
 
+# --- a store and the index that follows it: every vector is a document; label 3 is deleted later, label 5 changed ------
+
+
+def _following(spark: SparkSession, sf_dir: str) -> tuple[SearchStore, DataFrame]:
+    found = SearchStore(spark, _shared_dir(spark))
+    rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    found.index(rows, now=datetime(2024, 1, 1))
+    return found, rows
+
+
+def _changed(found: SearchStore, rows: DataFrame) -> None:
+    found.delete(rows.where("label = 3"), now=datetime(2024, 1, 2))
+    found.update(rows.where("label = 5").withColumn("embedding", F.transform("embedding", lambda x: -x)), now=datetime(2024, 1, 3))
+
+
+def _indexed(found: SearchStore) -> DataFrame:
+    return found.index_table.read().select("doc_id", r6(F.col("embedding")[0].cast("double")).alias("first_value"))
+
+
+_FIRST = "round(embedding[1]::DOUBLE, 6) + 0.0 AS first_value"
+_NEW_FIRST = "round(CASE WHEN label = 5 THEN -embedding[1] ELSE embedding[1] END::DOUBLE, 6) + 0.0 AS first_value"
+
+
+@register("store_sync_delta", f"SELECT vec_id AS doc_id, {_NEW_FIRST} FROM embeddings WHERE label <> 3")
+def store_sync_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, rows = _following(spark, sf_dir)
+    found.sync()
+    _changed(found, rows)
+    found.sync()
+    return _indexed(found)
+
+
+@register("store_sync_snapshot", f"SELECT vec_id AS doc_id, {_FIRST} FROM embeddings")
+def store_sync_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, rows = _following(spark, sf_dir)
+    found.snapshot()
+    _changed(found, rows)
+    found.sync()
+    return _indexed(found)
+
+
+@register("store_sync_snapshot_delta", f"SELECT vec_id AS doc_id, {_NEW_FIRST} FROM embeddings WHERE label <> 3")
+def store_sync_snapshot_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, rows = _following(spark, sf_dir)
+    found.snapshot()
+    _changed(found, rows)
+    found.sync(use_delta=True)
+    return _indexed(found)
+
+
+@register("store_snapshot_scan", "SELECT vec_id AS doc_id, label = 3 AS is_deleted, CASE WHEN label = 3 THEN 2 WHEN label = 5 THEN 3 ELSE 1 END AS day FROM embeddings")
+def store_snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, rows = _following(spark, sf_dir)
+    _changed(found, rows)
+    found.snapshot()
+    found.clear()
+    return store.scan(found.snapshots.read(), include_docs=False, filter_deleted=False).select("doc_id", "is_deleted", F.dayofmonth("updated_at").alias("day"))
+
+
+@register("store_compound_status", "SELECT count(*) FILTER (WHERE label <> 3) AS total_docs, count(*) AS active_docs, 3 AS day FROM embeddings")
+def store_compound_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, rows = _following(spark, sf_dir)
+    found.sync()
+    _changed(found, rows)
+    return found.status().select("total_docs", "active_docs", F.dayofmonth("last_updated").alias("day"))
+
+
+_VECTOR_VSHARD = "('0x' || right(sha256(vec_id::VARCHAR), 2))::INTEGER % 128"
+
+
+@register("store_dump_reload", f"SELECT vec_id AS doc_id, least({_VECTOR_VSHARD} // 42, 2)::INTEGER AS shard, {_NEW_FIRST} FROM embeddings WHERE label <> 3")
+def store_dump_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, rows = _following(spark, sf_dir)
+    _changed(found, rows)
+    path = _shared_dir(spark)
+    found.dump(path, 3, include_docs=False)
+    parts = [load_vectors(spark, path, k).withColumn("shard", F.lit(k)) for k in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "shard", r6(F.col("embedding")[0].cast("double")).alias("first_value"))
+
+
+@register("store_dump_rows", f"SELECT vec_id AS doc_id, {_NEW_FIRST}, label FROM embeddings WHERE label <> 3")
+def store_dump_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, rows = _following(spark, sf_dir)
+    _changed(found, rows)
+    return dump_rows(found.data.read()).select("doc_id", r6(F.col("embedding")[0].cast("double")).alias("first_value"), "doc.label")
+
+
+@register("store_restore", "SELECT vec_id AS doc_id, label, false AS is_deleted FROM embeddings WHERE label <> 3")
+def store_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, rows = _following(spark, sf_dir)
+    _changed(found, rows)
+    path = _shared_dir(spark)
+    found.dump(path, 4)
+    copy = SearchStore(spark, _shared_dir(spark))
+    copy.index(rows.where("label = 3"))
+    copy.restore(path)
+    return copy.data.read().select("doc_id", "label", "is_deleted")
+
+
+@register("store_scan_shards", f"SELECT vec_id AS doc_id FROM embeddings WHERE label <> 3 AND {_VECTOR_VSHARD} IN (0, 7, 63, 127)")
+def store_scan_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, rows = _following(spark, sf_dir)
+    _changed(found, rows)
+    return store.scan(found.data.read(), include_docs=False, shards=[0, 7, 63, 127], check_embedding=True).select("doc_id")
+
+
+@register("store_add_first_of_id", "SELECT user_id AS doc_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+def store_add_first_of_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id")
+    return store.add(rows.limit(0), rows, "ignore", "event_id")
+
+
+@register("store_replace_last_of_id", "SELECT user_id AS doc_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def store_replace_last_of_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id")
+    return store.add(rows.where("event_id % 3 = 0").groupBy("doc_id").agg(F.min("event_id").alias("event_id")), rows, "replace", "event_id")
+
+
+@register("store_update_insert", "SELECT doc_id, coalesce('quality ' || l.quality, d.source) AS source FROM (SELECT * FROM documents WHERE lang = 'en') d FULL JOIN labels l USING (doc_id)")
+def store_update_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = store.as_rows(load(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "source"), now=F.lit(1))
+    changes = load(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("quality "), "quality").alias("source"))
+    return store.update(old, changes, "insert", now=F.lit(2)).select("doc_id", "source")
+
+
+for _name, _op, _known in (("index_upsert", upsert, ""), ("index_update_known", update_known, " WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")):
+
+    def _put(spark: SparkSession, sf_dir: str, op: Callable[..., DataFrame] = _op) -> DataFrame:
+        events = load(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", "value", "event_type")
+        index = last_wins(events.where("event_type = 'purchase'"), "id", "event_id").select("id", "event_id", "value")
+        return op(index, events.select("id", "event_id", "value"), order="event_id")
+
+    register(_name, f"SELECT user_id AS id, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events{_known} GROUP BY user_id")(_put)
+
+
+@register("doc_cache_kept", "SELECT count(*) AS ids_count, count(DISTINCT coalesce(text, '')) AS hashes_count FROM documents")
+def doc_cache_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache written to tables in two appends by half of the ids, and read again."""
+    ids, hashes = dedup_cache.entries(load(spark, sf_dir, "documents"), ("text",), "doc_id", "doc_id")
+    kept = [VersionedTable(spark, f"{_shared_dir(spark)}/{name}") for name in ("ids", "hashes")]
+    for table, rows in zip(kept, (ids, hashes), strict=True):
+        for half in (0, 1):
+            table.append(rows.where(F.pmod(F.xxhash64("hash"), F.lit(2)) == half))
+    return dedup_cache.counts(*(t.read() for t in kept))
+
+
+# --- arrays: a vector as 8 tokens of 8 numbers, and as numbers ------------------------------------------------------
+
+_TOKENS = "list_transform(range(0, 8), lambda t: list_transform(range(1, 9), lambda i: embedding[t * 8 + i]::DOUBLE))"
+
+
+@register(
+    "pooled_tokens",
+    f"SELECT vec_id, pos - 1 AS pos, round(avg(x), 6) + 0.0 AS mean, min(x) AS low, max(x) AS high, max(CASE WHEN t = 1 THEN x END) AS cls FROM "
+    f"(SELECT vec_id, t, unnest(token) AS x, generate_subscripts(token, 1) AS pos FROM (SELECT vec_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS t FROM (SELECT vec_id, {_TOKENS} AS tokens FROM embeddings))) GROUP BY ALL",
+)
+def pooled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice(as_doubles(F.col("embedding")), t * 8 + 1, F.lit(8)))
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", tokens.alias("tokens"))
+    out = rows.select("vec_id", F.posexplode(F.arrays_zip(*[pooled(F.col("tokens"), how).alias(how) for how in ("mean", "min", "max", "cls")])).alias("pos", "p"))
+    return out.select("vec_id", F.col("pos").cast("long").alias("pos"), r6("p.mean").alias("mean"), F.col("p.min").alias("low"), F.col("p.max").alias("high"), F.col("p.cls").alias("cls"))
+
+
+@register(
+    "vector_numbers",
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT vec_id, round(exp(v[1] - list_max(v)) / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 6) + 0.0 AS share, round(list_sum(list_transform(v, lambda x: least(greatest(x, -0.1), 0.1))), 6) + 0.0 AS clamped,
+round((v[1] - list_min(v)) / (list_max(v) - list_min(v)) * 2 - 1, 6) + 0.0 AS scaled, 5 AS frames, round(v[49], 6) + 0.0 AS last_frame FROM v""",
+)
+def vector_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = as_doubles(F.col("embedding"))
+    cut = frames(v, 16, 12)
+    return load(spark, sf_dir, "embeddings").select(
+        "vec_id", r6(softmax(v)[0]).alias("share"), r6(F.aggregate(clamped(v, -0.1, 0.1), F.lit(0.0), lambda s, x: s + x)).alias("clamped"),
+        r6(rescaled(v, -1.0, 1.0)[0]).alias("scaled"), F.size(cut).alias("frames"), r6(F.element_at(cut, -1)[0]).alias("last_frame"),
+    )
+
+
+@register("knn_with_vector", f"SELECT m.*, round(e.embedding[1]::DOUBLE, 6) + 0.0 AS first_value FROM ({_knn_sql(_COS, '1 - raw', 'DESC')}) m JOIN embeddings e ON m.match_id = e.vec_id")
+def knn_with_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    found = hydrate(_shown(knn_join(_asked(v), v, K)), v, store_key="id", columns=["embedding"])
+    return found.select("query_id", "match_id", "rank", "score", r6(F.col("embedding")[0].cast("double")).alias("first_value"))
+
+
+@register("label_prompts", "SELECT lang, 'a text from ' || string_agg(DISTINCT source, ', ' ORDER BY source) || '.' AS prompt FROM documents GROUP BY lang")
+def label_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = load(spark, sf_dir, "documents").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("labels"))
+    return labels.select("lang", label_prompt(F.col("labels"), "a text from {}.").alias("prompt"))
+
+
 # --- nested documents: a conversation is a root, a turn its chunk, a sentence a chunk of that ------------------------
 
 
@@ -386,7 +581,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = load(spark, sf_dir, "conversations").withColumn("turn_id", F.concat_ws(":", "conv_id", "turn"))
     top = roots(talk.select("conv_id").distinct(), "conv_id").withColumn("text", F.lit(None).cast("string"))
     turns = children(top, talk.select(F.col("conv_id").alias("parent_id"), F.col("turn_id").alias("doc_id"), F.col("turn").alias("ord"), "text"), columns=("text",))
-    parts = sentencize(talk, "turn_id").select(F.col("turn_id").alias("parent_id"), F.concat_ws(":", "turn_id", "offset").alias("doc_id"), F.col("offset").alias("ord"), F.col("sentence").alias("text"))
+    parts = sentencize(talk, "turn_id", positions=False).select(F.col("turn_id").alias("parent_id"), F.concat_ws(":", "turn_id", "offset").alias("doc_id"), F.col("offset").alias("ord"), F.col("sentence").alias("text"))
     return top.unionByName(turns).unionByName(children(turns, parts, columns=("text",)))
 
 
@@ -439,7 +634,7 @@ def ltr_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("encode_hash_projection")
 def encode_hash_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encoders.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), encoders.hash_projection(64), "text")
-    return out.select("doc_id", F.size("embedding").alias("dims"), r6(norm(as_doubles(F.col("embedding")))).alias("norm"))
+    return out.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5) + F.lit(0.0)).alias("embedding"))
 
 
 @register("tfidf_encode")

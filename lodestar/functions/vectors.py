@@ -59,8 +59,37 @@ def pooled(tokens: Column, how: str) -> Column:
     """An array of vectors pooled element by element: mean, min, max, or cls, the first of them."""
     if how == "cls":
         return tokens[0]
-    fold = {"mean": lambda x, y: x + y, "min": F.least, "max": F.greatest}
+    fold = {"mean": lambda x, y: x + y, "min": lambda x, y: F.least(x, y), "max": lambda x, y: F.greatest(x, y)}
     if how not in fold:
         raise NotImplementedError(f"pooling {how!r}")
     total = F.aggregate(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), tokens[0], lambda acc, v: F.zip_with(acc, v, fold[how]))
     return F.transform(total, lambda x: x / F.size(tokens)) if how == "mean" else total
+
+
+def softmax(scores: Column) -> Column:
+    """Shares by exponential, shifted by the greatest score; an empty array stays empty."""
+    top = F.array_max(scores)
+    grown = F.transform(scores, lambda x: F.exp(x - top))
+    total = F.aggregate(grown, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(grown, lambda x: x / total)
+
+
+def clamped(values: Column, low: float, high: float) -> Column:
+    return F.transform(values, lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(high)))
+
+
+def rescaled(values: Column, low: float, high: float) -> Column:
+    """Values brought linearly from their own range to [low, high]; equal ones to low."""
+    a, b = F.array_min(values), F.array_max(values)
+    return F.transform(values, lambda x: F.when(b > a, F.lit(low) + (x - a) / (b - a) * (high - low)).otherwise(F.lit(low)))
+
+
+def decibels(power: Column, least: float = 1e-10) -> Column:
+    """Powers on the decibel scale against 1, none under `least`."""
+    return F.transform(power, lambda x: 10 * F.log10(F.greatest(x, F.lit(least))))
+
+
+def frames(values: Column, size: int, hop: int) -> Column:
+    """Whole frames of `size` values, one every `hop`; too few values give none."""
+    n = F.floor((F.size(values) - size) / hop).cast("int")
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda k: F.slice(values, k * hop + 1, F.lit(size)))).otherwise(F.array().cast("array<array<double>>"))

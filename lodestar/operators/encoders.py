@@ -28,12 +28,13 @@ def encode(df: DataFrame, load_model: Callable[[], Model], input_col: str, outpu
     @F.pandas_udf("array<float>")
     def run(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
-        for series in column:
-            out = np.empty(len(series), object)
-            rows = [i for i, v in enumerate(series) if v is not None and (keep_empty or len(v))]
+        for values in column:
+            inputs = _inputs(values)
+            out = np.empty(len(inputs), object)
+            rows = [i for i, v in enumerate(inputs) if v is not None and (keep_empty or len(v))]
             for a in range(0, len(rows), batch_size):
                 part = rows[a : a + batch_size]
-                vectors = np.asarray(model([series.iloc[i] for i in part]), np.float32)
+                vectors = np.asarray(model([inputs[i] for i in part]), np.float32)
                 if len(vectors) != len(part):
                     raise ValueError(f"the model gave {len(vectors)} vectors for {len(part)} inputs")
                 for i, v in zip(part, vectors, strict=True):
@@ -43,19 +44,51 @@ def encode(df: DataFrame, load_model: Callable[[], Model], input_col: str, outpu
     return df.withColumn(output_col, run(F.col(input_col)))
 
 
+def _inputs(values: pd.Series | pd.DataFrame) -> list:
+    """The inputs of a batch; a struct comes as a frame and goes as a dict, and one whose fields are all null as None."""
+    if isinstance(values, pd.DataFrame):
+        return [None if all(v is None for v in row.values()) else row for row in values.astype(object).where(values.notna(), None).to_dict("records")]
+    return [None if v is None or (isinstance(v, float) and np.isnan(v)) else v for v in values]
+
+
+#: Marks around words, which no text has, and the odd numbers of the hash.
+_OPEN, _CLOSE = "\x01", "\x02"
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _ODD[1]
+    h = (h ^ (h >> np.uint64(27))) * _ODD[2]
+    return h ^ (h >> np.uint64(31))
+
+
 def hash_projection(dims: int = 64, seed: int = 0) -> Callable[[], Model]:
-    """A text model: signed hashes of words and of their letter trigrams, summed and scaled to length 1."""
+    """A text model: signed hashes of words and of their byte trigrams, summed and scaled to length 1.
 
-    def load() -> Model:
-        import xxhash
+    A word counts as itself and, between marks, by every three bytes in a row. All texts of a batch are hashed at once.
+    """
 
+    def load() -> Model:
         def model(texts: list) -> np.ndarray:
-            out = np.zeros((len(texts), dims), np.float32)
-            for k, text in enumerate(texts):
-                for word in text.lower().split():
-                    for gram in (word, *(f"^{word}$"[i : i + 3] for i in range(len(word)))):
-                        h = xxhash.xxh64_intdigest(gram, seed)
-                        out[k, h % dims] += 1 if h >> 63 else -1
+            marked = ["".join(f"{_OPEN}{w}{_CLOSE}" for w in t.lower().split()).encode() for t in texts]
+            flat = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+            owner = np.repeat(np.arange(len(texts)), [len(m) for m in marked])
+            if not len(flat):
+                return np.zeros((len(texts), dims), np.float32)
+            start = np.uint64(seed) * _ODD[0]
+            # trigrams lie within a word's marks
+            a, b, c = flat[:-2], flat[1:-1], flat[2:]
+            at = np.flatnonzero((a != ord(_CLOSE)) & (b != ord(_CLOSE)))
+            grams = _spread((a | b << np.uint64(8) | c << np.uint64(16))[at] + start + np.uint64(1 << 32))
+            # words: their bytes folded by powers, from the mark that opens each
+            opens, closes = np.flatnonzero(flat == ord(_OPEN)), np.flatnonzero(flat == ord(_CLOSE))
+            within = np.arange(len(flat)) - np.repeat(opens, closes - opens + 1)
+            powers = np.cumprod(np.full(int(within.max()) + 1, _ODD[0]))
+            words = _spread(np.add.reduceat(flat * powers[within], opens) + start)
+            h, own = np.concatenate([grams, words]), np.concatenate([owner[at], owner[opens]])
+            slot = own * dims + (h % np.uint64(dims)).astype(np.int64)
+            sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+            out = np.bincount(slot, sign, len(texts) * dims).reshape(len(texts), dims)
             return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
         return model

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import as_doubles, check_metric, normalized, score_of
 from lodestar.operators.knn import knn_join, ranked, raw_values
+from lodestar.operators.store import one_each
 
 #: Vectors of one list that a search task holds, and queries it meets them with.
 LIST_BLOCK, PROBE_BLOCK = 8192, 4096
@@ -32,14 +34,22 @@ def last_wins(rows: DataFrame, id_col: str = "id", order: str = "ord") -> DataFr
     return rows.groupBy(id_col).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_r")).select(id_col, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
-def upsert(index: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
-    """index with new's rows in place of those with the same ids."""
+def check_same_dimension(index: DataFrame, new: DataFrame, vector_col: str = "embedding") -> None:
+    """ValueError unless the vectors of both have one dimension."""
+    a, b = check_dimension(index, vector_col), check_dimension(new, vector_col)
+    if None not in (a, b) and a != b:
+        raise ValueError(f"the index has vectors of {a} components, not {b}")
+
+
+def upsert(index: DataFrame, new: DataFrame, id_col: str = "id", order: str | None = None) -> DataFrame:
+    """index with new's rows in place of those with the same ids; of rows of new that repeat an id the last by `order`, or any."""
+    new = one_each(new, order, id_col=id_col).select(*index.columns)
     return index.join(new.select(id_col), id_col, "left_anti").unionByName(new)
 
 
-def update_known(index: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
+def update_known(index: DataFrame, new: DataFrame, id_col: str = "id", order: str | None = None) -> DataFrame:
     """As upsert, but ids that the index lacks are ignored."""
-    return upsert(index, new.join(index.select(id_col), id_col, "left_semi"), id_col)
+    return upsert(index, new.join(index.select(id_col), id_col, "left_semi"), id_col, order)
 
 
 def mark_deleted(index: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
@@ -82,7 +92,7 @@ class InvertedFile:
     def __init__(self, metric: str = "cosine", cells: int = 16, nprobe: int = 4, sample: int = 100_000, seed: int = 1):
         check_metric(metric)
         self.metric, self.cells, self.nprobe, self.sample, self.seed = metric, cells, nprobe, sample, seed
-        self.model: KMeansModel | None = None
+        self.fitted: np.ndarray | None = None
 
     def _placed(self, v):
         return normalized(v) if self.metric == "cosine" else v
@@ -90,13 +100,32 @@ class InvertedFile:
     def train(self, vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> InvertedFile:
         rows = vectors.where(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(self.sample)
         rows = rows.select(array_to_vector(self._placed(as_doubles(F.col(vector_col)))).alias("features"))
-        self.model = KMeans(k=self.cells, seed=self.seed, maxIter=20).fit(rows)
+        self.fitted = np.array(KMeans(k=self.cells, seed=self.seed, maxIter=20).fit(rows).clusterCenters())
         return self
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Keeps the centers and settings at `path`, with a checksum of the centers."""
+        cells = [(int(k), c.tolist()) for k, c in enumerate(self.centers())]
+        rows = spark.createDataFrame(cells, "cell int, center array<double>").coalesce(1)
+        rows.withColumns({"metric": F.lit(self.metric), "nprobe": F.lit(self.nprobe), "sha256": F.lit(self._checksum())}).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> InvertedFile:
+        """What save() kept; ValueError if the centers aren't those it kept."""
+        rows = spark.read.parquet(path).orderBy("cell").collect()  # one row a cell
+        out = cls(rows[0]["metric"], len(rows), rows[0]["nprobe"])
+        out.fitted = np.array([r["center"] for r in rows])
+        if out._checksum() != rows[0]["sha256"]:
+            raise ValueError(f"the model at {path} is damaged")
+        return out
+
+    def _checksum(self) -> str:
+        return hashlib.sha256(np.ascontiguousarray(self.centers()).tobytes()).hexdigest()
+
     def centers(self) -> np.ndarray:
-        if self.model is None:
-            raise ValueError("train() comes first")
-        return np.array(self.model.clusterCenters())
+        if self.fitted is None:
+            raise ValueError("train() or load() comes first")
+        return self.fitted
 
     def _near(self, rows: DataFrame, n: int, id_col: str, vector_col: str) -> DataFrame:
         centers, cosine = self.centers(), self.metric == "cosine"
@@ -164,4 +193,4 @@ def search_live(queries: DataFrame, index: DataFrame, k: int, **options) -> Data
     return knn_join(queries, index.where(~F.col("is_deleted")), k, **options)
 
 
-__all__ = ["InvertedFile", "apply_delta", "check_dimension", "classify_delta", "last_wins", "mark_deleted", "recall", "search_live", "status", "update_known", "upsert"]
+__all__ = ["InvertedFile", "apply_delta", "check_dimension", "check_same_dimension", "classify_delta", "last_wins", "mark_deleted", "recall", "search_live", "status", "update_known", "upsert"]

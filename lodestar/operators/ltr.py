@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, Window
@@ -22,11 +23,16 @@ def features(queries: DataFrame, matches: DataFrame, query_features: tuple[str,
     return both.select(*[c for c in matches.columns if c not in order], "group_size", *order)
 
 
+#: What a missing feature counts as, in training and in ranking alike: less than any other.
+MISSING = -1e12
+
+
 class TreeRanker:
     """Gradient-boosted regression trees on relevance, pointwise; a listwise objective isn't in Spark ML.
 
-    train() may be called again to replace the trees; rank() before it raises ValueError, or with strict=False
-    returns the matches in the order of their ids.
+    train() may be called again to replace the trees, or with onto=True to add trees that correct those there are;
+    rank() before it raises ValueError, or with strict=False returns the matches in the order of their ids. Rows that
+    lack a feature are trained on and ranked with MISSING for it.
     """
 
     def __init__(self, columns: list[str], label: str = "relevance", weight: str | None = None, trees: int = 5, depth: int = 5, seed: int = 0):
@@ -34,42 +40,55 @@ class TreeRanker:
         self.estimator = GBTRegressor(featuresCol="features", labelCol="_label", maxIter=trees, maxDepth=depth, seed=seed, minInstancesPerNode=1)
         if weight:
             self.estimator = self.estimator.setWeightCol("_weight")
-        self.model: GBTRegressionModel | None = None
+        self.models: list[GBTRegressionModel] = []
 
     def _assembled(self, rows: DataFrame) -> DataFrame:
         lacking = [c for c in self.columns if c not in rows.columns]
         if lacking:
             raise ValueError(f"features {lacking} are missing")
-        return VectorAssembler(inputCols=self.columns, outputCol="features", handleInvalid="keep").transform(rows)
-
-    def train(self, rows: DataFrame) -> TreeRanker:
-        rows = rows.where(F.col(self.label).isNotNull()).withColumn("_label", F.col(self.label).cast("double"))
+        known = {f"_feature{k}": F.when(F.isnan(x := F.col(c).cast("double")) | x.isNull(), MISSING).otherwise(x) for k, c in enumerate(self.columns)}
+        return VectorAssembler(inputCols=list(known), outputCol="features").transform(rows.withColumns(known)).drop(*known)
+
+    def _scored(self, assembled: DataFrame) -> DataFrame:
+        """The sum of all models' predictions as `score`."""
+        total = F.lit(0.0)
+        for k, model in enumerate(self.models):
+            assembled = model.copy({model.predictionCol: f"_score{k}"}).transform(assembled)
+            total = total + F.col(f"_score{k}")
+        return assembled.withColumn("score", total).drop(*[f"_score{k}" for k in range(len(self.models))])
+
+    def train(self, rows: DataFrame, onto: bool = False) -> TreeRanker:
+        rows = self._assembled(rows.where(F.col(self.label).isNotNull()).withColumn("_label", F.col(self.label).cast("double")))
         if self.weight:
             rows = rows.withColumn("_weight", F.col(self.weight).cast("double"))
-        self.model = self.estimator.fit(self._assembled(rows.na.drop(subset=self.columns)))
-        if self.model.numFeatures != len(self.columns):
+        if onto and self.models:
+            rows = self._scored(rows.drop("score")).withColumn("_label", F.col("_label") - F.col("score")).drop("score")
+        model = self.estimator.fit(rows)
+        if model.numFeatures != len(self.columns):
             raise ValueError("the model's features don't match the columns")
+        self.models = [*self.models, model] if onto else [model]
         return self
 
     def rank(self, rows: DataFrame, key: str = "query_id", match: str = "match_id", strict: bool = True) -> DataFrame:
         """rows with `score` and `rank`, best first in each query, ties by match."""
-        if self.model is None:
+        if not self.models:
             if strict:
                 raise ValueError("train() comes first")
             return rows.withColumn("score", F.lit(None).cast("double")).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(match)))
-        scored = self.model.transform(self._assembled(rows)).drop("features").withColumnRenamed("prediction", "score")
+        scored = self._scored(self._assembled(rows)).drop("features")
         return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), match)))
 
     def save(self, path: str) -> None:
-        if self.model is None:
+        if not self.models:
             raise ValueError("train() comes first")
-        self.model.write().overwrite().save(path)
+        PipelineModel(self.models).write().overwrite().save(path)
 
     def load(self, path: str) -> TreeRanker:
-        model = GBTRegressionModel.load(path)
-        if model.numFeatures != len(self.columns):
-            raise ValueError(f"the model has {model.numFeatures} features, not {len(self.columns)}")
-        self.model = model
+        models = PipelineModel.load(path).stages
+        for model in models:
+            if model.numFeatures != len(self.columns):
+                raise ValueError(f"the model has {model.numFeatures} features, not {len(self.columns)}")
+        self.models = models
         return self
 
 

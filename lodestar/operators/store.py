@@ -35,26 +35,44 @@ def missing(docs: DataFrame, store: DataFrame) -> DataFrame:
     return docs.join(store.select("doc_id"), "doc_id", "left_anti")
 
 
-def add(store: DataFrame, new: DataFrame, on_conflict: str = "abort") -> DataFrame:
-    """store with new rows. If ids are there already: abort adds none of the batch, ignore adds the others, replace
-    puts the new rows in their place, error raises DuplicateIdError."""
+def one_each(rows: DataFrame, order: str | None = None, last: bool = True, id_col: str = "doc_id") -> DataFrame:
+    """One row for each id: the last or first by `order`, or any of them without one."""
+    cols = [c for c in rows.columns if c != id_col]
+    row = F.struct(*cols)
+    pick = F.first(row) if order is None else F.max_by(row, order) if last else F.min_by(row, order)
+    return rows.groupBy(id_col).agg(pick.alias("_r")).select(*[F.col(id_col) if c == id_col else F.col(f"_r.{c}").alias(c) for c in rows.columns])
+
+
+def add(store: DataFrame, new: DataFrame, on_conflict: str = "abort", order: str | None = None) -> DataFrame:
+    """store with new rows. If ids are there already, or twice in the batch: abort adds none of the batch, ignore adds the
+    other ids and of a repeated one its first row, replace puts the new rows in their place and of a repeated id the
+    last, error raises DuplicateIdError. `order` is a column of new that says which row is first; without it any is."""
     if on_conflict not in CONFLICTS:
         raise ValueError(f"on_conflict must be one of {CONFLICTS}")
-    if on_conflict == "ignore":
-        return store.unionByName(missing(new, store))
     if on_conflict == "replace":
+        new = one_each(new, order).select(*store.columns)
         return store.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
-    if existing(new, store).isEmpty():
-        return store.unionByName(new)
+    return store.unionByName(additions(store, new, on_conflict, order))
+
+
+def additions(store: DataFrame, new: DataFrame, on_conflict: str = "abort", order: str | None = None) -> DataFrame:
+    """The rows that add() puts beside the store's own; replace isn't among its conflicts."""
+    if on_conflict == "ignore":
+        return missing(one_each(new, order, last=False), store).select(*store.columns)
+    rows = new.select(*store.columns)
+    if existing(new, store).isEmpty() and new.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows
     if on_conflict == "error":
-        raise DuplicateIdError("some ids are in the store already")
-    return store
+        raise DuplicateIdError("some ids are in the store already, or twice in the batch")
+    return rows.where(F.lit(False))
 
 
-def update(store: DataFrame, changes: DataFrame, on_missing: str = "ignore", now: datetime | Column | None = None) -> DataFrame:
+def update(store: DataFrame, changes: DataFrame, on_missing: str = "ignore", now: datetime | Column | None = None, order: str | None = None) -> DataFrame:
     """store with the columns of changes (doc_id, ...) put into the rows of those ids, which come alive again; shard and
-    created_at stay. Ids that the store lacks are ignored or inserted."""
-    cols = [c for c in changes.columns if c != "doc_id" and c not in BOOKKEEPING]
+    created_at stay. Ids that the store lacks are ignored or inserted. Of changes that repeat an id the last by `order`
+    counts, or any of them without one."""
+    changes = one_each(changes, order)
+    cols = [c for c in changes.columns if c not in ("doc_id", *BOOKKEEPING) and c in store.columns]
     new = changes.select(F.col("doc_id").alias("_id"), F.struct(*cols).alias("_new"))
     hit = F.col("_id").isNotNull()
     out = store.join(new, F.col("doc_id") == F.col("_id"), "left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import store as ops
-from lodestar.operators.index import apply_delta
+from lodestar.operators.index import InvertedFile, apply_delta, check_same_dimension
 from lodestar.operators.knn import hydrate, knn_join
 from lodestar.sources.dump import export, load_docs
 from lodestar.sources.versioned import VersionedTable
@@ -30,10 +30,15 @@ class SearchStore:
         self.data.write(rows, partition_by="shard")
         self.data.vacuum(keep=2)
 
-    def index(self, docs: DataFrame, on_conflict: str = "abort", now: datetime | None = None) -> None:
-        """Adds docs (doc_id, embedding, ...)."""
+    def index(self, docs: DataFrame, on_conflict: str = "abort", now: datetime | None = None, order: str | None = None) -> None:
+        """Adds docs (doc_id, embedding, ...). Unless rows are replaced, what the store has already isn't rewritten."""
         new = ops.as_rows(docs, now=now)
-        self._write(ops.add(self._rows(), new, on_conflict) if self.data.versions() else new)
+        rows = self._rows() if self.data.versions() else new.drop(*([order] if order else [])).limit(0)
+        if on_conflict == "replace":
+            self._write(ops.add(rows, new, on_conflict, order))
+        else:
+            self.data.append(ops.additions(rows, new, on_conflict, order), partition_by="shard")
+            self.data.vacuum(keep=2)
 
     def update(self, docs: DataFrame, on_missing: str = "ignore", now: datetime | None = None) -> None:
         self._write(ops.update(self._rows(), docs, on_missing, now))
@@ -87,8 +92,27 @@ class SearchStore:
                 latest = shot.agg(F.max("updated_at")).first()[0]
                 if latest is not None:
                     built = apply_delta(built, ops.delta_since(self._rows(), latest, self.shard_id, self.total_shards), "doc_id")
+        if self.index_table.versions():
+            check_same_dimension(self.index_table.read(), built)
         return self.index_table.write(built)
 
+    def train(self, path: str, cells: int = 16, nprobe: int = 4, **options) -> InvertedFile:
+        """Fits an inverted file on the live rows' vectors and keeps it at `path`."""
+        trained = InvertedFile(self.metric, cells, nprobe, **options).train(ops.prune(self._rows()).where("embedding is not null"), "doc_id")
+        trained.save(self.spark, path)
+        return trained
+
+    def load(self, path: str) -> InvertedFile:
+        """An inverted file kept by train(); ValueError if its metric isn't the store's."""
+        trained = InvertedFile.load(self.spark, path)
+        if trained.metric != self.metric:
+            raise ValueError(f"the model at {path} is for {trained.metric}, not {self.metric}")
+        return trained
+
+    def search_trained(self, queries: DataFrame, k: int, trained: InvertedFile, is_distance: bool = True) -> DataFrame:
+        """As search() without documents, in the cells of an inverted file."""
+        return trained.search(queries, trained.lists(self.index_table.read(), "doc_id"), k, is_distance)
+
     def search(self, queries: DataFrame, k: int, is_distance: bool = True, with_docs: bool = True, with_embedding: bool = False) -> DataFrame:
         """The k nearest indexed rows of each query (id, embedding), with their live documents from the store."""
         index = self.index_table.read().withColumnRenamed("doc_id", "id")

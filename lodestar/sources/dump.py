@@ -36,6 +36,13 @@ def export(store: DataFrame, path: str, shards: int, include_docs: bool = True,
     rows.withColumn("dump_shard", target).select(*cols, "dump_shard").repartition("dump_shard").write.partitionBy("dump_shard").mode("overwrite").parquet(path)
 
 
+def dump_rows(store: DataFrame) -> DataFrame:
+    """(doc_id, embedding, doc) of the live rows: doc is a struct of what else the document has."""
+    rows = prune(store) if "is_deleted" in store.columns else store
+    rest = [c for c in rows.columns if c not in ("doc_id", "embedding", *BOOKKEEPING)]
+    return rows.select("doc_id", "embedding", F.struct(*rest).alias("doc"))
+
+
 def load_vectors(spark: SparkSession, path: str, shard: int | None = None) -> DataFrame:
     """(doc_id, embedding) of a dump; other columns and other shards are never read."""
     rows = spark.read.parquet(path)

@@ -31,11 +31,12 @@ def into_store(stream: DataFrame, table: VersionedTable, cache: VersionedTable,
             return
         new = first_wins(batch, fields, order, known.select("hash") if known is not None else None).persist()
         rows = new.withColumn("_batch", F.lit(number).cast("long"))
-        if table.versions():
-            rows = table.read().where(F.col("_batch") < number).unionByName(rows)
-        table.write(rows)
-        hashes = new.select(content_hash(*fields).alias("hash"), F.lit(number).cast("long").alias("batch"))
-        cache.write(known.unionByName(hashes) if known is not None else hashes)
+        if table.versions() and not table.read().where(F.col("_batch") == number).isEmpty():
+            # the batch got as far as the table before: its rows are put there anew
+            table.write(table.read().where(F.col("_batch") != number).unionByName(rows))
+        else:
+            table.append(rows)
+        cache.append(new.select(content_hash(*fields).alias("hash"), F.lit(number).cast("long").alias("batch")))
         new.unpersist()
 
     return stream.writeStream.foreachBatch(add)

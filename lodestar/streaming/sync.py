@@ -3,24 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from lodestar.operators.index import apply_delta
+from lodestar.operators.index import last_wins
 from lodestar.sources.versioned import VersionedTable
 
 
+COLUMNS = ("id", "embedding", "updated_at", "is_deleted")
+
+
 def follow(changes: DataFrame, index: VersionedTable) -> DataStreamWriter:
-    """A writer that applies each micro-batch of changes (id, embedding, updated_at, is_deleted) to an index table.
+    """A writer that applies each micro-batch of changes (id, embedding, updated_at, is_deleted) to a log of an index's rows.
 
-    A change applies if it is later than what the index has for its id, so a repeated batch changes nothing.
+    A batch is appended to the log; a deleted id stays there with its time, so a late change from before the deletion
+    doesn't bring it back, and a repeated batch changes nothing. live() has the index.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        cols = ("id", "embedding", "updated_at")
-        base = index.read() if index.versions() else batch.select(*cols).limit(0)
-        known = base.select(F.col("id").alias("_id"), F.col("updated_at").alias("_at"))
-        fresh = batch.join(known, F.col("id") == F.col("_id"), "left").where(F.col("_at").isNull() | (F.col("updated_at") > F.col("_at"))).drop("_id", "_at")
-        index.write(apply_delta(base, fresh))
+        index.append(last_wins(batch.select(*COLUMNS), "id", "updated_at"))
 
     return changes.writeStream.foreachBatch(apply)
+
+
+def live(index: VersionedTable) -> DataFrame:
+    """The rows (id, embedding, updated_at) of the latest change of each id, without those that it deleted."""
+    return last_wins(index.read(), "id", "updated_at").where("not is_deleted and embedding is not null").select("id", "embedding", "updated_at")
+
+
+def compact(index: VersionedTable) -> int:
+    """Rewrites the log to the latest change of each id, deletions too: to be run between batches, when the log has grown."""
+    return index.write(last_wins(index.read(), "id", "updated_at").select(*COLUMNS))

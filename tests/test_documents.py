@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.hashing import content_hash, shard_bounds, shard_of, virtual_shard
 from lodestar.functions.text import SENTENCE_MARKS, clean, label_prompt
+from lodestar.functions import vectors
 from lodestar.functions.vectors import pooled
 from lodestar.operators import dedup_cache, encoders, ltr, rankers, segmenters, store, traversal
+from lodestar.operators import index as index_ops
 from lodestar.operators.sentencizer import sentencize
 from lodestar.plans.compound import SearchStore
 from lodestar.sources import audio, dump
 from lodestar.sources.versioned import VersionedTable
 from lodestar.streaming.dedup import drop_seen, into_store
-from lodestar.streaming.sync import follow
+from lodestar.streaming.sync import compact, follow, live
 
 T0 = datetime(2024, 1, 1)
 
@@ -46,19 +48,32 @@ def test_first_wins_and_missing_fields(spark):
 
 
 def plain_sentences(text, marks=SENTENCE_MARKS, min_len=1, max_len=512):
-    p = re.escape("".join(marks))
-    found = [(m.group(0), m.start(), m.end()) for m in re.finditer(rf"\s*([^{p}]+)(?<!\s)[{p}]*", text)] or [(text, 0, len(text))]
-    out = []
-    for k, (raw, a, b) in enumerate(found):
-        s = re.sub("\n+", " ", raw).strip()[:max_len]
-        if len(s) > min_len:
-            out.append((k, s, a, b))
-    return out
+    """A scan over characters: blanks, a run without marks that ends in no blank, then marks."""
+    found, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and (text[end] not in marks or (text[end].isspace() and not text[at:end].strip())):
+            end += 1
+        last = end
+        while last > at and text[last - 1].isspace():
+            last -= 1
+        if not text[at:last].strip():  # no run from here
+            at = end + 1
+            continue
+        stop = last
+        while stop < len(text) and text[stop] in marks:
+            stop += 1
+        found.append((at, stop))
+        at = stop
+    found = found or [(0, len(text))]
+    cut = lambda a, b: "".join(" " if c == "\n" else c for k, c in enumerate(text[a:b]) if not (c == "\n" and k and text[a + k - 1] == "\n")).strip()[:max_len]
+    rows = [(k, cut(a, b), a, b) for k, (a, b) in enumerate(found)]
+    return [r for r in rows if len(r[1]) > min_len]
 
 
 @pytest.mark.parametrize("marks", [None, (".",), ("]", "-", "^")])
 def test_sentences_against_plain_patterns(spark, marks):
-    texts = ["Hello. World! Go? Back", "...", "", None, " one\n\ntwo.  x. yes", "no marks", "a^b]c-d", "é. ü!? ¿sí", "\n\n.\n"]
+    texts = ["Rain. Again! Why? Fog", "...", "", None, " one\n\ntwo.  x. yes", "no marks", "a^b]c-d", "é. ü!? ¿sí", "\n\n.\n"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {}
     for r in sentencize(docs, marks=marks).collect():
@@ -68,11 +83,11 @@ def test_sentences_against_plain_patterns(spark, marks):
 
 
 def test_sentence_options(spark):
-    docs = spark.createDataFrame([(1, "Hello. World! Go? Back")], "doc_id int, text string")
-    assert [r.sentence for r in sentencize(docs).orderBy("offset").collect()] == ["Hello.", "World!", "Go?", "Back"]
+    docs = spark.createDataFrame([(1, "Rain. Again! Why? Fog")], "doc_id int, text string")
+    assert [r.sentence for r in sentencize(docs).orderBy("offset").collect()] == ["Rain.", "Again!", "Why?", "Fog"]
     assert sentencize(docs, marks=(".",)).count() == 2
-    assert [r.sentence for r in sentencize(docs, max_len=3, marks=(".",)).orderBy("offset").collect()] == ["Hel", "Wor"]
-    assert sentencize(docs, uniform_weight=False).where("sentence = 'Back'").first().weight == pytest.approx(4 / 22)
+    assert [r.sentence for r in sentencize(docs, max_len=3, marks=(".",)).orderBy("offset").collect()] == ["Rai", "Aga"]
+    assert sentencize(docs, uniform_weight=False).where("sentence = 'Fog'").first().weight == pytest.approx(3 / 21)
 
 
 # --- rankers
@@ -99,6 +114,15 @@ def test_tree_ranker_prefers_low_prices(spark, tmp_path):
     assert order == ["3", "4", "2", "1"]
     ranker.save(f"file://{tmp_path}/m")
     assert [r.match_id for r in ltr.TreeRanker(["match_price"]).load(f"file://{tmp_path}/m").rank(test).orderBy("rank").collect()] == order
+    lacking = spark.createDataFrame([(1, "1", 405.0), (1, "2", None), (1, "3", float("nan"))], "query_id int, match_id string, match_price double")
+    both = ltr.TreeRanker(["match_price"], trees=1, depth=2).train(train)
+    miss = lambda: both.rank(train).agg(F.avg((F.col("score") - F.col("relevance")) ** 2)).first()[0]
+    first = miss()
+    both.train(train, onto=True)
+    assert miss() < 0.8 * first and len(both.models) == 2
+    both.save(f"file://{tmp_path}/m2")
+    again = {r.match_id: r.score for r in ltr.TreeRanker(["match_price"]).load(f"file://{tmp_path}/m2").rank(lacking).collect()}
+    assert again == {r.match_id: r.score for r in both.rank(lacking).collect()} and again["2"] == again["3"]
     with pytest.raises(ValueError):
         ltr.TreeRanker(["a", "b"]).load(f"file://{tmp_path}/m")
 
@@ -152,6 +176,38 @@ def test_conflicts_and_updates(spark):
     assert store.scan(back, include_docs=False, check_embedding=True, limit=1).count() == 1
 
 
+def test_ids_that_repeat_within_a_batch(spark):
+    base = store.as_rows(docs(spark, (1, 2)), now=T0)
+    twice = spark.createDataFrame([("2", "old", 1), ("3", "first", 1), ("3", "last", 2)], "doc_id string, text string, ord int").withColumn("embedding", F.array(F.lit(0.0)))
+    new = store.as_rows(twice, now=T0)
+    ids = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    only = new.where("doc_id = '3'")
+    assert ids(store.add(base, only, "abort", "ord")) == ids(base)
+    with pytest.raises(store.DuplicateIdError):
+        store.add(base, only, "error")
+    assert ids(store.add(base, new, "ignore", "ord")) == [("1", "t1"), ("2", "t2"), ("3", "first")]
+    assert ids(store.add(base, new, "replace", "ord")) == [("1", "t1"), ("2", "old"), ("3", "last")]
+    assert ids(store.update(base, twice, "insert", T0, "ord")) == [("1", "t1"), ("2", "old"), ("3", "last")]
+    at = lambda df: sorted((r.id, r.text) for r in df.collect())
+    known, more = base.select(F.col("doc_id").alias("id"), "text"), twice.withColumnRenamed("doc_id", "id").select("id", "text", "ord")
+    assert at(index_ops.upsert(known, more, order="ord")) == [("1", "t1"), ("2", "old"), ("3", "last")]
+    assert at(index_ops.update_known(known, more, order="ord")) == [("1", "t1"), ("2", "old")]
+    with pytest.raises(ValueError):
+        index_ops.check_same_dimension(base, twice)
+
+
+def test_trained_cells_are_kept(spark, tmp_path):
+    s = SearchStore(spark, f"file://{tmp_path}/s", "euclidean")
+    s.index(docs(spark, range(60)), now=T0)
+    s.sync()
+    s.train(f"file://{tmp_path}/m", cells=4, nprobe=4)
+    q = spark.createDataFrame([("q", [7.0, 1.0])], "id string, embedding array<double>")
+    got = s.search_trained(q, 3, s.load(f"file://{tmp_path}/m")).orderBy("rank").collect()
+    assert [r.match_id for r in got] == ["7", "6", "8"]
+    with pytest.raises(ValueError):
+        SearchStore(spark, f"file://{tmp_path}/s").load(f"file://{tmp_path}/m")
+
+
 def test_shards(spark):
     ids = [f"aa{k}" for k in range(60)]
     for m in (44, 128):
@@ -225,7 +281,7 @@ def test_search_store_syncs(spark, tmp_path):
 
 
 def test_encode_batches_and_filters(spark):
-    df = spark.createDataFrame([(1, "Han likes eating pizza"), (2, ""), (3, None), (4, "Han likes pizza")], "id int, text string")
+    df = spark.createDataFrame([(1, "Tom cooks green soup"), (2, ""), (3, None), (4, "Tom cooks soup")], "id int, text string")
     for size in (1, 3):
         got = {r.id: r.embedding for r in encoders.encode(df, encoders.hash_projection(32), "text", batch_size=size).collect()}
         assert got[2] is None and got[3] is None and len(got[1]) == 32
@@ -237,7 +293,7 @@ def test_encode_batches_and_filters(spark):
 
 
 def test_tfidf_and_word_vectors(spark, tmp_path):
-    df = spark.createDataFrame([(1, "Han likes eating pizza"), (2, "Han likes pizza"), (3, "Jina rocks"), (4, None)], "id int, text string")
+    df = spark.createDataFrame([(1, "Tom cooks green soup"), (2, "Tom cooks soup"), (3, "Birds sing"), (4, None)], "id int, text string")
     model = encoders.fit_tfidf(df)
     encoders.save_model(model, f"file://{tmp_path}/m")
     v = {r.id: r.embedding for r in encoders.encode_with(encoders.load_model(f"file://{tmp_path}/m"), df).collect()}
@@ -271,6 +327,11 @@ def test_pooling_and_text_functions(spark):
     with pytest.raises(NotImplementedError):
         pooled(F.col("t"), "sum")
     t = spark.createDataFrame([("  A &amp;lt; B\n\nC ", ["x", "y"])], "s string, l array<string>")
+    e = spark.createDataFrame([("caf&#233; &#x1F600;&#0; &#xD800; &amp;#38; 1 &#12", )], "s string")
+    assert e.select(clean(F.col("s"))).first()[0] == "caf\u00e9 \U0001F600&#0; &#xd800; & 1 &#12"
+    n = spark.createDataFrame([([1.0, 3.0, 2.0],)], "v array<double>").select(vectors.softmax(F.col("v")), vectors.clamped(F.col("v"), 1.5, 2.5), vectors.rescaled(F.col("v"), 0.0, 1.0), vectors.decibels(F.col("v")), vectors.frames(F.col("v"), 2, 1)).first()
+    x = np.exp([1.0, 3.0, 2.0])
+    assert np.allclose(n[0], x / x.sum()) and n[1] == [1.5, 2.5, 2.0] and n[2] == [0.0, 1.0, 0.5] and np.allclose(n[3], 10 * np.log10([1, 3, 2])) and n[4] == [[1.0, 3.0], [3.0, 2.0]]
     assert tuple(t.select(clean(F.col("s")), label_prompt(F.col("l"), "a photo of {}.")).first()) == ("a < b c", "a photo of x, y.")
 
 
@@ -287,6 +348,19 @@ def test_detections_and_speech(spark, tmp_path):
     (tmp_path / "w" / "x.wav").write_bytes(audio.encode_wave(wave, rate))
     found = segmenters.speech(audio.read_waves(spark, f"file://{tmp_path}/w")).collect()
     assert len(found) == 1 and abs(found[0].location[0] - 16000) <= 500 and abs(found[0].location[1] - 32000) <= 500
+    kept = audio.write_waves(spark.createDataFrame(found), f"file://{tmp_path}/chunks", 16_000).collect()
+    back = audio.read_waves(spark, f"file://{tmp_path}/chunks").collect()
+    assert [r.path.rsplit("/", 1)[1] for r in kept] == [r.doc_id.rsplit("/", 1)[1] for r in back] and len(back[0].wave[0]) == len(found[0].wave) and np.allclose(back[0].wave[0], found[0].wave, atol=1e-4)
+    import io
+    import wave as waves
+
+    raw = io.BytesIO()
+    with waves.open(raw, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(3)
+        f.setframerate(rate)
+        f.writeframes(b"".join(int(v).to_bytes(3, "little", signed=True) for v in (0, 1 << 22, -(1 << 23))))
+    assert audio.decode_wave(raw.getvalue())[0].tolist() == [[0.0, 0.5, -1.0]]
     bad = spark.createDataFrame([("z", [[0.0]], 0)], "doc_id string, wave array<array<float>>, sample_rate int")
     with pytest.raises(Exception, match="sample rate"):
         segmenters.speech(bad).collect()
@@ -319,4 +393,8 @@ def test_index_follows_a_stream(spark, tmp_path):
     run()
     spark.createDataFrame([("a", [9.0], 0, False), ("b", None, 2, True), ("c", [3.0], 2, False)], kind).write.mode("append").parquet(src)
     run()
-    assert {r.id: r.embedding[0] for r in index.read().collect()} == {"a": 1.0, "c": 3.0}
+    assert {r.id: r.embedding[0] for r in live(index).collect()} == {"a": 1.0, "c": 3.0}
+    compact(index)
+    spark.createDataFrame([("b", [7.0], 1, False), ("c", [4.0], 3, False)], kind).write.mode("append").parquet(src)  # b's change is older than its deletion
+    run()
+    assert {r.id: r.embedding[0] for r in live(index).collect()} == {"a": 1.0, "c": 4.0}
