@@ -11,13 +11,17 @@ from lodestar.llm import line_dedup as lines
 from lodestar.llm import mixing
 from lodestar.llm.embedding_dedup import embedding_dedup
 from lodestar.llm.fingerprint import fingerprints
+from lodestar.llm.hard_negatives import hard_negatives
+from lodestar.llm.int_vectors import usable, whole
 from lodestar.llm.ngram_join import ngram_join
 from lodestar.llm.packing import pack
 from lodestar.llm.pii import find_pii
 from lodestar.llm.quality import held_out, score, train
+from lodestar.llm.secrets import find_secrets
 from lodestar.llm.suffix_dedup import suffix_dedup
 from lodestar.llm.tables import read
 from lodestar.llm.warc import warc_round_trip
+from lodestar.llm.whitening import whiten
 
 
 def vocabulary() -> str:
@@ -74,8 +78,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added", "n_spans", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_added", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").where(usable("embedding")).select(F.col("vec_id").alias("id"), moved.alias("label"), whole("embedding").alias("x"))
+    return hard_negatives(rows, anchors=F.col("id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_embedding_dedup, op2_ngram_join, op3_mixing, op4_warc, op5_suffix_dedup, op6_line_dedup, op7_packing, op8_quality, op9_fingerprints, op10_pii)
+    found = (op1_embedding_dedup, op2_ngram_join, op3_mixing, op4_warc, op5_suffix_dedup, op6_line_dedup, op7_packing, op8_quality, op9_fingerprints, op10_pii, op11_whitening, op12_secrets, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
@@ -122,5 +141,22 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN owner <> page_id THEN '
 """
 
 
+#: Every anchor against every row; scores are sums of whole numbers, exact in double precision.
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.id % 50 = 0 AND (a.id <> b.id OR a.label <> b.label)
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id)::INTEGER AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op2_ngram_join": OP2_SQL, "op3_mixing": mixing.SQL, "op4_warc": OP4_SQL, "op6_line_dedup": lines.SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op2_ngram_join": OP2_SQL, "op3_mixing": mixing.SQL, "op4_warc": OP4_SQL, "op6_line_dedup": lines.SQL, "op13_hard_negatives": OP13_SQL}
