@@ -16,6 +16,9 @@ from lodestar.functions.vectors import as_doubles, clamped, frames, norm, normal
 from lodestar.operators import dedup_cache, encoders, ltr, store
 from lodestar.operators.index import InvertedFile, apply_delta, classify_delta, last_wins, mark_deleted, search_live, status, update_known, upsert
 from lodestar.operators.knn import fill_embedding, hydrate, knn_join, merge_shards
+from lodestar.operators.neighbour_graph import NeighbourGraph
+from lodestar.operators.product_lists import ProductLists
+from lodestar.operators.projection_forest import ProjectionForest
 from lodestar.operators.rankers import simple_rank
 from lodestar.operators.sentencizer import sentencize
 from lodestar.operators.traversal import children, has_text, roots, traverse
@@ -131,6 +134,40 @@ def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(ivf.search(_asked(v), ivf.lists(v), K)).withColumn("query_id", F.col("query_id").cast("long")).withColumn("match_id", F.col("match_id").cast("long"))
 
 
+@register("pq_search")
+def pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    index = ProductLists("cosine").train(v)
+    return _shown(index.search(_asked(v), index.lists(v), v, K))
+
+
+@register("graph_search")
+def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return _shown(NeighbourGraph("cosine").build(v).search(_asked(v), K))
+
+
+@register("forest_search")
+def forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return _shown(ProjectionForest("cosine", trees=8, probes=6).build(v).search(_asked(v), K))
+
+
+@register(
+    "ann_recall",
+    f"SELECT i.method, m.query_id, m.match_id AS best_id, {K}::BIGINT AS n_found, true AS recalled FROM (VALUES ('forest'), ('graph'), ('lists')) i(method), ({_knn_sql(_COS, '1 - raw', 'DESC')}) m WHERE m.rank = 1",
+)
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each approximate index and query its best match, how many it found, and whether nine tenths of all exact matches were found."""
+    v = _vectors(spark, sf_dir)
+    exact = knn_join(_asked(v), v, K).select("query_id", "match_id", F.lit(True).alias("true"))
+    found = [f(spark, sf_dir).withColumn("method", F.lit(name)) for name, f in (("forest", forest_search), ("graph", graph_search), ("lists", pq_search))]
+    both = found[0].unionByName(found[1]).unionByName(found[2]).join(exact, ["query_id", "match_id"], "left")
+    by_query = both.groupBy("method", "query_id").agg(F.min_by("match_id", "rank").alias("best_id"), F.count("*").alias("n_found"), F.count("true").alias("hits"))
+    share = by_query.groupBy("method").agg((F.sum("hits") >= 0.9 * K * F.count("*")).alias("recalled"))
+    return by_query.join(share, "method").select("method", "query_id", "best_id", "n_found", "recalled")
+
+
 @register("fill_embedding", "SELECT d.doc_id, e.embedding IS NOT NULL AS known, round(e.embedding[1]::DOUBLE, 6) + 0.0 AS first_value FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id")
 def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))

@@ -27,8 +27,17 @@ def features(queries: DataFrame, matches: DataFrame, query_features: tuple[str,
 MISSING = -1e12
 
 
+def assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with `features`, a vector of the columns in their order, MISSING where one is null or not a number; ValueError if rows lack a column."""
+    lacking = [c for c in columns if c not in rows.columns]
+    if lacking:
+        raise ValueError(f"features {lacking} are missing")
+    known = {f"_feature{k}": F.when(F.isnan(x := F.col(c).cast("double")) | x.isNull(), MISSING).otherwise(x) for k, c in enumerate(columns)}
+    return VectorAssembler(inputCols=list(known), outputCol="features").transform(rows.withColumns(known)).drop(*known)
+
+
 class TreeRanker:
-    """Gradient-boosted regression trees on relevance, pointwise; a listwise objective isn't in Spark ML.
+    """Gradient-boosted regression trees on relevance, pointwise; ListwiseRanker has the objective of whole lists.
 
     train() may be called again to replace the trees, or with onto=True to add trees that correct those there are;
     rank() before it raises ValueError, or with strict=False returns the matches in the order of their ids. Rows that
@@ -42,13 +51,6 @@ class TreeRanker:
             self.estimator = self.estimator.setWeightCol("_weight")
         self.models: list[GBTRegressionModel] = []
 
-    def _assembled(self, rows: DataFrame) -> DataFrame:
-        lacking = [c for c in self.columns if c not in rows.columns]
-        if lacking:
-            raise ValueError(f"features {lacking} are missing")
-        known = {f"_feature{k}": F.when(F.isnan(x := F.col(c).cast("double")) | x.isNull(), MISSING).otherwise(x) for k, c in enumerate(self.columns)}
-        return VectorAssembler(inputCols=list(known), outputCol="features").transform(rows.withColumns(known)).drop(*known)
-
     def _scored(self, assembled: DataFrame) -> DataFrame:
         """The sum of all models' predictions as `score`."""
         total = F.lit(0.0)
@@ -58,7 +60,7 @@ class TreeRanker:
         return assembled.withColumn("score", total).drop(*[f"_score{k}" for k in range(len(self.models))])
 
     def train(self, rows: DataFrame, onto: bool = False) -> TreeRanker:
-        rows = self._assembled(rows.where(F.col(self.label).isNotNull()).withColumn("_label", F.col(self.label).cast("double")))
+        rows = assembled(rows.where(F.col(self.label).isNotNull()).withColumn("_label", F.col(self.label).cast("double")), self.columns)
         if self.weight:
             rows = rows.withColumn("_weight", F.col(self.weight).cast("double"))
         if onto and self.models:
@@ -75,7 +77,7 @@ class TreeRanker:
             if strict:
                 raise ValueError("train() comes first")
             return rows.withColumn("score", F.lit(None).cast("double")).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(match)))
-        scored = self._scored(self._assembled(rows)).drop("features")
+        scored = self._scored(assembled(rows, self.columns)).drop("features")
         return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), match)))
 
     def save(self, path: str) -> None:
