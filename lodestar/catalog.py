@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.hashing import content_hash, shard_of, virtual_shard
 from lodestar.functions.text import clean, label_prompt, sentence_pattern
 from lodestar.functions.vectors import as_doubles, clamped, frames, norm, normalized, pooled, rescaled, softmax
-from lodestar.operators import dedup_cache, encoders, ltr, store
+from lodestar.operators import dedup_cache, encoders, listwise, ltr, store
 from lodestar.operators.index import InvertedFile, apply_delta, classify_delta, last_wins, mark_deleted, search_live, status, update_known, upsert
 from lodestar.operators.knn import fill_embedding, hydrate, knn_join, merge_shards
 from lodestar.operators.neighbour_graph import NeighbourGraph
@@ -25,6 +25,7 @@ from lodestar.operators.traversal import children, has_text, roots, traverse
 from lodestar.plans.compound import SearchStore
 from lodestar.session import load
 from lodestar.sources.dump import dump_rows, load_vectors
+from lodestar.sources.scratch import Scratch
 from lodestar.sources.versioned import VersionedTable
 from lodestar.streaming.dedup import drop_seen
 
@@ -160,8 +161,9 @@ def forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each approximate index and query its best match, how many it found, and whether nine tenths of all exact matches were found."""
     v = _vectors(spark, sf_dir)
-    exact = knn_join(_asked(v), v, K).select("query_id", "match_id", F.lit(True).alias("true"))
-    found = [f(spark, sf_dir).withColumn("method", F.lit(name)) for name, f in (("forest", forest_search), ("graph", graph_search), ("lists", pq_search))]
+    scratch = Scratch(spark)
+    exact = scratch.keep(knn_join(_asked(v), v, K).select("query_id", "match_id", F.lit(True).alias("true")))
+    found = [scratch.keep(f(spark, sf_dir).withColumn("method", F.lit(name))) for name, f in (("forest", forest_search), ("graph", graph_search), ("lists", pq_search))]
     both = found[0].unionByName(found[1]).unionByName(found[2]).join(exact, ["query_id", "match_id"], "left")
     by_query = both.groupBy("method", "query_id").agg(F.min_by("match_id", "rank").alias("best_id"), F.count("*").alias("n_found"), F.count("true").alias("hits"))
     share = by_query.groupBy("method").agg((F.sum("hits") >= 0.9 * K * F.count("*")).alias("recalled"))
@@ -665,6 +667,35 @@ def ltr_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ltr.TreeRanker(_FEATURES).train(rows).rank(rows).select("query_id", "match_id", r6("score").alias("score"), "rank")
 
 
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines, one for each number, with grades 0 to 4 by quantity."""
+    rows = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("match_id"))
+    rows = rows.agg(F.max("l_quantity").alias("quantity"), F.max("l_extendedprice").alias("price"), F.max("l_discount").alias("discount"), F.max("l_tax").alias("tax"))
+    return rows.withColumns({"relevance": F.floor((F.col("quantity") - 1) / 10).cast("int"), "score": 10 * F.col("discount")})
+
+
+@register(
+    "ltr_lambdas",
+    """WITH r AS (SELECT l_orderkey AS q, l_linenumber AS m, floor((max(l_quantity) - 1) / 10) AS l, 10 * max(l_discount) AS s FROM lineitem GROUP BY ALL),
+d AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, m) AS k, CASE WHEN k <= 3 THEN 1 / log2(1 + k) ELSE 0 END AS d FROM r),
+i AS (SELECT q, sum((2 ** l - 1) / log2(1 + j)) AS ideal FROM (SELECT q, l, row_number() OVER (PARTITION BY q ORDER BY l DESC) AS j FROM r) WHERE j <= 3 GROUP BY q),
+p AS (SELECT a.q, a.m, sign(a.l - b.l) AS way, abs(2 ** a.l - 2 ** b.l) * abs(a.d - b.d) / ideal AS w, 1 / (1 + exp(sign(a.l - b.l) * (a.s - b.s))) AS p
+  FROM d a JOIN d b ON a.q = b.q AND a.l <> b.l AND least(a.k, b.k) <= 3 JOIN i ON i.q = a.q)
+SELECT r.q AS query_id, r.m AS match_id, round(coalesce(sum(way * p * w), 0), 6) + 0.0 AS pull, round(coalesce(sum(p * (1 - p) * w), 0), 6) + 0.0 AS bend FROM r LEFT JOIN p ON r.q = p.q AND r.m = p.m GROUP BY ALL""",
+)
+def ltr_lambdas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What listwise loss over the first three lines of each order has to say of an order by discount."""
+    return listwise.lambdas(_graded(spark, sf_dir), top=3).select("query_id", "match_id", r6("lambda").alias("pull"), r6("hessian").alias("bend"))
+
+
+@register("ltr_listwise")
+def ltr_listwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of even number teach an order of lines by price, discount and tax; all are ranked."""
+    rows = Scratch(spark).keep(_graded(spark, sf_dir).drop("score"))
+    ranker = listwise.ListwiseRanker(["price", "discount", "tax"], trees=3, top=5).train(rows.where("query_id % 2 = 0"))
+    return ranker.rank(rows).select("query_id", "match_id", r6("score").alias("score"), "rank")
+
+
 # --- encoders -------------------------------------------------------------------------------------------------------
 
 

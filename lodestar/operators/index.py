@@ -29,9 +29,12 @@ def check_dimension(vectors: DataFrame, vector_col: str = "embedding") -> int |
 
 
 def last_wins(rows: DataFrame, id_col: str = "id", order: str = "ord") -> DataFrame:
-    """Of rows with one id the one with the greatest order."""
+    """Of rows with one id the one with the greatest order; of equal ones a deletion, then the greatest by the other columns, so that reruns agree."""
     cols = [c for c in rows.columns if c != id_col]
-    return rows.groupBy(id_col).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_r")).select(id_col, *[F.col(f"_r.{c}").alias(c) for c in cols])
+    first = [F.col("is_deleted")] if "is_deleted" in cols else []
+    sorts = lambda c: F.to_json(F.struct(c)) if "map<" in rows.schema[c].dataType.simpleString() else F.col(c)  # maps have no order
+    settled = F.struct(F.col(order), *first, *[sorts(c).alias(f"_{k}") for k, c in enumerate(cols) if c not in (order, "is_deleted")])
+    return rows.groupBy(id_col).agg(F.max_by(F.struct(*cols), settled).alias("_r")).select(id_col, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
 def check_same_dimension(index: DataFrame, new: DataFrame, vector_col: str = "embedding") -> None:

@@ -110,7 +110,7 @@ class ListwiseRanker:
             known = self._step(known, model, values)
         known = scratch.keep(known)
         for _ in range(self.trees):
-            pulled = scratch.keep(lambdas(known, self.top, self.sigma, query, match, self.label).withColumn("_target", F.col("lambda") / F.col("hessian")))
+            pulled = scratch.keep(lambdas(known, self.top, self.sigma, query, match, self.label).withColumn("_target", F.try_divide("lambda", "hessian")))
             usable = pulled.where("hessian > 0")
             if usable.isEmpty():  # every pair is settled, or there is none
                 scratch.drop(pulled)

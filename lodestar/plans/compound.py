@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import store as ops
-from lodestar.operators.index import InvertedFile, apply_delta, check_same_dimension
+from lodestar.operators.index import InvertedFile, apply_delta, check_dimension, classify_delta, last_wins
 from lodestar.operators.knn import hydrate, knn_join
 from lodestar.sources.dump import export, load_docs
-from lodestar.sources.versioned import VersionedTable
+from lodestar.sources.versioned import ConcurrentWriteError, VersionedTable
+
+#: Times that a change is made anew because another writer was faster.
+TRIES = 5
 
 
 class SearchStore:
@@ -19,7 +23,7 @@ class SearchStore:
 
     def __init__(self, spark: SparkSession, path: str, metric: str = "cosine", shard_id: int = 0, total_shards: int = 1):
         self.spark, self.metric, self.shard_id, self.total_shards = spark, metric, shard_id, total_shards
-        self.data, self.snapshots, self.index_table = (VersionedTable(spark, f"{path}/{x}") for x in ("data", "snapshot", "index"))
+        self.data, self.snapshots, self.index_table = (VersionedTable(spark, f"{path}/{x}", "doc_id") for x in ("data", "snapshot", "index"))
         for t in (self.data, self.snapshots, self.index_table):
             t.check_schema()
 
@@ -30,34 +34,79 @@ class SearchStore:
         self.data.write(rows, partition_by="shard")
         self.data.vacuum(keep=2)
 
+    def _again(self, step: Callable[[int], int]) -> None:
+        """Runs a change made from the version that is current, anew if another writer commits meanwhile."""
+        for turn in range(TRIES):
+            try:
+                step(max(self.data.versions(), default=0))
+                break
+            except ConcurrentWriteError:
+                if turn + 1 == TRIES:
+                    raise
+        self.data.vacuum(keep=2)
+
+    def _checked(self, docs: DataFrame) -> None:
+        """ValueError if vectors of docs aren't as long as each other and as those that the store has."""
+        if "embedding" in docs.columns:
+            new = check_dimension(docs)
+            old = self._rows().where("embedding is not null").select(F.size("embedding").alias("n")).first() if self.data.versions() else None
+            if None not in (new, old) and new != old["n"]:
+                raise ValueError(f"the store has vectors of {old['n']} components, not {new}")
+
     def index(self, docs: DataFrame, on_conflict: str = "abort", now: datetime | None = None, order: str | None = None) -> None:
-        """Adds docs (doc_id, embedding, ...). Unless rows are replaced, what the store has already isn't rewritten."""
+        """Adds docs (doc_id, embedding, ...). What the store has already isn't rewritten, whatever the conflicts."""
         new = ops.as_rows(docs, now=now)
-        rows = self._rows() if self.data.versions() else new.drop(*([order] if order else [])).limit(0)
-        if on_conflict == "replace":
-            self._write(ops.add(rows, new, on_conflict, order))
-        else:
-            self.data.append(ops.additions(rows, new, on_conflict, order), partition_by="shard")
-            self.data.vacuum(keep=2)
+        self._checked(docs)
+
+        def step(base: int) -> int:
+            if not base:
+                empty = new.drop(*([order] if order else [])).limit(0)
+                return self.data.write(ops.add(empty, new, on_conflict, order), "shard", base)
+            rows = self.data.read(base)
+            if on_conflict == "replace":
+                return self.data.change(ops.one_each(new, order).select(*rows.columns), partition_by="shard", base=base)
+            return self.data.append(ops.additions(rows, new, on_conflict, order), "shard", base)
+
+        self._again(step)
 
     def update(self, docs: DataFrame, on_missing: str = "ignore", now: datetime | None = None) -> None:
-        self._write(ops.update(self._rows(), docs, on_missing, now))
+        """Puts the columns of docs into the rows of their ids, which alone are written."""
+        self._checked(docs)
+
+        def step(base: int) -> int:
+            rows = self.data.read(base)
+            return self.data.change(ops.update(ops.existing(rows, docs), docs, on_missing, now), partition_by="shard", base=base)
+
+        self._again(step)
 
     def delete(self, ids: DataFrame, soft: bool = True, now: datetime | None = None) -> None:
-        self._write(ops.soft_delete(self._rows(), ids, now) if soft else ops.hard_delete(self._rows(), ids))
+        """Marks the rows of ids deleted, or removes them: writes those rows, or their ids."""
+
+        def step(base: int) -> int:
+            if not soft:
+                return self.data.change(gone=ids, base=base)
+            return self.data.change(ops.soft_delete(ops.existing(self.data.read(base), ids), ids, now), partition_by="shard", base=base)
+
+        self._again(step)
 
     def prune(self) -> None:
-        self._write(ops.prune(self._rows()))
+        self._again(lambda base: self.data.change(gone=self.data.read(base).where("is_deleted"), base=base))
 
     def clear(self) -> None:
         self._write(ops.clear(self._rows()))
 
+    def compact(self) -> None:
+        """Rewrites the live rows into one folder; changes do so themselves when many have gathered."""
+        self._again(lambda base: self.data.compact("shard"))
+
     def lookup(self, queries: DataFrame, with_embedding: bool = True) -> DataFrame:
         return ops.lookup(queries, self._rows(), with_embedding)
 
     def snapshot(self) -> int:
         """Copies the store's rows, deleted ones too, under a version that later writes leave alone."""
-        return self.snapshots.write(self._rows(), partition_by="shard")
+        n = self.snapshots.write(self._rows(), partition_by="shard")
+        self.snapshots.vacuum(keep=2)
+        return n
 
     def dump(self, path: str, shards: int, include_docs: bool = True) -> None:
         export(self._rows(), path, shards, include_docs)
@@ -78,13 +127,20 @@ class SearchStore:
         """
         only_delta = not self.snapshots.versions() if only_delta is None else only_delta
         cols = ("doc_id", "embedding", "updated_at")
+        table, base = self.index_table, max(self.index_table.versions(), default=0)
         if only_delta:
             since = timestamp or self._last()
-            if since is None:
+            if since is None or not base:
                 built = ops.of_shard(ops.prune(self._rows()), self.shard_id, self.total_shards).where("embedding is not null").select(*cols)
+                if since is not None:
+                    built = built.where(F.col("updated_at") > F.lit(since))
+                n = table.write(built, base=base)
             else:
-                base = self.index_table.read() if self.index_table.versions() else self._rows().select(*cols).limit(0)
-                built = apply_delta(base, ops.delta_since(self._rows(), since, self.shard_id, self.total_shards), "doc_id")
+                # only what changed is written: one row at most for each id since
+                delta = classify_delta(table.read(base), last_wins(ops.delta_since(self._rows(), since, self.shard_id, self.total_shards), "doc_id", "updated_at"), "doc_id")
+                new = delta.where("action in ('add', 'replace')").select(*cols)
+                self._same(table.read(base), new)
+                n = table.change(new, delta.where("action = 'remove'"), base=base)
         else:
             shot = ops.of_shard(self.snapshots.read(), self.shard_id, self.total_shards)
             built = ops.prune(shot).where("embedding is not null").select(*cols)
@@ -92,9 +148,18 @@ class SearchStore:
                 latest = shot.agg(F.max("updated_at")).first()[0]
                 if latest is not None:
                     built = apply_delta(built, ops.delta_since(self._rows(), latest, self.shard_id, self.total_shards), "doc_id")
-        if self.index_table.versions():
-            check_same_dimension(self.index_table.read(), built)
-        return self.index_table.write(built)
+            if base:
+                self._same(table.read(base), built)
+            n = table.write(built, base=base)
+        table.vacuum(keep=2)
+        return n
+
+    @staticmethod
+    def _same(index: DataFrame, new: DataFrame) -> None:
+        """ValueError unless new vectors are as long as those of the index; of the index one is looked at, as all are alike."""
+        old, size = index.where("embedding is not null").select(F.size("embedding").alias("n")).first(), check_dimension(new)
+        if None not in (old, size) and old["n"] != size:
+            raise ValueError(f"the index has vectors of {old['n']} components, not {size}")
 
     def train(self, path: str, cells: int = 16, nprobe: int = 4, **options) -> InvertedFile:
         """Fits an inverted file on the live rows' vectors and keeps it at `path`."""
