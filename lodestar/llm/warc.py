@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.tables import scratch_path, text_or_empty
+from lodestar.llm.tables import maybe_among, scratch_path, text_or_empty
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of an archive that a reading task owns.
@@ -26,6 +26,8 @@ ARCHIVE = 1 << 30
 READ = 1 << 18
 #: Payloads of fewer bytes are never deduplicated.
 LEAST_BYTES = 1000
+#: Keys that the rows of one repeated digest are spread over.
+SALTS = 16
 _PAGE = "urn:x-page:"
 
 
@@ -39,8 +41,13 @@ def with_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(text_or_empty("html"), "UTF-8").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     owners = rows.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(owners, "payload_digest", "left").withColumn("refers_to", F.when(F.col("owner") != F.col("page_id"), F.col("owner")))
-    return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to")
+    names = ["page_id", "url", "payload", "payload_bytes", "payload_digest"]
+    rows = maybe_among(rows, F.xxhash64("payload_digest"), owners.select(F.xxhash64("payload_digest").alias("key")), "met")
+    spread = owners.select("payload_digest", "owner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = rows.where("met").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(spread, ["payload_digest", "salt"], "left")
+    met = met.withColumn("refers_to", F.when(F.col("owner") != F.col("page_id"), F.col("owner")))
+    rows = met.select(*names, "refers_to").unionByName(rows.where("not met").select(*names, F.lit(None).cast("long").alias("refers_to")))
+    return rows.select(*names, F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, kind: str, refers_to: int | None) -> bytes:
@@ -100,62 +107,90 @@ def write_archives(records: DataFrame, folder: str, archive: int = ARCHIVE) -> D
     return records.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to").mapInArrow(run, "path string, bytes long, records long")
 
 
+class DamagedArchiveError(ValueError):
+    """Bytes where a record should be that aren't one."""
+
+
 class _Window:
     """Bytes of a file by offset, read in pieces as they are asked for."""
 
     def __init__(self, file: pa.NativeFile, size: int, at: int):
-        self.file, self.size, self.at, self.data = file, size, at, b""
+        self.file, self.size, self.at, self.data = file, size, at, bytearray()
 
     def more(self) -> bool:
         end = self.at + len(self.data)
         if end >= self.size:
             return False
         self.file.seek(end)
-        self.data += self.file.read(min(READ, self.size - end))
-        return True
+        piece = self.file.read(min(READ, self.size - end))
+        self.data += piece
+        return bool(piece)
 
     def forget(self, offset: int) -> None:
         if offset - self.at > READ:
-            self.data, self.at = self.data[offset - self.at :], offset
-
-
-def members(store: fs.FileSystem, path: str, size: int, start: int, end: int) -> Iterator[bytes]:
-    """The decompressed records whose gzip member starts in [start, end): a member is taken for one if its head decodes to WARC/."""
+            del self.data[: offset - self.at]
+            self.at = offset
+
+
+def _member(window: _Window, at: int, head_only: bool = False) -> tuple[bytes, int] | None:
+    """The gzip member at an offset and where it ends; None if its head doesn't decode to WARC/. DamagedArchiveError if it does and the rest can't be decoded or is cut off."""
+    probe, head, fed = zlib.decompressobj(31), b"", at - window.at
+    while len(head) < 5:  # five bytes first: a record damaged further on still has its head
+        if probe.eof or (fed >= len(window.data) and not window.more()):
+            return None
+        try:
+            head += probe.decompress(window.data[fed : fed + READ], 5 - len(head))
+        except zlib.error:
+            return None
+        fed = min(fed + READ, len(window.data))
+    if head != b"WARC/" or head_only:
+        return (b"", at) if head == b"WARC/" else None
+    z, out, fed = zlib.decompressobj(31), bytearray(), at - window.at
+    while not z.eof:
+        if fed >= len(window.data) and not window.more():
+            raise DamagedArchiveError(f"the record at {at} is cut off")
+        try:
+            out += z.decompress(window.data[fed : fed + READ])
+        except zlib.error as e:
+            raise DamagedArchiveError(f"the record at {at} is damaged: {e}") from e
+        fed = min(fed + READ, len(window.data))
+    return bytes(out), window.at + fed - len(z.unused_data)
+
+
+def members(store: fs.FileSystem, path: str, size: int, start: int, end: int, gapless: bool = False) -> Iterator[bytes]:
+    """The decompressed records whose gzip member starts in [start, end): sought by magic and taken for one if its head decodes to WARC/.
+
+    A record whose head is whole and whose rest is damaged or cut off raises DamagedArchiveError. Bytes that are no record are
+    passed over, unless the archive is `gapless`: then it begins with a record and each has to begin where the one before ends,
+    and the one after a range's last, whose owner may find nothing there, is looked at too. Whatever is damaged is then some
+    reader's error, heads as well.
+    """
     with store.open_input_file(path) as file:
         window, at = _Window(file, size, start), start
+        known = gapless and start == 0
         while at < end:
-            found = window.data.find(MAGIC, at - window.at)
-            if found < 0:
-                at = max(at, window.at + len(window.data) - len(MAGIC) + 1)
-                window.forget(at)
-                if not window.more():
+            if not known:
+                found = window.data.find(MAGIC, at - window.at)
+                if found < 0:
+                    at = max(at, window.at + len(window.data) - len(MAGIC) + 1)
+                    window.forget(at)
+                    if not window.more():
+                        return
+                    continue
+                at = window.at + found
+                if at >= end:
                     return
-                continue
-            at = window.at + found
-            if at >= end:
-                return
             window.forget(at)
-            z, out, fed = zlib.decompressobj(31), [], at - window.at
-            length, valid = 0, None
-            try:
-                while not z.eof:
-                    if fed >= len(window.data) and not window.more():
-                        break
-                    piece = z.decompress(window.data[fed : fed + READ])
-                    fed = min(fed + READ, len(window.data))
-                    out.append(piece)
-                    length += len(piece)
-                    if valid is None and length >= 5:
-                        valid = b"".join(out)[:5] == b"WARC/"
-                        if not valid:
-                            break
-            except zlib.error:
-                valid = False
-            if valid and z.eof:
-                yield b"".join(out)
-                at = window.at + fed - len(z.unused_data)
-            else:
+            found = _member(window, at)
+            if found is None:
+                if known:
+                    raise DamagedArchiveError(f"{path} has no record at {at}")
                 at += 1
+                continue
+            yield found[0]
+            at, known = found[1], gapless
+        if known and at < size and _member(window, at, head_only=True) is None:
+            raise DamagedArchiveError(f"{path} has no record at {at}")
 
 
 def parse(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
@@ -172,8 +207,8 @@ def parse(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
     return number(fields["WARC-Record-ID"]), size, digest, kind, number(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None
 
 
-def read_archives(spark: SparkSession, archives: DataFrame, split: int = SPLIT) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records in archives (path, bytes).
+def read_archives(spark: SparkSession, archives: DataFrame, split: int = SPLIT, gapless: bool = True) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records in archives (path, bytes), `gapless` as those that write_archives() makes; DamagedArchiveError rather than a record less.
 
     A task takes one range of `split` bytes, or a few where there are more ranges than TASKS.
     """
@@ -185,7 +220,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, split: int = SPLIT)
             for row in batch.to_pylist():
                 store, path = fs.FileSystem.from_uri(row["path"])
                 rows = []
-                for raw in members(store, path, row["bytes"], row["start"], min(row["start"] + split, row["bytes"])):
+                for raw in members(store, path, row["bytes"], row["start"], min(row["start"] + split, row["bytes"]), gapless):
                     rows.append(parse(raw))
                     if len(rows) == 2000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)

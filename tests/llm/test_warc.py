@@ -2,6 +2,7 @@ import gzip
 import hashlib
 
 import pyarrow.fs as fs
+import pytest
 
 from lodestar.llm import warc
 
@@ -62,3 +63,59 @@ def test_ranges_are_read_by_several_tasks_and_archives_roll_over(spark, tmp_path
     read = warc.read_archives(spark, one, split=900)
     assert read.rdd.getNumPartitions() > 8
     assert sorted(r.page_id for r in read.collect()) == list(range(120))
+
+
+def archive(n=20):
+    parts = []
+    for k in range(n):
+        payload = hashlib.sha256(b"%d" % k).hexdigest().encode() * 30
+        parts.append(warc.record(k, "u", payload, len(payload), hashlib.sha1(payload).hexdigest(), "response", None))
+    return parts
+
+
+def read_back(path, split, gapless=True):
+    size = path.stat().st_size
+    return [warc.parse(r)[0] for a in range(0, size, split) for r in warc.members(fs.LocalFileSystem(), str(path), size, a, min(a + split, size), gapless)]
+
+
+def test_damage_and_cuts_are_errors_wherever_they_are(tmp_path):
+    """A flipped byte anywhere in a record, its head and its checksum included, and any cut, whatever the ranges."""
+    parts = archive()
+    whole, at = b"".join(parts), sum(map(len, parts[:7]))
+    path = tmp_path / "a.warc.gz"
+    for split in (150, 1000, 1 << 20):
+        path.write_bytes(whole)
+        assert read_back(path, split) == list(range(20))
+        for offset in (0, 2, 11, 15, len(parts[7]) // 2, len(parts[7]) - 6, len(parts[7]) - 2):
+            bad = bytearray(whole)
+            bad[at + offset] ^= 0x41
+            path.write_bytes(bytes(bad))
+            with pytest.raises(ValueError):
+                read_back(path, split)
+        for kept in (len(whole) - 3, len(whole) - len(parts[19]) + 12, len(whole) - len(parts[19]) + 2, 40):
+            path.write_bytes(whole[:kept])
+            with pytest.raises(ValueError):
+                read_back(path, split)
+    # an archive of others, with bytes between its records: still no record with a whole head is lost silently
+    bad = bytearray(whole)
+    bad[at + len(parts[7]) // 2] ^= 0x41
+    path.write_bytes(bytes(bad))
+    with pytest.raises(warc.DamagedArchiveError, match="damaged"):
+        read_back(path, 1000, gapless=False)
+    path.write_bytes(whole[:-9])
+    with pytest.raises(warc.DamagedArchiveError, match="cut off"):
+        read_back(path, 1000, gapless=False)
+
+
+def test_a_damaged_archive_fails_the_job(spark, tmp_path):
+    parts = archive(5)
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts[:3]) + parts[3][:-20] + parts[4])
+    listing = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", (tmp_path / "a.warc.gz").stat().st_size)], "path string, bytes long")
+    with pytest.raises(Exception, match="DamagedArchiveError|damaged"):
+        warc.read_archives(spark, listing, split=100).collect()
+
+
+def test_a_third_of_all_pages_is_one(spark):
+    rows = [(k, "u", "hot page " * 200 if k % 3 == 0 else f"page {k} " * 200, None) for k in range(300)]
+    got = warc.warc_round_trip(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
