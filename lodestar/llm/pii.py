@@ -1,7 +1,7 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs them.
 
-Everything on the way of a row is a DataFrame function. The driver sees counts of vote patterns, at most kinds times 3 to
-the number of labelers, and sums by feature: both bounded however many documents there are.
+Everything on the way of a row is a DataFrame function. The driver sees counts of vote patterns, at most twice kinds times
+3 to the number of labelers, and sums by feature: both bounded however many documents there are.
 """
 
 from __future__ import annotations
@@ -65,6 +65,11 @@ _AT["separators"] = _AT["last"] + 4
 FEATURES = _AT["separators"] + SEPARATORS
 #: Rows that a feature's prior share is worth.
 PSEUDO = 4.0
+#: Loose matches that are real, to begin with, and how often a labeler votes for one that isn't; as many rows as each is worth.
+LOOSE_SHARE, LOOSE_ROWS = 0.3, 10.0
+LOOSE_OTHER = {"form": 0.5, "gazetteer": 0.5, "before": 0.05, "after": 0.2, "edges": 0.6, "shape": 0.7, "company": 0.5}
+#: A loose match after a word for numbers of another sort is real at most this probably.
+AGAINST = 0.02
 
 
 def _found(text: Column, kind: int, pattern: str, base: bool, needs: Column) -> Column:
@@ -221,6 +226,47 @@ def reliabilities(patterns: list[Pattern]) -> tuple[dict[int, float], dict[int,
     return share, coins, post
 
 
+Coins = dict[int, list[tuple[float, float]]]
+
+
+def loose_reliabilities(patterns: list[Pattern], base: Coins) -> tuple[dict[int, float], Coins, dict[tuple[int, tuple[int, ...]], float]]:
+    """As reliabilities(), of loose matches alone: they have a share and coins of their own, so base spans, nearly all real, don't vouch for them.
+
+    What base spans do tell is how labelers vote on real ones. Where there are few loose matches the estimates stay
+    near LOOSE_SHARE and LOOSE_OTHER; a word that speaks against one is an anchor.
+    """
+    share = dict.fromkeys(range(len(KINDS)), LOOSE_SHARE)
+    first = {k: [(min(0.98, max(0.8, a)), LOOSE_OTHER[v]) for v, (a, _) in zip(VOTERS, base[k], strict=True)] for k in share}
+    coins, word = {k: list(x) for k, x in first.items()}, VOTERS.index("before")
+    post: dict[tuple[int, tuple[int, ...]], float] = {}
+    for _ in range(ROUNDS):
+        for kind, votes, _n in patterns:
+            log = math.log(share[kind] / (1 - share[kind]))
+            for v, (a, b) in zip(votes, coins[kind], strict=True):
+                if v >= 0:
+                    log += math.log(a / b) if v else math.log((1 - a) / (1 - b))
+            p = 1 / (1 + math.exp(-max(-40.0, min(40.0, log))))
+            post[kind, votes] = min(p, AGAINST) if votes[word] == 0 else p
+        for kind in share:
+            own = [(v, n * post[kind, v], n * (1 - post[kind, v])) for k, v, n in patterns if k == kind]
+            share[kind] = (sum(y for _, y, _ in own) + LOOSE_ROWS * LOOSE_SHARE) / (sum(y + n for _, y, n in own) + LOOSE_ROWS)
+            for j, (a0, b0) in enumerate(first[kind]):
+                cast = [(v[j], y, n) for v, y, n in own if v[j] >= 0]
+                a = (sum(y for v, y, _ in cast if v) + LOOSE_ROWS * a0) / (sum(y for _, y, _ in cast) + LOOSE_ROWS)
+                b = (sum(n for v, _, n in cast if v) + LOOSE_ROWS * b0) / (sum(n for _, _, n in cast) + LOOSE_ROWS)
+                coins[kind][j] = (min(0.98, max(a, b)), max(0.02, min(b, 0.97)))
+    return share, coins, post
+
+
+def loose_classifier(rows: DataFrame, share: dict[int, float], coins: Coins, post: dict[tuple[int, tuple[int, ...]], float]) -> list[tuple[float, list[float]]]:
+    """span_classifier() on loose rows, with the odds of their own share and, for votes, the weights of their coins."""
+    out = []
+    for k, (_, weight) in enumerate(span_classifier(rows, post)):
+        votes = [x for a, b in coins[k] for x in (math.log((1 - a) / (1 - b)), math.log(a / b))]
+        out.append((math.log(share[k] / (1 - share[k])), votes + weight[2 * len(VOTERS) :]))
+    return out
+
+
 def span_classifier(rows: DataFrame, post: dict[tuple[int, tuple[int, ...]], float]) -> list[tuple[float, list[float]]]:
     """Naive Bayes on the features of spans, trained on the labels' probabilities: by kind a bias and a weight for each of FEATURES.
 
@@ -255,9 +301,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     saved = Saved(docs.sparkSession)
     rows = saved.save(candidates(docs, id_col, text_col))
-    patterns = [(r["kind"], tuple(r[v] for v in VOTERS), r["n"]) for r in rows.groupBy("kind", *VOTERS).agg(F.count("*").alias("n")).collect()]
-    _, _, post = reliabilities(patterns)
-    model = span_classifier(rows, post) if post else [(0.0, [0.0] * FEATURES)] * len(KINDS)
+    found = rows.groupBy("base", "kind", *VOTERS).agg(F.count("*").alias("n")).collect()
+    patterns = lambda base: [(r["kind"], tuple(r[v] for v in VOTERS), r["n"]) for r in found if r["base"] == base]
+    _, base_coins, _ = reliabilities(patterns(True))
+    share, coins, post = loose_reliabilities(patterns(False), base_coins)
+    model = loose_classifier(rows.where("not base"), share, coins, post) if post else [(0.0, [0.0] * FEATURES)] * len(KINDS)
     weights = F.element_at(F.array(*[F.lit(list(map(float, w))) for _, w in model]), F.col("kind") + 1)
     bias = F.element_at(F.lit([float(b) for b, _ in model]), F.col("kind") + 1)
     z = F.aggregate("features", bias, lambda z, f: z + F.get(weights, f))
