@@ -27,6 +27,7 @@ from lodestar.session import load
 from lodestar.sources.dump import dump_rows, load_vectors
 from lodestar.sources.scratch import Scratch
 from lodestar.sources.versioned import VersionedTable
+from lodestar.streaming.content_cache import cached
 from lodestar.streaming.dedup import drop_seen
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +51,14 @@ def r6(c: str | Column) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
+#: Every component counts for its place, so a digest tells any two vectors apart that differ beyond rounding.
+_WEIGHED = "round(list_sum(list_transform(v, lambda x, i: x::DOUBLE * i)), 6) + 0.0"
+
+
+def _weighed(col: str) -> Column:
+    return r6(F.aggregate(F.transform(F.col(col).cast("array<double>"), lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x))
+
+
 # --- vector search: every row whose id is divisible by 50 is a query, all rows are searched -------------------------
 
 _DOT, _NORM_A, _NORM_B = "list_dot_product(q.v, x.v)", "sqrt(list_dot_product(q.v, q.v))", "sqrt(list_dot_product(x.v, x.v))"
@@ -170,11 +179,11 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_query.join(share, "method").select("method", "query_id", "best_id", "n_found", "recalled")
 
 
-@register("fill_embedding", "SELECT d.doc_id, e.embedding IS NOT NULL AS known, round(e.embedding[1]::DOUBLE, 6) + 0.0 AS first_value FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id")
+@register("fill_embedding", f"SELECT d.doc_id, e.embedding IS NOT NULL AS known, {_WEIGHED.replace('(v,', '(e.embedding,')} AS weighed FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id")
 def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     out = fill_embedding(docs, _vectors(spark, sf_dir))
-    return out.select(F.col("id").alias("doc_id"), F.col("embedding").isNotNull().alias("known"), r6(F.col("embedding")[0].cast("double")).alias("first_value"))
+    return out.select(F.col("id").alias("doc_id"), F.col("embedding").isNotNull().alias("known"), _weighed("embedding").alias("weighed"))
 
 
 @register("index_status", "SELECT sum((label <> 3)::INT)::BIGINT AS count_active, count(*) AS count_indexed, sum((label = 3)::INT)::BIGINT AS count_deleted FROM embeddings")
@@ -438,11 +447,11 @@ def _changed(found: SearchStore, rows: DataFrame) -> None:
 
 
 def _indexed(found: SearchStore) -> DataFrame:
-    return found.index_table.read().select("doc_id", r6(F.col("embedding")[0].cast("double")).alias("first_value"))
+    return found.index_table.read().select("doc_id", _weighed("embedding").alias("weighed"))
 
 
-_FIRST = "round(embedding[1]::DOUBLE, 6) + 0.0 AS first_value"
-_NEW_FIRST = "round(CASE WHEN label = 5 THEN -embedding[1] ELSE embedding[1] END::DOUBLE, 6) + 0.0 AS first_value"
+_FIRST = f"{_WEIGHED.replace('(v,', '(embedding,')} AS weighed"
+_NEW_FIRST = f"CASE WHEN label = 5 THEN -1 ELSE 1 END * ({_WEIGHED.replace('(v,', '(embedding,')}) + 0.0 AS weighed"
 
 
 @register("store_sync_delta", f"SELECT vec_id AS doc_id, {_NEW_FIRST} FROM embeddings WHERE label <> 3")
@@ -499,14 +508,14 @@ def store_dump_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _shared_dir(spark)
     found.dump(path, 3, include_docs=False)
     parts = [load_vectors(spark, path, k).withColumn("shard", F.lit(k)) for k in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "shard", r6(F.col("embedding")[0].cast("double")).alias("first_value"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "shard", _weighed("embedding").alias("weighed"))
 
 
 @register("store_dump_rows", f"SELECT vec_id AS doc_id, {_NEW_FIRST}, label FROM embeddings WHERE label <> 3")
 def store_dump_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, rows = _following(spark, sf_dir)
     _changed(found, rows)
-    return dump_rows(found.data.read()).select("doc_id", r6(F.col("embedding")[0].cast("double")).alias("first_value"), "doc.label")
+    return dump_rows(found.data.read()).select("doc_id", _weighed("embedding").alias("weighed"), "doc.label")
 
 
 @register("store_restore", "SELECT vec_id AS doc_id, label, false AS is_deleted FROM embeddings WHERE label <> 3")
@@ -600,11 +609,11 @@ def vector_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("knn_with_vector", f"SELECT m.*, round(e.embedding[1]::DOUBLE, 6) + 0.0 AS first_value FROM ({_knn_sql(_COS, '1 - raw', 'DESC')}) m JOIN embeddings e ON m.match_id = e.vec_id")
+@register("knn_with_vector", f"SELECT m.*, {_WEIGHED.replace('(v,', '(e.embedding,')} AS weighed FROM ({_knn_sql(_COS, '1 - raw', 'DESC')}) m JOIN embeddings e ON m.match_id = e.vec_id")
 def knn_with_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     found = hydrate(_shown(knn_join(_asked(v), v, K)), v, store_key="id", columns=["embedding"])
-    return found.select("query_id", "match_id", "rank", "score", r6(F.col("embedding")[0].cast("double")).alias("first_value"))
+    return found.select("query_id", "match_id", "rank", "score", _weighed("embedding").alias("weighed"))
 
 
 @register("label_prompts", "SELECT lang, 'a text from ' || string_agg(DISTINCT source, ', ' ORDER BY source) || '.' AS prompt FROM documents GROUP BY lang")
@@ -728,3 +737,30 @@ def stream_doc_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_seen(stream.select("text"), ("text",)).select(content_hash("text").alias("hash"))
     kept.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("hash string").parquet(f"{out}/rows")
+
+
+_H, _U = "sha256('content:' || coalesce(html, '') || ';')", "sha256('content:' || coalesce(url, '') || ';')"
+
+
+@register(
+    "stream_cache_changes",
+    f"""WITH steps AS (
+  SELECT page_id AS ord, {_H} AS hash, 'claim' AS step, 1 AS turn FROM pages
+  UNION ALL SELECT 1000000000 + page_id, {_H}, 'release', 0 FROM pages WHERE page_id % 5 = 0
+  UNION ALL SELECT 1000000000 + page_id, {_U}, 'own', 1 FROM pages WHERE page_id % 5 = 0
+  UNION ALL SELECT 2000000000 + page_id, CASE WHEN page_id % 5 = 0 THEN {_U} ELSE {_H} END, 'release', 0 FROM pages WHERE page_id % 7 = 0
+  UNION ALL SELECT 3000000000 + page_id, {_H}, 'claim', 1 FROM pages WHERE page_id % 3 = 0)
+SELECT ord, hash, coalesce(before, 'release') = 'release' AS kept FROM (SELECT *, lag(step) OVER (PARTITION BY hash ORDER BY ord, turn) AS before FROM steps) WHERE step = 'claim'""",
+)
+def stream_cache_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a stream of events: all are indexed, a fifth changes to its url, a seventh goes, a third comes again under another id; unknown ids change nothing."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    event = lambda op, doc, turn, content, share: pages.where(F.col("page_id") % share == 0).select(F.lit(op).alias("op"), F.concat(F.lit(doc), F.col("page_id").cast("string")).alias("id"), (F.lit(turn * 10**9) + F.col("page_id")).alias("ord"), F.col(content).alias("content"))
+    events = event("index", "", 0, "html", 1)
+    for more in (event("update", "", 1, "url", 5), event("delete", "", 2, "html", 7), event("index", "again", 3, "html", 3), event("update", "unknown", 4, "html", 11)):
+        events = events.unionByName(more)
+    folder = _shared_dir(spark)
+    events.write.parquet(f"{folder}/in")
+    out = cached(spark.readStream.schema(events.schema).parquet(f"{folder}/in"), ("content",))
+    out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows").where("step = 'claim'").select("ord", "hash", "kept")
