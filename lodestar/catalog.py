@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from lodestar.functions.hashing import content_hash, shard_of, virtual_shard
 from lodestar.functions.text import clean, label_prompt, sentence_pattern
 from lodestar.functions.vectors import as_doubles, clamped, frames, norm, normalized, pooled, rescaled, softmax
+from lodestar.functions.tags import promoted, tag, variant_of, with_tags
 from lodestar.operators import dedup_cache, encoders, listwise, ltr, store
+from lodestar.operators.boxes import suppressed
+from lodestar.operators.images import prepared
 from lodestar.operators.index import InvertedFile, apply_delta, classify_delta, last_wins, mark_deleted, search_live, status, update_known, upsert
 from lodestar.operators.knn import fill_embedding, hydrate, knn_join, merge_shards
 from lodestar.operators.neighbour_graph import NeighbourGraph
@@ -21,6 +24,7 @@ from lodestar.operators.product_lists import ProductLists
 from lodestar.operators.projection_forest import ProjectionForest
 from lodestar.operators.rankers import simple_rank
 from lodestar.operators.sentencizer import sentencize
+from lodestar.operators.spectra import power_spectra
 from lodestar.operators.traversal import children, has_text, roots, traverse
 from lodestar.plans.compound import SearchStore
 from lodestar.session import load
@@ -764,3 +768,74 @@ def stream_cache_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cached(spark.readStream.schema(events.schema).parquet(f"{folder}/in"), ("content",))
     out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/rows").where("step = 'claim'").select("ord", "hash", "kept")
+
+
+# --- media: a vector's 64 values as a signal, a box, or an image of 8 x 8 pixels -------------------------------------
+
+
+@register(
+    "audio_spectra",
+    """WITH s AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+p AS (SELECT vec_id, k, b, sum((0.5 - 0.5 * cos(2 * pi() * n / 20)) * x * cos(2 * pi() * b * n / 20)) AS re, sum((0.5 - 0.5 * cos(2 * pi() * n / 20)) * x * sin(2 * pi() * b * n / 20)) AS im
+  FROM s, range(5) f(k), range(20) g(n), range(11) h(b) WHERE i = 12 * k + n - 2 GROUP BY ALL)
+SELECT vec_id, k::INTEGER AS frame, round(sum((re * re + im * im) * (b + 1)), 6) + 0.0 AS weighed, round(max(10 * log10(greatest(re * re + im * im, 1e-10))), 4) + 0.0 AS peak FROM p GROUP BY vec_id, k""",
+)
+def audio_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 20 samples every 12, the signal padded to whole frames on both sides: powers, weighed by frequency, and the loudest in decibels."""
+    rows = power_spectra(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 20, 12)
+    frames_ = rows.select("vec_id", F.posexplode("spectrum").alias("frame", "power"))
+    peak = 10 * F.log10(F.greatest(F.array_max("power"), F.lit(1e-10)))
+    return frames_.select("vec_id", "frame", _weighed("power").alias("weighed"), (F.round(peak, 4) + F.lit(0.0)).alias("peak"))
+
+
+_SHARED = "greatest(0.0, least(o.x2, r.s.x2) - greatest(o.x1, r.s.x1)) * greatest(0.0, least(o.y2, r.s.y2) - greatest(o.y1, r.s.y1))"
+
+
+@register(
+    "boxes_suppressed",
+    f"""WITH RECURSIVE b AS (
+  SELECT vec_id, vec_id // 100 AS image, label, 100 * (embedding[1]::DOUBLE + 0.5) AS x1, 100 * (embedding[2]::DOUBLE + 0.5) AS y1, 20 + 100 * abs(embedding[3]::DOUBLE) AS w, 20 + 100 * abs(embedding[4]::DOUBLE) AS h, abs(embedding[5]::DOUBLE) AS score FROM embeddings
+), r AS (
+  SELECT image, label, {{'id': vec_id, 'x1': x1, 'y1': y1, 'x2': x1 + w, 'y2': y1 + h}} AS s, row_number() OVER (PARTITION BY image, label ORDER BY score DESC, vec_id) AS k FROM b WHERE score >= 0.02
+), g AS (
+  SELECT image, label, k, [s] AS kept FROM r WHERE k = 1
+  UNION ALL
+  SELECT g.image, g.label, r.k, CASE WHEN len(list_filter(g.kept, lambda o: {_SHARED} / ((o.x2 - o.x1) * (o.y2 - o.y1) + (r.s.x2 - r.s.x1) * (r.s.y2 - r.s.y1) - {_SHARED}) > 0.45)) = 0 THEN list_append(g.kept, r.s) ELSE g.kept END
+  FROM g JOIN r ON g.image = r.image AND g.label = r.label AND r.k = g.k + 1
+), e AS (SELECT image, label, max(k) AS k FROM r GROUP BY ALL)
+SELECT image, label, unnest(kept).id AS vec_id FROM g JOIN e USING (image, label, k)""",
+)
+def boxes_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector as a detection in an image that a hundred share: those that no better one of their label covers."""
+    v = lambda k: F.col("embedding")[k].cast("double")
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 100).alias("image"), "label", (100 * (v(0) + 0.5)).alias("x1"), (100 * (v(1) + 0.5)).alias("y1"), F.abs(v(2)).alias("w"), F.abs(v(3)).alias("h"), F.abs(v(4)).alias("score"))
+    rows = rows.withColumns({"x2": F.col("x1") + (20 + 100 * F.col("w")), "y2": F.col("y1") + (20 + 100 * F.col("h"))})
+    return suppressed(rows, 0.45, 0.02, id_col="vec_id").select("image", "label", "vec_id")
+
+
+@register(
+    "image_prepared",
+    """WITH w AS (SELECT i, j, CASE WHEN x < 1 THEN 1.5 * x ** 3 - 2.5 * x ** 2 + 1 WHEN x < 2 THEN -0.5 * (x ** 3 - 5 * x ** 2 + 8 * x - 4) ELSE 0 END AS w FROM (SELECT i, j, abs((j + 0.5 - (i + 0.5) * 2) / 2) AS x FROM range(4) a(i), range(8) b(j))),
+u AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM w),
+p AS (SELECT vec_id, r.i AS r, c.i AS c, sum(r.w * c.w * embedding[r.j * 8 + c.j + 1]::DOUBLE) AS v FROM embeddings, u r, u c WHERE r.i IN (1, 2) AND c.i IN (1, 2) GROUP BY ALL)
+SELECT vec_id, round(sum(((v - 0.1) / 0.5)::FLOAT::DOUBLE * (2 * r + c - 2)), 6) + 0.0 AS weighed FROM p GROUP BY vec_id""",
+)
+def image_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image of 8 x 8 pixels brought to 4 x 4 by cubic convolution, its middle cut out and normalised."""
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.array(F.lit(8), F.lit(8), F.lit(1)).alias("shape"), F.col("embedding").alias("data")).alias("blob"))
+    return prepared(rows, 4, 2, (0.1,), (0.5,), scale=1.0).select("vec_id", _weighed("blob.data").alias("weighed"))
+
+
+@register(
+    "tags_promoted",
+    """SELECT doc_id, lang AS tag_lang, n_chars::DOUBLE AS tag_n_chars, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN doc_id::VARCHAR ELSE 'no ' || doc_id END AS tag_mixed,
+CASE WHEN doc_id % 3 = 1 THEN doc_id::DOUBLE END AS as_number, source AS origin, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars + 1 END AS longer FROM documents""",
+)
+def tags_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of mixed types as variants: common ones as columns, one read as a feature, one written and one removed."""
+    docs = load(spark, sf_dir, "documents")
+    mixed = F.when(F.col("doc_id") % 3 == 1, F.col("doc_id").cast("string")).when(F.col("doc_id") % 3 == 2, F.concat(F.lit('"no '), "doc_id", F.lit('"')))
+    text = F.concat(F.lit('{"lang":"'), "lang", F.lit('","n_chars":'), F.col("n_chars").cast("string"), F.coalesce(F.concat(F.lit(',"mixed":'), mixed), F.lit("")), F.lit("}"))
+    rows = docs.select("doc_id", "source", "n_chars", variant_of(text).alias("tags"))
+    rows = promoted(rows, "tags", 0.5).withColumn("tags", with_tags(F.col("tags"), origin=F.col("source"), longer=F.when(F.col("doc_id") % 5 != 0, F.col("n_chars") + 1)))
+    return rows.select("doc_id", "tag_lang", "tag_n_chars", "tag_mixed", tag(F.col("tags"), "mixed").alias("as_number"), tag(F.col("tags"), "origin", "string").alias("origin"), tag(F.col("tags"), "longer", "bigint").alias("longer"))
