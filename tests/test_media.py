@@ -1,0 +1,184 @@
+import json
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar.functions.tags import common_tags, promoted, tag, variant_of, with_tags
+from lodestar.operators import images
+from lodestar.operators.boxes import suppressed
+from lodestar.operators.images import centre_crop, cubic, frame_numbers, prepared, prepared_clips, resized, shortest_to
+from lodestar.operators.spectra import bilinear, framed, power_spectra, resample, resampled, scaled, window
+
+# --- spectra
+
+
+def test_frames_cover_the_signal_from_its_middle():
+    assert framed(np.arange(1.0, 6), 4, 2).tolist() == [[1, 2, 3, 4], [3, 4, 5, 0]]  # one lacks, and goes to the end
+    assert framed(np.arange(1.0, 4), 4, 3).tolist() == [[1, 2, 3, 0]]
+    assert framed(np.arange(1.0, 3), 4, 3).tolist() == [[0, 1, 2, 0]]
+    assert framed(np.arange(8.0), 4, 4).tolist() == [[0, 1, 2, 3], [4, 5, 6, 7]]
+    assert framed(np.empty(0), 4, 4).tolist() == [[0, 0, 0, 0]]
+
+
+def test_windows_and_matrices_of_another_size():
+    assert np.allclose(window("hann", 4), [0, 0.5, 1, 0.5]) and np.allclose(window(None, 3), 1)
+    with pytest.raises(ValueError):
+        window("kaiser", 4)
+    assert bilinear(np.array([[0.0, 2], [4, 6]]), 3, 3).tolist() == [[0, 1, 2], [2, 3, 4], [4, 5, 6]]
+    assert bilinear(np.array([[5.0]]), 2, 2).tolist() == [[5, 5], [5, 5]]
+
+
+def test_a_tone_stands_in_its_frequency(spark):
+    t = np.arange(256)
+    rows = [(1, np.sin(2 * np.pi * 8 * t / 64).tolist()), (2, None), (3, []), (4, [1.0, None, float("nan")] * 30)]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "id int, signal array<double>, spectrum string")
+    got = {r.id: r.spectrum for r in power_spectra(df, "signal", 64, 32).collect()}
+    assert len(got[1]) == 7 and all(np.argmax(f) == 8 and len(f) == 33 for f in got[1])
+    assert got[2] is None and np.array(got[3]).shape == (1, 33) and not np.any(got[3]) and np.isfinite(got[4]).all()
+    loud = {r.id: r.spectrum for r in power_spectra(df, "signal", 64, 32, decibels=True, shape=(5, 20)).collect()}
+    assert np.array(loud[1]).shape == (5, 20) and np.min(loud[3]) == -100
+    with pytest.raises(ValueError):
+        power_spectra(df, "signal", 0, 1)
+    assert spark.range(1).select(scaled(F.array(F.lit(-32768.0), F.lit(32767.0)), (-32768.0, 32767.0), (-1.0, 1.0)).alias("x")).first().x == [-1.0, 1.0]
+
+
+def test_resampling_keeps_low_tones_and_drops_high_ones(spark):
+    t = np.arange(4000)
+    low, high = np.sin(2 * np.pi * 300 * t / 8000), np.sin(2 * np.pi * 3700 * t / 8000)
+    down = resampled(low + high, 8000, 4000)
+    want = np.sin(2 * np.pi * 300 * np.arange(2000) / 4000)
+    assert len(down) == 2000 and np.abs(down - want)[50:-50].max() < 0.03  # linear interpolation would leave a tone of 300 again
+    assert np.abs(resampled(low, 8000, 12000) - np.sin(2 * np.pi * 300 * np.arange(6000) / 12000))[50:-50].max() < 0.03
+    assert len(resampled(low[:7], 3, 2)) == 5 and resampled(low, 8, 8).tolist() == low.tolist()
+    with pytest.raises(ValueError):
+        resampled(low, 0, 5)
+    df = spark.createDataFrame([(1, low.tolist(), 8000), (2, None, 8000), (3, [1.0], None), (4, [1.0], 0), (5, [], 5)], "id int, s array<double>, rate int")
+    got = {r.id: r.wave for r in resample(df, "s", "rate", 4000).collect()}
+    assert len(got[1]) == 2000 and got[2] is got[3] is got[4] is None and got[5] == []
+
+
+# --- boxes
+
+
+def greedy(rows, most, confidence):
+    def iou(a, b):
+        w, h = max(0, min(a[5], b[5]) - max(a[3], b[3])), max(0, min(a[6], b[6]) - max(a[4], b[4]))
+        area = lambda r: (r[5] - r[3]) * (r[6] - r[4])
+        return w * h / (area(a) + area(b) - w * h) if w * h else 0.0
+
+    kept = []
+    for r in sorted((r for r in rows if None not in r and r[7] >= confidence), key=lambda r: (-r[7], r[0])):
+        if not any(k[1:3] == r[1:3] and iou(k, r) > most for k in kept):
+            kept.append(r)
+    return {r[0] for r in kept}
+
+
+BOX = "box_id int, image int, label string, x1 double, y1 double, x2 double, y2 double, score double"
+
+
+@pytest.mark.parametrize("most", (0.3, 0.6))
+def test_boxes_against_going_through_them(spark, most):
+    rng = random.Random(int(most * 10))
+    rows = []
+    for k in range(500):
+        x, y, w, h = rng.uniform(-20, 60), rng.uniform(-20, 60), rng.choice([rng.uniform(5, 60), 0.5]), rng.uniform(5, 40)
+        rows.append((k, rng.randrange(3), rng.choice("ab"), x, y, x + w, y + h, rng.choice([0.1, 0.5, round(rng.random(), 2)])))
+    rows += [(600, 0, "a", 0.0, 0.0, 0.0, 9.0, 0.9), (601, None, "a", 0.0, 0.0, 1.0, 1.0, 0.9), (602, 0, "a", 0.0, 0.0, 1.0, 1.0, None), (603, 0, "a", 1.0, 1.0, 1.0, 1.0, 0.95)]
+    rows += [(700 + k, 9, "copies", 1.0, 1.0, 5.0, 5.0, 0.5) for k in range(40)]
+    df = spark.createDataFrame(rows, BOX).repartition(3)
+    got = [r.box_id for r in suppressed(df, most, 0.2).collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy(rows, most, 0.2)
+
+
+def test_a_long_chain_and_thresholds_by_request(spark):
+    chain = [(k, 1, "a", 4.0 * k, 0.0, 4.0 * k + 10, 10.0, 1 - k / 100) for k in range(12)]  # each drops the next
+    df = spark.createDataFrame(chain, BOX)
+    assert {r.box_id for r in suppressed(df, 0.4).collect()} == greedy(chain, 0.4, 0) == {0, 2, 4, 6, 8, 10}
+    asked = df.withColumn("least", F.when(F.col("box_id") < 6, 0.97).otherwise(0.0))
+    assert {r.box_id for r in suppressed(asked, 0.4, F.col("least")).collect()} == {0, 2, 6, 8, 10}
+    assert suppressed(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        suppressed(df, 0.0)
+
+
+# --- images
+
+
+def test_cubic_weights_by_hand():
+    assert np.allclose(cubic(4, 4), np.eye(4))
+    assert np.allclose(cubic(5, 3).sum(axis=1), 1) and np.allclose(cubic(3, 7).sum(axis=1), 1)
+    # halving: taps at a quarter, three quarters, five and seven quarters of two pixels
+    taps = {0.25: 0.8671875, 0.75: 0.2265625, 1.25: -0.0703125, 1.75: -0.0234375}
+    want = np.array([taps[1.75], taps[1.25], taps[0.75], taps[0.25], taps[0.25], taps[0.75], taps[1.25], taps[1.75]])
+    assert np.allclose(cubic(16, 8)[3], np.concatenate([np.zeros(3), want / want.sum(), np.zeros(5)]))
+    ramp = np.arange(12.0)[:, None, None] * np.ones((1, 5, 2))
+    assert np.allclose(resized(ramp, 6, 5)[2:4, :, 0], [[4.5] * 5, [6.5] * 5])
+    assert np.allclose(resized(np.full((7, 3, 1), 4.0), 13, 2), 4)
+
+
+def test_crops_and_sides():
+    image = np.arange(5 * 7).reshape(5, 7, 1).astype(float)
+    assert centre_crop(image, 3, 3)[:, :, 0].tolist() == [[9, 10, 11], [16, 17, 18], [23, 24, 25]]
+    assert centre_crop(image, 9, 3).shape == (9, 3, 1) and centre_crop(image, 9, 3)[:2].sum() == 0
+    assert shortest_to(np.zeros((10, 20, 3)), 5).shape == (5, 10, 3) and shortest_to(np.zeros((20, 10, 3)), 5).shape == (10, 5, 3)
+    assert frame_numbers(10, 4).tolist() == [0, 3, 6, 9] and frame_numbers(2, 4).tolist() == [0, 0, 1, 1] and not len(frame_numbers(0, 4))
+
+
+def blobs(spark, *arrays):
+    rows = [(k, None if a is None else {"shape": list(a.shape), "data": a.ravel().astype(float).tolist()}, "x") for k, a in enumerate(arrays)]
+    return spark.createDataFrame(rows, f"id int, blob {images.BLOB}, shape string")
+
+
+def test_images_are_made_ready(spark):
+    mean, std = (0.5, 0.4, 0.3), (0.2, 0.2, 0.1)
+    flat = np.ones((8, 12, 3)) * np.array([51, 102, 153])
+    got = {r.id: r.blob for r in prepared(blobs(spark, flat, None), 4, 4, mean, std).collect()}
+    assert got[1] is None and got[0]["shape"] == [3, 4, 4]
+    made = np.array(got[0]["data"]).reshape(3, 4, 4)
+    assert np.allclose(made, np.array([(0.2 - 0.5) / 0.2, 0.0, (0.6 - 0.3) / 0.1])[:, None, None], atol=1e-5)
+    last = prepared(blobs(spark, flat), 4, 4, mean, std, channels_first=False).first().blob
+    assert last["shape"] == [4, 4, 3] and np.allclose(np.array(last["data"]).reshape(4, 4, 3), np.moveaxis(made, 0, 2))
+    for wrong in (np.zeros((3, 8, 8)), np.zeros((8, 8)), np.zeros((8, 8, 1))):
+        with pytest.raises(Exception, match="channels"):
+            prepared(blobs(spark, wrong), 4, 4, mean, std).collect()
+
+
+def test_clips_are_made_ready(spark):
+    clip = np.arange(10.0)[:, None, None, None] * np.ones((1, 6, 8, 3))
+    got = prepared_clips(blobs(spark, clip, None), 4, (6, 6), 4, (0.0,) * 3, (1.0,) * 3, scale=1.0).orderBy("id").collect()
+    assert got[1].blob is None and got[0].blob["shape"] == [3, 4, 4, 4]
+    assert np.allclose(np.array(got[0].blob["data"]).reshape(3, 4, 16), np.array([0.0, 3, 6, 9])[None, :, None], atol=1e-5)
+    with pytest.raises(Exception, match="channels"):
+        prepared_clips(blobs(spark, np.zeros((2, 3, 8, 8))), 4, (6, 6), 4, (0.0,) * 3, (1.0,) * 3).collect()
+
+
+# --- tags
+
+
+def test_tags_of_mixed_types(spark):
+    rows = [(1, '{"price": 7, "brand": "x", "on": true, "list": [1]}'), (2, '{"price": "8.5", "brand": "y", "on": false, "rare": 1}'), (3, '{"price": 1.25, "brand": null}'), (4, "not json"), (5, None), (6, '{"price": "dear", "brand": 4, "on": true, "list": [2], "a b.c": 9}')]
+    df = spark.createDataFrame(rows, "id int, text string").withColumn("tags", variant_of(F.col("text")))
+    t = F.col("tags")
+    got = {r.id: r[1:] for r in df.select("id", tag(t, "price"), tag(t, "brand", "string"), tag(t, "on", "boolean"), tag(t, "a b.c", "int")).collect()}
+    assert got == {1: (7.0, "x", True, None), 2: (8.5, "y", False, None), 3: (1.25, None, None, None), 4: (None,) * 4, 5: (None,) * 4, 6: (None, "4", True, 9)}
+    assert common_tags(df, "tags", 0.5) == {"brand": "string", "on": "boolean", "price": "string"}
+    wide = promoted(df, "tags", 0.4)
+    assert [c for c in wide.columns if c.startswith("tag_")] == ["tag_brand", "tag_on", "tag_price"]
+    assert common_tags(df.where("id in (1, 3)"), "tags", 1.0) == {"price": "double"} and common_tags(df.limit(0), "tags") == {}
+    with pytest.raises(ValueError):
+        common_tags(df, "tags", 0.0)
+    with pytest.raises(ValueError):
+        tag(t, "it's")
+
+
+def test_tags_are_written_and_kept(spark, tmp_path):
+    rows = [(1, '{"a": 1, "b": {"c": [1, "x"]}}'), (2, None), (3, '{"new": 5, "gone": 1}')]
+    df = spark.createDataFrame(rows, "id int, text string").withColumn("tags", variant_of(F.col("text")))
+    df = df.withColumn("tags", with_tags(F.col("tags"), new=F.col("id") * 2, note=F.when(F.col("id") == 1, F.lit("n")), gone=F.lit(None).cast("int")))
+    df.select("id", "tags").write.parquet(f"file://{tmp_path}/t")
+    got = {r.id: json.loads(r.j) for r in spark.read.parquet(f"file://{tmp_path}/t").select("id", F.to_json("tags").alias("j")).collect()}
+    assert got == {1: {"a": 1, "b": {"c": [1, "x"]}, "new": 2, "note": "n"}, 2: {"new": 4}, 3: {"new": 6}}
+    made = spark.range(1).select(variant_of(F.create_map(F.lit("k"), F.lit(3)), "struct").alias("v")).select(tag(F.col("v"), "k", "int")).first()
+    assert made[0] == 3
