@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from lodestar.functions.hashing import content_hash, shard_of, virtual_shard
 from lodestar.functions.text import clean, label_prompt, sentence_pattern
 from lodestar.functions.vectors import as_doubles, clamped, frames, norm, normalized, pooled, rescaled, softmax
+from lodestar.functions.mojibake import repaired
 from lodestar.functions.tags import promoted, tag, variant_of, with_tags
 from lodestar.operators import dedup_cache, encoders, listwise, ltr, store
 from lodestar.operators.boxes import suppressed
+from lodestar.operators.byte_pairs import byte_pair_ids, byte_pair_texts
 from lodestar.operators.images import prepared
 from lodestar.operators.index import InvertedFile, apply_delta, classify_delta, last_wins, mark_deleted, search_live, status, update_known, upsert
 from lodestar.operators.knn import fill_embedding, hydrate, knn_join, merge_shards
@@ -839,3 +841,23 @@ def tags_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", "source", "n_chars", variant_of(text).alias("tags"))
     rows = promoted(rows, "tags", 0.5).withColumn("tags", with_tags(F.col("tags"), origin=F.col("source"), longer=F.when(F.col("doc_id") % 5 != 0, F.col("n_chars") + 1)))
     return rows.select("doc_id", "tag_lang", "tag_n_chars", "tag_mixed", tag(F.col("tags"), "mixed").alias("as_number"), tag(F.col("tags"), "origin", "string").alias("origin"), tag(F.col("tags"), "longer", "bigint").alias("longer"))
+
+
+@register("mojibake_repaired", "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
+def mojibake_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of even number read by the wrong table, those divisible by four twice, then all repaired: what comes out are the texts as they were."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    wrong = lambda t: F.decode(F.encode(t, "UTF-8"), "ISO-8859-1")
+    text = F.when(F.col("doc_id") % 4 == 0, wrong(wrong(F.col("text")))).when(F.col("doc_id") % 2 == 0, wrong(F.col("text"))).otherwise(F.col("text"))
+    return docs.select("doc_id", F.sha2(repaired(text), 256).alias("text_sha256"))
+
+
+@register("byte_pair_round_trip")
+def byte_pair_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations as ids of a public vocabulary, and back; and the window of 77 that a text model takes."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = byte_pair_ids(load(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), path)
+    rows = byte_pair_ids(byte_pair_texts(rows, path), path, "decoded", 77, cut=True, out_col="window")
+    return rows.select("conv_id", "turn", F.size("ids").alias("n_ids"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2(F.array_join("window", " "), 256).alias("window_sha256"))
