@@ -55,8 +55,11 @@ def check_metric(metric: str, flavour: str = "squared") -> None:
         raise ValueError(f"flavour must be one of {FLAVOURS}, not {flavour!r}")
 
 
-def pooled(tokens: Column, how: str) -> Column:
-    """An array of vectors pooled element by element: mean, min, max, or cls, the first of them."""
+def pooled(tokens: Column, how: str, mask: Column | None = None) -> Column:
+    """An array of vectors pooled element by element: mean, min, max, or cls, the first of them; with a mask, an array as long, of those where it is 1, and null if there are none."""
+    if mask is not None:
+        kept = F.transform(F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["t"])
+        return F.when(F.size(kept) > 0, pooled(kept, how))
     if how == "cls":
         return tokens[0]
     fold = {"mean": lambda x, y: x + y, "min": lambda x, y: F.least(x, y), "max": lambda x, y: F.greatest(x, y)}

@@ -19,13 +19,20 @@ TRIES = 5
 
 
 class SearchStore:
-    """Documents at `path`/data, snapshots at `path`/snapshot, the index at `path`/index; writes reach searches at sync()."""
+    """Documents at `path`/data, snapshots at `path`/snapshot, the index at `path`/index; writes reach searches at sync().
 
-    def __init__(self, spark: SparkSession, path: str, metric: str = "cosine", shard_id: int = 0, total_shards: int = 1):
+    With `model`, the path that train() keeps a trained index at, it is loaded at the start if it is there."""
+
+    def __init__(self, spark: SparkSession, path: str, metric: str = "cosine", shard_id: int = 0, total_shards: int = 1, model: str | None = None):
         self.spark, self.metric, self.shard_id, self.total_shards = spark, metric, shard_id, total_shards
         self.data, self.snapshots, self.index_table = (VersionedTable(spark, f"{path}/{x}", "doc_id") for x in ("data", "snapshot", "index"))
         for t in (self.data, self.snapshots, self.index_table):
             t.check_schema()
+        self.trained = self.load(model) if model and self._there(model) else None
+
+    def _there(self, path: str) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return bool(p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
     def _rows(self) -> DataFrame:
         return self.data.read()
@@ -161,10 +168,15 @@ class SearchStore:
         if None not in (old, size) and old["n"] != size:
             raise ValueError(f"the index has vectors of {old['n']} components, not {size}")
 
-    def train(self, path: str, cells: int = 16, nprobe: int = 4, **options) -> InvertedFile:
-        """Fits an inverted file on the live rows' vectors and keeps it at `path`."""
+    def train(self, path: str, cells: int = 16, nprobe: int = 4, force: bool = False, **options) -> InvertedFile:
+        """Fits an inverted file on the live rows' vectors and keeps it at `path`. Shard 0 trains for all; ValueError on another, and where a model is there already, unless forced."""
+        if self.shard_id:
+            raise ValueError(f"shard 0 trains, not shard {self.shard_id}")
+        if not force and self._there(path):
+            raise ValueError(f"there is a model at {path}; force replaces it")
         trained = InvertedFile(self.metric, cells, nprobe, **options).train(ops.prune(self._rows()).where("embedding is not null"), "doc_id")
         trained.save(self.spark, path)
+        self.trained = trained
         return trained
 
     def load(self, path: str) -> InvertedFile:
@@ -174,8 +186,11 @@ class SearchStore:
             raise ValueError(f"the model at {path} is for {trained.metric}, not {self.metric}")
         return trained
 
-    def search_trained(self, queries: DataFrame, k: int, trained: InvertedFile, is_distance: bool = True) -> DataFrame:
-        """As search() without documents, in the cells of an inverted file."""
+    def search_trained(self, queries: DataFrame, k: int, trained: InvertedFile | None = None, is_distance: bool = True) -> DataFrame:
+        """As search() without documents, in the cells of an inverted file, by default the one trained or loaded at the start."""
+        trained = trained or self.trained
+        if trained is None:
+            raise ValueError("train() or load() comes first")
         return trained.search(queries, trained.lists(self.index_table.read(), "doc_id"), k, is_distance)
 
     def search(self, queries: DataFrame, k: int, is_distance: bool = True, with_docs: bool = True, with_embedding: bool = False) -> DataFrame:

@@ -208,6 +208,34 @@ def test_trained_cells_are_kept(spark, tmp_path):
         SearchStore(spark, f"file://{tmp_path}/s").load(f"file://{tmp_path}/m")
 
 
+def test_shard_0_trains_once_and_models_are_there_at_the_start(spark, tmp_path):
+    path, model = f"file://{tmp_path}/s", f"file://{tmp_path}/m"
+    s = SearchStore(spark, path, "euclidean", model=model)
+    s.index(docs(spark, range(60)), now=T0)
+    s.sync()
+    q = spark.createDataFrame([("q", [7.0, 1.0])], "id string, embedding array<double>")
+    assert s.trained is None
+    with pytest.raises(ValueError, match="comes first"):
+        s.search_trained(q, 3)
+    first = s.train(model, cells=4, nprobe=4)
+    with pytest.raises(ValueError, match="force"):
+        s.train(model, cells=3)
+    assert len(s.train(model, cells=3, nprobe=3, force=True).centers()) == 3 and len(first.centers()) == 4
+    again = SearchStore(spark, path, "euclidean", model=model)
+    assert [r.match_id for r in again.search_trained(q, 3).orderBy("rank").collect()] == ["7", "6", "8"]
+    with pytest.raises(ValueError, match="shard 0"):
+        SearchStore(spark, path, "euclidean", shard_id=1, total_shards=2).train(model, force=True)
+
+
+def test_masked_pooling(spark):
+    from lodestar.functions.vectors import pooled
+
+    rows = [(1, [[1.0, 4.0], [3.0, 0.0], [9.0, 9.0]], [1, 1, 0]), (2, [[5.0, 6.0]], [0]), (3, [[1.0, 1.0], [2.0, 8.0]], [0, 1])]
+    df = spark.createDataFrame(rows, "id int, tokens array<array<double>>, mask array<int>")
+    got = {r.id: r[1:] for r in df.select("id", *[pooled(F.col("tokens"), how, F.col("mask")) for how in ("mean", "min", "max", "cls")]).collect()}
+    assert got == {1: ([2.0, 2.0], [1.0, 0.0], [3.0, 4.0], [1.0, 4.0]), 2: (None,) * 4, 3: ([2.0, 8.0],) * 4}
+
+
 def test_shards(spark):
     ids = [f"aa{k}" for k in range(60)]
     for m in (44, 128):
