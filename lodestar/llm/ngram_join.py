@@ -333,8 +333,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     grouped = met.where("star").join(two, "b").select(F.col("a").alias("cluster"), F.col("rep_b").alias("rep"), F.col("n_b").alias("n"), F.col("sig_b").alias("sig"))
     grouped = _spread(grouped).select(*_TILE, "own", "rep", "n", "sig").repartition(*_TILE).sortWithinPartitions(*_TILE)
     edges = pairs.unionByName(grouped.mapInArrow(_candidate_tiles, "a long, b long"))
+    # written first: a task that also joined its links into stars would run two Python workers
+    edges = saved.save(edges)
     clusters = saved.save(components(edges).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster"))
     saved.drop(met)
+    saved.drop(edges)
 
     # texts of documents in no cluster aren't shuffled
     texts = maybe_among(docs, F.col("doc_id"), clusters.select(F.col("rep").alias("key")), "met").where("met").drop("met")
@@ -348,8 +351,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marks = F.struct(F.coalesce("d1", F.lit(0)), F.coalesce("d2", F.lit(0)))
     several = rows.groupBy("doc_id").agg(F.min(marks).alias("low"), F.max(marks).alias("high")).where("low <> high").select("doc_id")
     split = rows.where("n > 0").join(several, "doc_id").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comp = components(links.unionByName(split))
+    edges = saved.save(links.unionByName(split))
+    comp = components(edges)
     saved.drop(clusters)
+    saved.drop(edges)
     by_class = saved.save(classes.select("d1", "d2", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component")))
     out = lambda df: df.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     own = profile.select("doc_id", "n", "d1", "d2")

@@ -97,3 +97,12 @@ def test_sizes_in_digests_allow_every_link():
         for m in {n, -(-3 * n // 4)}:
             assert op._sized(np.array([size(n)]), np.array([size(m)])).all()
     assert not op._sized(np.array([size(1000)]), np.array([size(500)])).any()
+
+
+def test_links_are_written_before_their_components(documents, monkeypatch):
+    """A task that found links and joined them at once would hold two Python workers."""
+    plans, search = [], op.components
+    monkeypatch.setattr(op, "components", lambda edges: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or search(edges))
+    rows = corpus(3, 60)
+    assert got(documents(rows)) == brute(rows)
+    assert len(plans) == 2 and not any("MapInArrow" in p for p in plans)
