@@ -36,6 +36,8 @@ NUM, DEN = 3, 4
 FREQUENT = 1 << 18
 #: A shingle is reported as frequent by a chunk of documents of which so many distinct ones hold it.
 OFTEN = 3
+#: Hashes of documents that are held before the frequent ones of them are reported.
+HELD = 1 << 21
 SMALL = 24
 #: Words of 64 bits in the shortest signature.
 SIGNATURE_WORDS = 16
@@ -72,32 +74,50 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def _frequent_rows(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not sets:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h, n = np.unique(np.concatenate(sets), return_counts=True)
-    return h[n >= OFTEN], n[n >= OFTEN]
+def _frequent_rows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that h has OFTEN or oftener, and how often. Sorts h itself: most occur once, so no copy of it is made."""
+    h.sort()
+    often = np.unique(h[: max(0, len(h) - OFTEN + 1)][h[OFTEN - 1 :] == h[: max(0, len(h) - OFTEN + 1)]])
+    return often, np.searchsorted(h, often, "right") - np.searchsorted(h, often)
+
+
+class _Held:
+    """Shingle hashes of different sets, in one array of HELD that grows for what the last chunk of documents has above it."""
+
+    def __init__(self):
+        self.seen: set[tuple[int, int]] = set()
+        self.hashes, self.n = np.empty(HELD, np.uint64), 0
+
+    def add(self, d: tuple[int, int], s: np.ndarray) -> None:
+        if d in self.seen:
+            return
+        self.seen.add(d)
+        if self.n + len(s) > len(self.hashes):
+            self.hashes = np.concatenate([self.hashes[: self.n], np.empty(len(s) + HELD // 4, np.uint64)])
+        self.hashes[self.n : self.n + len(s)] = s
+        self.n += len(s)
+
+    def frequent(self) -> pa.RecordBatch:
+        return _heavy_batch(*_frequent_rows(self.hashes[: self.n]))
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[tuple[int, int], np.ndarray] = {}
-    held = 0
+    held = _Held()
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
         out: list[list] = [[], [], [], [], [], []]
         for first, flat, offsets in chunks(batch.column("text")):
             for k, s in enumerate(shingle_sets(flat, offsets, WIDTH)):
                 d = digest(s) if len(s) else (None, None)
-                if len(s) and d not in seen:
-                    seen[d] = s
-                    held += len(s)
+                if len(s):
+                    held.add(d, s)
                 for col, v in zip(out, (0, ids[first + k], len(s), *d, signature(s) if len(s) else None), strict=True):
                     col.append(v)
-            if held > 1 << 21:
-                yield _heavy_batch(*_frequent_rows(list(seen.values())))
-                seen, held = {}, 0
+            if held.n >= HELD:
+                yield held.frequent()
+                held = _Held()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["kind", "doc_id", "n", "d1", "d2", "sig"])
-    yield _heavy_batch(*_frequent_rows(list(seen.values())))
+    yield held.frequent()
 
 
 def _heavy_batch(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:

@@ -106,3 +106,22 @@ def test_links_are_written_before_their_components(documents, monkeypatch):
     rows = corpus(3, 60)
     assert got(documents(rows)) == brute(rows)
     assert len(plans) == 2 and not any("MapInArrow" in p for p in plans)
+
+
+def test_frequent_hashes_are_found_without_copies():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    h = np.concatenate([rng.integers(0, 2**63, 1 << 20, dtype=np.uint64), np.repeat(np.arange(900, dtype=np.uint64), np.arange(900) % 6)])
+    rng.shuffle(h)
+    found, n = np.unique(h, return_counts=True)
+    found, n = found[n >= op.OFTEN], n[n >= op.OFTEN]
+    tracemalloc.start()
+    got = op._frequent_rows(h)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[0] == found).all() and (got[1] == n).all() and peak < h.nbytes / 2
+    for k in range(4):
+        assert len(op._frequent_rows(np.zeros(k, np.uint64))[0]) == (k >= op.OFTEN)
