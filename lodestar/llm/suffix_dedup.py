@@ -15,6 +15,10 @@ places, the same anchor, the position of the least hashed 8-gram in its first RE
    bytes before it. The repeated j of an anchor cover one run of bytes; runs are merged by document;
 5. a core that more than HOT anchors hash to is no task's: its windows send a digest of each of their strings of
    `length` bytes, and those that an aggregate counts twice are repeated.
+
+Passages are told of likewise, by words: a run of WORDS words that two documents share has the same anchor in both, the
+least hashed of its runs of WORD_GRAM words. Anchors whose words several documents hold go on, and only for those
+the digests of all runs of WORDS words around them are counted by document.
 """
 
 from __future__ import annotations
@@ -25,12 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.streams import groups
 from lodestar.llm.tables import Saved, maybe_among, text_or_empty
-from lodestar.llm.textbytes import chunks, mix, prefix_sums, span_hash
+from lodestar.llm.textbytes import chunks, mix, prefix_sums, span_hash, word_hashes
 
 LENGTH = 400
 #: Positions at a string's start of which one is its anchor.
@@ -45,6 +49,8 @@ BLOCK = 32
 HOT, RANGES = 1 << 16, 4
 #: Windows that a task remembers having sent.
 REMEMBERED = 1 << 18
+#: Words of a passage, and of its anchor.
+WORDS, WORD_GRAM = 51, 12
 
 
 def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -418,7 +424,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(raw[at:])
             for col, v in zip(out, (doc_id, len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest()), strict=True):
                 col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)] + [pc.coalesce(batch.column("cores"), pa.scalar(0, pa.int64()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_cores"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)] + [pc.coalesce(batch.column(c), pa.scalar(0, pa.int64())) for c in ("cores", "shared_words")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_cores", "n_shared_words"])
 
 
 def repeated_runs(docs: DataFrame, saved: Saved, length: int = LENGTH, reach: int = REACH) -> DataFrame:
@@ -447,15 +453,97 @@ def repeated_runs(docs: DataFrame, saved: Saved, length: int = LENGTH, reach: in
     return by_doc.select(*keys, (F.size("cold") + F.size("hot")).cast("long").alias("cores")).join(runs, keys, "left")
 
 
+def passage_runs(flat: np.ndarray, offsets: np.ndarray, words: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first word, hash, hash of the anchor) of every run of `words` words of each text, as written."""
+    h, counts = word_hashes(flat, offsets, lower=False)
+    if len(h) < words:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    n = len(h) - words + 1
+    doc = np.searchsorted(at, np.arange(n), "right") - 1
+    own = np.flatnonzero(np.arange(n) + words <= at[doc + 1])
+    grams, runs = _rolled(h, gram), _rolled(h, words)
+    return doc[own], own - at[doc[own]], runs[own], _sliding_least(grams, words - gram + 1)[own]
+
+
+def _rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of width numbers: runs of a power of two are made of two halves, others of two that overlap."""
+    power, out = 1, h
+    while 2 * power <= width:
+        out, power = mix(out[:-power] * _FIRST + out[power:]), 2 * power
+    rest = width - power
+    return mix(out[: len(out) - rest] * _FIRST + out[rest:]) if rest else out
+
+
+_FIRST = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _anchored(words: int, gram: int):
+    """(h, doc_id, text_hash): each anchor of a row once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, flat, offsets in chunks(batch.column("text"), PIECE):
+                doc, _, _, h = passage_runs(flat, offsets, words, gram)
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                rows = pa.array(doc[new] + first)
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column("doc_id").take(rows), batch.column("text_hash").take(rows)], ["h", "doc_id", "text_hash"])
+
+    return run
+
+
+def _runs_of(words: int, gram: int):
+    """(p, doc_id, text_hash, at): hashes of the runs of words whose anchor is among a row's `anchors`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, flat, offsets in chunks(batch.column("text"), PIECE):
+                doc, at, p, h = passage_runs(flat, offsets, words, gram)
+                keep, cuts = np.zeros(len(doc), bool), np.searchsorted(doc, np.arange(len(offsets)))
+                for k in range(len(offsets) - 1):
+                    if cuts[k] < cuts[k + 1]:
+                        keep[cuts[k] : cuts[k + 1]] = np.isin(h[cuts[k] : cuts[k + 1]].view(np.int64), batch.column("anchors")[first + k].values.to_numpy())
+                rows = pa.array(doc[keep] + first)
+                yield pa.RecordBatch.from_arrays([pa.array(p[keep].view(np.int64)), batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(at[keep])], ["p", "doc_id", "text_hash", "at"])
+
+    return run
+
+
+def _several_documents(rows: DataFrame, key: str) -> DataFrame:
+    """The values of key that rows with different doc_id or, of one id, different texts have."""
+    own = F.xxhash64("doc_id", "text_hash")
+    return rows.groupBy(key).agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low <> high").select(key)
+
+
+def shared_words(docs: DataFrame, saved: Saved, words: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
+    """(doc_id, text_hash, shared_words): how many words of a document lie in runs of `words` words or more that another document holds too; documents without any are left out."""
+    keys = ["doc_id", "text_hash"]
+    # rows that repeat id and text are one document here
+    anchored = saved.save(docs.mapInArrow(_anchored(words, gram), "h long, doc_id long, text_hash long"))
+    by_doc = saved.save(anchored.join(_several_documents(anchored, "h"), "h").groupBy(*keys).agg(F.collect_set("h").alias("anchors")))
+    saved.drop(anchored)
+    texts = maybe_among(docs, F.xxhash64(*keys), by_doc.select(F.xxhash64(*keys).alias("key")), "met").where("met").drop("met").dropDuplicates(keys)
+    runs = saved.save(texts.join(by_doc, keys).select(*keys, "text", "anchors").mapInArrow(_runs_of(words, gram), "p long, doc_id long, text_hash long, at long"))
+    saved.drop(by_doc)
+    found = runs.join(_several_documents(runs, "p"), "p")
+    # a run adds the words that the one before it leaves
+    ahead = F.col("at") - F.lag("at").over(Window.partitionBy(*keys).orderBy("at"))
+    out = saved.save(found.select(*keys, "at").withColumn("added", F.least(F.coalesce(ahead, F.lit(words)), F.lit(words))).groupBy(*keys).agg(F.sum("added").cast("long").alias("shared_words")))
+    saved.drop(runs)
+    return out
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, reach: int = REACH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_cores), one row for each input row.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_cores, n_shared_words), one row for each input row.
 
     Texts are UTF-8 bytes, null an empty one. A byte goes if a string of `length` bytes over it starts anywhere else
     too, in the same document or another; strings are judged on the input and end with their document. Rows that
     repeat id and text repeat each other's strings. A null id is carried along. An empty table gives none.
 
     n_shared_cores counts the different strings of length - reach + 1 bytes from an anchor on that are found elsewhere
-    too. It tells of passages somewhat shorter than `length`, which stay.
+    too. n_shared_words counts the words [^\\x20\\x09-\\x0D]+ that lie in runs of WORDS or more that a document with another id
+    or text holds too. It tells of passages that may be shorter than `length` bytes, which stay. Hashes have 64 bits.
     """
     if not 1 <= reach <= length - GRAM + 1:
         raise ValueError("reach must leave room for a gram in the string")
@@ -463,9 +551,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = text_or_empty(text_col)
     # ids are for joining: null becomes an id of its own
     rows = docs.select(F.col(id_col).cast("long").alias("own_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    runs = saved.save(repeated_runs(rows.drop("own_id"), saved, length, reach))
+    passages = shared_words(rows.drop("own_id"), saved)
+    runs = saved.save(repeated_runs(rows.drop("own_id"), saved, length, reach).join(passages, ["doc_id", "text_hash"], "full"))
     # texts that surely lose nothing aren't shuffled
     marked = maybe_among(rows, F.xxhash64("doc_id", "text_hash"), runs.select(F.xxhash64("doc_id", "text_hash").alias("key")), "met")
-    cut = marked.where("met").join(runs, ["doc_id", "text_hash"], "left").select("own_id", "text", "cores", "runs")
-    whole = marked.where("not met").select("own_id", "text", F.lit(None).cast("long").alias("cores"), F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
-    return cut.unionByName(whole).withColumnRenamed("own_id", "doc_id").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_cores long")
+    cut = marked.where("met").join(runs, ["doc_id", "text_hash"], "left").select("own_id", "text", "cores", "shared_words", "runs")
+    whole = marked.where("not met").select("own_id", "text", *(F.lit(None).cast("long").alias(c) for c in ("cores", "shared_words")), F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
+    return cut.unionByName(whole).withColumnRenamed("own_id", "doc_id").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_cores long, n_shared_words long")

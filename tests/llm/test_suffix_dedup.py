@@ -177,3 +177,28 @@ def test_shared_cores_tell_of_passages_that_stay(documents):
     found = {r.doc_id: (r.n_removed, r.n_shared_cores) for r in suffix_dedup(documents(rows)).collect()}
     assert all(n == 0 for n, _ in found.values())
     assert sum(found[i][1] > 0 for i in shared) >= 0.9 * len(shared) and all(found[i][1] == 0 for i in found.keys() - shared)
+
+
+def test_shared_words_tell_of_passages_of_over_fifty_words(documents):
+    """By plain Python: words in runs of 51 that another document holds too, whatever their bytes, and none that a document repeats by itself."""
+    rng = random.Random(6)
+    words = [f"{rng.choice('abcde')}{k}" for k in range(900)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    passages = [text(n) for n in (50, 51, 60, 130)]
+    rows = [(k, " ".join(text(k % 70) + passages[k % 4] + text(k % 9))) for k in range(40)]
+    rows += [(50, " ".join(["x"] * 51)), (51, "\t".join(["x"] * 51)), (52, " ".join(passages[1][:40] + passages[3][40:]))]
+    rows += [(53, " ".join(2 * (own := text(70)))), (54, None), (55, ""), (None, " ".join(passages[2])), (56, " ".join(w.upper() for w in passages[3]))]
+    rows += [(57, " ".join(own := text(80))), (57, " ".join(own))]  # a repeated row is one document
+    runs = {}
+    for i, t in set(rows):
+        w = (t or "").split()
+        for k in range(len(w) - 50):
+            runs.setdefault(tuple(w[k : k + 51]), set()).add((i, t))
+    want = []
+    for i, t in rows:
+        w = (t or "").split()
+        held = {x for k in range(len(w) - 50) if len(runs[tuple(w[k : k + 51])]) > 1 for x in range(k, k + 51)}
+        want.append((i, len(held)))
+    got = [(r.doc_id, r.n_shared_words) for r in suffix_dedup(documents(rows)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(n > 0 for _, n in want) > 30
