@@ -94,6 +94,14 @@ def test_whitening_of_odd_rows(spark):
     agree(whiten(table(spark, rows + odd)).collect(), rows)
 
 
+def test_whitening_of_odd_rows_in_floats(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, (rng.standard_normal(6) * [9, 7, 5, 3, 2, 1] / 8).tolist()) for k in range(150)]
+    rows += [(500, rows[0][1])] * 60 + [(None, rows[1][1]), (3, rows[7][1])]  # copies weigh nothing
+    odd = [(600, None), (601, []), (602, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (603, [float("nan")] * 6), (604, [float("inf")] + [0.0] * 5)]
+    agree(whiten(table(spark, rows + odd)).collect(), rows)
+
+
 def test_degenerate_tables(spark):
     assert whiten(table(spark, [(1, None)]).limit(0)).count() == 0
     assert whiten(table(spark, [(1, None)])).count() == 0
