@@ -28,6 +28,8 @@ CAPACITY = 4096
 END_ID = 1
 #: The step of the weights, what a length of a whole sequence is worth above its share, and how far below the best pattern's worth one may be taken.
 ETA, LONG, NEAR = 0.1, 0.5, 0.3
+#: The numbers of slots(), by name.
+_PLACE = ("rank", "n", "sequence", "each", "offset")
 #: Parts of texts of which a task remembers the ids.
 REMEMBERED = 1 << 18
 #: Groups in which the pieces of one length are ranked.
@@ -274,8 +276,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
     counts = saved.save(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = [(x, [tuple(map(int, p)) for p in ps]) for x, ps in slots(pack_histogram(histogram, capacity)).items()]
-    table = spark.createDataFrame(places, "length long, places array<struct<rank:long,n:long,sequence:long,each:long,offset:long>>")
+    by_length = slots(pack_histogram(histogram, capacity))
+    places = pa.array([[dict(zip(_PLACE, map(int, p), strict=True)) for p in ps] for ps in by_length.values()], pa.list_(pa.struct([(c, pa.int64()) for c in _PLACE])))
+    # as Arrow: a list of rows would go through Python workers of a second daemon on the executors
+    table = spark.createDataFrame(pa.table({"length": pa.array(list(by_length), pa.int64()), "places": places}))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     ranked = salted.withColumn("inner", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("inner"))

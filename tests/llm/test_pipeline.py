@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("corpus_pipeline")
@@ -60,3 +61,28 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark, sample, documents):
         assert stage(spark, docs.where("doc_id = 99"), sample).count() == 0
     left = pipe.near_duplicates(spark, docs, sample).collect()
     assert Counter(r.doc_id for r in left) == {1: 1, 2: 1, None: 1, 3: 1}
+
+
+@pytest.mark.parametrize("stage", ["quality", "near_duplicates", "packing"])
+def test_workers_get_texts_in_small_batches(spark, sample, documents, stage):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    getattr(pipe, stage)(spark, documents([(1, "a b"), (2, None)]), sample)
+    rows = spark.range(300).coalesce(1).selectExpr("id", "repeat('a', 100000) as text")  # 30 MB, and one row above the limit
+    rows = rows.union(spark.range(1).selectExpr("id", "repeat('a', 4000000) as text"))
+    got = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]}) for b in batches), "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 301
+    assert max(r.bytes for r in got if r.rows > 1) < 4_000_000 < max(r.bytes for r in got) < 5_000_000
+    spark.conf.set(limit, "1000")
+    getattr(pipe, stage)(spark, documents([(1, "a b")]), sample)
+    assert spark.conf.get(limit) == "1000"
+    spark.conf.unset(limit)
+
+
+def test_places_of_pieces_need_no_python_workers(spark, sample, documents, monkeypatch):
+    def parallelize(*_):
+        raise AssertionError("rows by way of an RDD")
+
+    docs = documents([(k, "some words " * k) for k in range(50)])
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", parallelize)
+    assert len({r.doc_id for r in pipe.packing(spark, docs, sample).collect()}) == 50
