@@ -130,17 +130,20 @@ def knapsack(lengths: np.ndarray, price: np.ndarray, copies: np.ndarray, capacit
         while n > 0:
             items.append((k, min(t, n), x * min(t, n)))
             n, t = n - t, 2 * t
-    worth, took = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
+    worth, took = np.zeros(capacity + 1), np.zeros((len(items), capacity // 8 + 1), np.uint8)  # a bit for each item and room
+    row = np.zeros(capacity + 1, bool)
     for i, (k, t, size) in enumerate(items):
         if size <= capacity:
             got = worth[: capacity + 1 - size] + t * price[k]
-            np.greater(got, worth[size:], out=took[i, size:])
+            row[:size] = False
+            np.greater(got, worth[size:], out=row[size:])
+            took[i] = np.packbits(row)
             np.maximum(got, worth[size:], out=worth[size:])
 
     def taken(room: int) -> dict[int, int]:
         out: dict[int, int] = defaultdict(int)
         i = len(items)
-        while room > 0 and len(at := np.flatnonzero(took[:i, room])):
+        while room > 0 and len(at := np.flatnonzero(took[:i, room >> 3] & (128 >> (room & 7)))):
             i = int(at[-1])
             out[items[i][0]] += items[i][1]
             room -= items[i][2]

@@ -122,3 +122,20 @@ def test_added_tokens_have_their_own_ids(documents):
     for k, text in enumerate(texts):
         ids = [*plain.encode(text, add_special_tokens=False).ids, 1]
         assert got[k] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_the_knapsack_takes_a_bit_for_each_item_and_room():
+    import tracemalloc
+
+    from lodestar.llm.packing import knapsack
+
+    x = np.arange(1, 1600)
+    tracemalloc.start()
+    worth, taken = knapsack(x, x / 4096 * (1 + x / 8192), np.minimum(3, 4096 // x), 4096)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4_000_000  # 13 MB with a byte for each
+    for room in (4096, 4095, 8, 7, 1):
+        pattern = taken(room)
+        assert sum(int(x[k]) * n for k, n in pattern.items()) <= room and all(n <= min(3, 4096 // x[k]) for k, n in pattern.items())
+        assert abs(sum(x[k] / 4096 * (1 + x[k] / 8192) * n for k, n in pattern.items()) - worth[room]) < 1e-9
