@@ -16,9 +16,11 @@ from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,36 +32,28 @@ END_ID = 1
 ETA, LONG, NEAR = 0.1, 0.5, 0.3
 #: The numbers of slots(), by name.
 _PLACE = ("rank", "n", "sequence", "each", "offset")
-#: Parts of texts of which a task remembers the ids.
-REMEMBERED = 1 << 18
+#: Parts of texts of which a task remembers the ids, and the characters of the longest one that it remembers.
+REMEMBERED, LONG_PART = 1 << 18, 64
+#: Bytes of texts that are tokenised at once; one longer text is a run of its own.
+RUN_BYTES = 1 << 22
 #: Groups in which the pieces of one length are ranked.
 SALTS = 256
-_ODD_BLANK = re.compile("[\x1c-\x1f]")
-_NOT_PLAIN = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
-#: The vocabulary's units, in its order of preference: fixed values.
-_UNITS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \t\n\r\x0b\x0c0-9a-z\xdf-\xf6\xf8-\xff]+")
+_NOT_PLAIN = "[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]"
+#: The vocabulary's units but for runs of letters, which stand between these and blanks; and all, in its order of preference: fixed values.
+_LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+_MARKS = f"'(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \t\n\r\x0b\x0c0-9{_LETTERS}]+"
+_UNITS = f"[{_LETTERS}]+|{_MARKS}"
 #: How byte-level vocabularies write bytes: printable ones as themselves, the others as code points from 256 on.
 _SHOWN = (*range(33, 127), *range(161, 173), *range(174, 256))
 _BYTE_CHARS = dict(zip((b for b in range(256) if b not in _SHOWN), range(256, 512), strict=False))
 
 
-class _Remembered(dict):
-    """Ids by part, worked out when first asked for."""
-
-    def __init__(self, work_out):
-        super().__init__()
-        self.work_out = work_out
-
-    def __missing__(self, part: str) -> bytes:
-        out = self[part] = _packed(self.work_out(part))
-        return out
-
-
 class WordTokenizer:
-    """Ids of a text from the ids of its parts, which are remembered: this vocabulary's rules never reach across them.
+    """Ids of texts from the ids of their parts, which are remembered: this vocabulary's rules never reach across them.
 
-    In texts of ASCII and Latin-1 letters the parts are the runs that the vocabulary's own pattern takes for units, in
-    lower case, and go straight to its model; in others they are what stands between blanks.
+    Many texts are split at once by Arrow, which also numbers their distinct parts, so only those are looked up. In texts
+    of ASCII and Latin-1 letters parts are the runs that the vocabulary's own pattern takes for units, in lower case; in
+    others they are what stands between ASCII blanks. Plain parts go straight to the vocabulary's model.
     """
 
     def __init__(self, path: str):
@@ -67,31 +61,59 @@ class WordTokenizer:
 
         whole = self.whole = Tokenizer.from_file(path)
         whole.encode_special_tokens = True
-        model = whole.model
+        self.model = whole.model
         # in whole the strings of added tokens are text, in the vocabulary's ids they are one id each
         self.unchanged = lru_cache(1)(lambda: Tokenizer.from_file(path))
         added = sorted({t.content for t in whole.get_added_tokens_decoder().values()}, key=len, reverse=True)
         self.holds_added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
-        self.units = _Remembered(lambda part: [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(_BYTE_CHARS))])
-        self.words = _Remembered(lambda part: whole.encode(part, add_special_tokens=False).ids)
+        self.not_plain, self.units = re.compile(_NOT_PLAIN).search, re.compile(_UNITS).findall
+        self.known: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        """Ids of a part, remembered unless it is long: such parts seldom come again and would fill the memory."""
+        if self.not_plain(part):
+            out = _packed(self.whole.encode(part, add_special_tokens=False).ids)
+        else:
+            out = _packed([t.id for unit in self.units(part.lower()) for t in self.model.tokenize(unit.encode().decode("latin-1").translate(_BYTE_CHARS))])
+        if len(part) <= LONG_PART:
+            self.known[part] = out
+        return out
 
     def contract_ids(self, text: str) -> bytes:
         """The unchanged tokenizer's ids of a text, which may hold added tokens, as ids() gives them."""
-        if self.holds_added(text):
-            return _packed(self.unchanged().encode(text, add_special_tokens=False).ids)
-        return self.ids(text)
+        return next(self.all_contract_ids(pa.array([text], pa.string())))
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text in which the strings of added tokens are plain text."""
-        if not _NOT_PLAIN.search(text):
-            parts, known = _UNITS.findall(text.lower()), self.units
-        elif not _ODD_BLANK.search(text):
-            parts, known = text.split(), self.words
-        else:  # blanks for str.split() but not for the tokenizer
-            return _packed(self.whole.encode(text, add_special_tokens=False).ids)
-        if len(known) > REMEMBERED:
-            known.clear()
-        return b"".join(map(known.__getitem__, parts))
+        return next(self.all_ids(pa.array([text], pa.string())))
+
+    def all_contract_ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """contract_ids() of each text; null counts as empty."""
+        strings = texts.to_numpy(zero_copy_only=False)
+        held = {k: text for k, text in enumerate(strings) if text and self.holds_added(text)}
+        if held:
+            strings[list(held)] = None
+            texts = pa.array(strings, texts.type)  # if_else() of a null and a slice of texts gives wrong ones
+        for k, ids in enumerate(self.all_ids(texts)):
+            yield _packed(self.unchanged().encode(held[k], add_special_tokens=False).ids) if k in held else ids
+
+    def all_ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """ids() of each text; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        apart = pc.replace_substring_regex(pc.utf8_lower(texts), _MARKS, r" \0 ")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(texts, _NOT_PLAIN), texts, apart))
+        parts = split.flatten().dictionary_encode()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        found = [ids if (ids := self.known.get(part)) is not None else self.part(part) for part in parts.dictionary.to_numpy(zero_copy_only=False)]
+        flat, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = parts.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        shift = (np.cumsum(sizes) - sizes)[at] - ends[:-1]  # from an id's place in the texts to its place in flat
+        ids = flat[np.repeat(shift, sizes[at]) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
+        for a, b in pairwise(bounds.tolist()):
+            yield ids[a:b].tobytes()
 
 
 @lru_cache(2)
@@ -104,6 +126,17 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _runs(texts: pa.Array) -> Iterator[pa.Array]:
+    """All texts in slices of about RUN_BYTES, at least one text each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    i = 0
+    while i < len(texts):
+        before = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + RUN_BYTES, "right")))
+        yield texts.slice(i, j - i)
+        i = j
+
+
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -111,8 +144,8 @@ def _pieces(path: str, capacity: int):
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = tokenizer.contract_ids(text.as_py() or "") + end
+            every = (ids + end for texts in _runs(batch.column("text")) for ids in tokenizer.all_contract_ids(texts))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), every, strict=True):
                 for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[a : a + 4 * capacity]
                     for col, v in zip(out, (doc_id, k, a // 4, len(part) // 4, zlib.crc32(part)), strict=True):
