@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lodestar.llm.embedding_dedup import embedding_dedup
+from lodestar.llm.embedding_dedup import _tile_links, bucket_ids, embedding_dedup, unit
 from lodestar.llm.graph import star_forest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node long"
@@ -91,3 +92,32 @@ def test_double_vectors(spark):
     rows = [(1, [1.0, 1e-9], 0, 0), (2, [1.0, 0.0], 0, 0), (3, [1e300, 1e300], 0, 0), (4, [1.0, 1.0], 0, 0)]
     df = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
     assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(df).collect()} == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3)}
+
+
+def test_no_link_of_a_tile_is_lost():
+    """Rows on a circle, each linked with the next: as they are ordered here, the first links of rows and of columns don't join them all."""
+    angles = np.array([0, 2, 3, 1]) * 0.15
+    x = np.stack([np.cos(angles), np.sin(angles)], axis=1).astype(np.float32)
+    n = len(x)
+    for own in ([0] * n, [0, 0, 1, 1]):
+        columns = {"tile": [0] * n, "bucket": [5] * n, "label": ["1"] * n, "i": [0] * n, "j": [max(own)] * n, "own": own, "key": list(range(n)), "copies": [1] * n, "raw": [v.tobytes() for v in x], "earlier": pa.array([[]] * n, pa.list_(pa.int64()))}
+        found = pa.Table.from_batches(_tile_links(0.98, np.float32)(iter([pa.RecordBatch.from_pydict(columns)]))).to_pylist()
+        assert {r["key"]: r["to"] for r in found if r["to"] is not None} == {1: 0, 2: 0, 3: 0}
+        if not max(own):
+            assert {r["key"]: r["links"] for r in found if r["to"] is None} == {0: 1, 1: 2, 2: 1, 3: 2}
+
+
+def test_chains_are_whole(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for chain in range(12):
+        plane = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+        angles = np.arange(20) * 0.12
+        rows += [(100 * chain + int(k), [float(e) for e in np.cos(a) * plane[0] + np.sin(a) * plane[1]], 0, 0) for k, a in zip(rng.permutation(20), angles, strict=True)]
+    check(spark, [rows[k] for k in rng.permutation(len(rows))])
+
+
+def test_vectors_of_unlike_length_share_no_bucket():
+    rng = np.random.default_rng(6)
+    a, b = (set(bucket_ids(unit(rng.standard_normal((5000, dim))), 20, 8, 1.2, 7 + dim).ravel().tolist()) for dim in (3, 4))
+    assert not a & b
