@@ -6,16 +6,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.sources.scratch import Scratch
+
 Model = Callable[[list], np.ndarray]
 
 #: Words of letters, digits and underscores of any script, as TF-IDF counts them.
 WORD = r"(?U)\w+"
+#: Words that every task holds with their counts.
+SENT = 1 << 18
 
 
 def encode(df: DataFrame, load_model: Callable[[], Model], input_col: str, output_col: str = "embedding", batch_size: int = 32, keep_empty: bool = False) -> DataFrame:
@@ -126,25 +132,72 @@ def fit_tfidf(docs: DataFrame, text_col: str = "text", features: int = 1 << 17)
 def tfidf(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows with a text and their embedding over the exact vocabulary: (word, weight) by word, at length 1.
 
-    Weights are those of fit_tfidf() without its slots: a word's count times log((rows + 1) / (rows with it + 1)). Rows
-    of one text are weighed once, and count as often as they are there.
+    Weights are those of fit_tfidf() without its slots: a word's count times log((rows + 1) / (rows with it + 1)).
+
+    The vocabulary is counted first, a word once for each row. Words that most rows have, SENT of them at most, go to all tasks with
+    their counts. All others are looked up by joins: (hash of the text, word) goes to the word's count, and the counts
+    come back to the rows with that hash. Texts that share a hash get each other's counts too, which changes nothing.
     """
-    key = "_key"
-    while key in docs.columns:
-        key = f"_{key}"
+    key, rare = "_key", "_rare"
+    while {key, rare} & set(docs.columns):
+        key, rare = f"_{key}", f"_{rare}"
+    scratch = Scratch(docs.sparkSession)
     rows = docs.where(F.char_length(text_col) > 0)
-    texts = rows.groupBy(F.col(text_col).alias("text")).agg(F.count("*").alias("copies"))
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    # in two steps, or the hash of a text is worked out for each of its words
-    split = texts.select(F.unhex(F.sha2("text", 256)).alias(key), "copies", words.alias("words"))
-    counts = split.select(key, "copies", F.explode("words").alias("word")).groupBy(key, "copies", "word").agg(F.count("*").alias("n"))
-    having = counts.groupBy("word").agg(F.sum("copies").alias("having"))
-    weighed = counts.join(having, "word").select(key, "word", (F.col("n") * F.log((F.lit(rows.count()) + 1) / (F.col("having") + 1))).alias("weight"))
-    vectors = weighed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("word", "weight"))).alias("terms"), F.sqrt(F.sum(F.col("weight") ** 2)).alias("size"))
-    scaled = F.transform("terms", lambda t: F.struct(t["word"].alias("word"), F.when(F.col("size") > 0, t["weight"] / F.col("size")).otherwise(0.0).alias("weight")))
-    none = F.array().cast("array<struct<word:string,weight:double>>")
-    joined = rows.withColumn(key, F.unhex(F.sha2(text_col, 256))).join(vectors.select(key, scaled.alias("embedding")), key, "left")
-    return joined.drop(key).withColumn("embedding", F.coalesce("embedding", none))
+    words = F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(0))
+    own = F.array_distinct(words)
+    vocabulary = scratch.keep(rows.select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("having")))
+    level = F.floor(8 * F.log2("having"))
+    least, sent = None, 0
+    for at, n in sorted(((r["level"], r["count"]) for r in vocabulary.groupBy(level.alias("level")).count().collect()), reverse=True):  # a few hundred levels
+        if sent + n > SENT:
+            break
+        least, sent = at, sent + n
+    common = vocabulary.where(F.lit(False) if least is None else level >= least)
+    weighed = _weighed(common.toArrow(), rows.count())
+    others = vocabulary if least is None else vocabulary.where(level < least)
+    none = F.array().cast("array<struct<word:string,having:bigint>>")
+    if others.isEmpty():
+        return rows.withColumn("embedding", weighed(words, none))
+    asked = rows.select(F.xxhash64(text_col).alias(key), own.alias("words")).select(key, F.explode("words").alias("word"))
+    asked = asked.join(F.broadcast(common.select("word")), "word", "left_anti")
+    # texts of one hash ask once; joined by word they are where their words are, so that takes no shuffle
+    counted = asked.join(others, "word").groupBy("word", key).agg(F.first("having").alias("having"))
+    counted = counted.groupBy(key).agg(F.collect_list(F.struct("word", "having")).alias(rare))
+    joined = rows.withColumn(key, F.xxhash64(text_col)).join(counted, key, "left")
+    return joined.withColumn("embedding", weighed(words, F.coalesce(rare, none))).drop(key, rare)
+
+
+def _weighed(common: pa.Table, rows: int):
+    """A function of columns: the words of each row, in order and as often as they are there, and (word, having) of those that `common` lacks, to (word, weight) by word at length 1."""
+    known, having = common.column("word").combine_chunks(), common.column("having").to_numpy()
+
+    @F.arrow_udf("array<struct<word:string,weight:double>>")
+    def run(words: pa.Array, rare: pa.Array) -> pa.Array:
+        owner = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        coded = words.flatten().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        found = coded.dictionary.take(pa.array(order))
+        # counts of the words of this batch, wherever they come from
+        more = rare.flatten()
+        at = pc.index_in(found, value_set=known).fill_null(-1).to_numpy()
+        counts = np.where(at >= 0, np.append(having, 0)[at], 0)
+        lacking = np.flatnonzero(at < 0)
+        if len(lacking):
+            there = pc.index_in(found.take(pa.array(lacking)), value_set=more.field("word"))
+            if there.null_count:
+                raise ValueError("a word has no count: the rows changed while they were read")
+            counts[lacking] = more.field("having").to_numpy()[there.to_numpy()]
+        terms, n = np.unique(owner * len(order) + place[coded.indices.to_numpy()], return_counts=True)
+        owner, word = np.divmod(terms, max(1, len(order)))
+        weight = n * np.log((rows + 1) / (counts[word] + 1))
+        size = np.sqrt(np.bincount(owner, weight**2, len(words)))[owner]
+        weight = np.divide(weight, size, out=np.zeros(len(weight)), where=size > 0)
+        edges = np.append(0, np.cumsum(np.bincount(owner, minlength=len(words))))
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([found.take(pa.array(word)), pa.array(weight)], ["word", "weight"]))
+
+    return run
 
 
 def fit_word_vectors(docs: DataFrame, text_col: str = "text", dims: int = 96, seed: int = 0, least: int = 2) -> PipelineModel:

@@ -349,6 +349,22 @@ def test_tfidf_counts_every_word(spark, tmp_path):
     assert sorted(hashed.values.round(9)) == sorted(round(x, 9) for x in own[2].values())
 
 
+def test_tfidf_of_words_that_are_not_sent(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.3, 40) if k < 1 << 30) for _ in range(150)]
+    texts += [texts[0]] * 30 + ["rare\u00e9 RARE\u00c9", "?", None]
+    df = spark.createDataFrame([(k, t, "r") for k, t in enumerate(texts)], "doc_id long, text string, _rare string").repartition(3)
+    weights = lambda: {r.doc_id: [(t.word, round(t.weight, 12)) for t in r.embedding] for r in encoders.tfidf(df).collect()}
+    every = weights()
+    assert len(every) == 182 and all(sum(w * w for _, w in v) == pytest.approx(1) and [w for w, _ in v] == sorted({w for w, _ in v}) for v in every.values() if v)
+    assert encoders.tfidf(df).columns == ["doc_id", "text", "_rare", "embedding"]
+    shuffled = lambda: encoders.tfidf(df)._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert not shuffled()  # a small vocabulary goes to all tasks, and nothing is shuffled but its counts
+    for sent in (20, 0):
+        monkeypatch.setattr(encoders, "SENT", sent)
+        assert weights() == every and shuffled()
+
+
 def test_pooling_and_text_functions(spark):
     row = spark.createDataFrame([([[1.0, 4.0], [3.0, 2.0]],)], "t array<array<double>>")
     assert [row.select(pooled(F.col("t"), h)).first()[0] for h in ("mean", "min", "max", "cls")] == [[2.0, 3.0], [1.0, 2.0], [3.0, 4.0], [1.0, 4.0]]
